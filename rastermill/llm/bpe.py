@@ -71,7 +71,7 @@ class Codec:
             self.finder.make_automaton()
         vocab = {show(t): i for t, i in ranks.items()}
         self.shift = {b: c for b, c in self.table.items() if ord(c) != b}
-        self.pieces = regex.compile(pattern).findall
+        self.pieces, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.memo: dict[str, bytes | None] = {}
         self.missed = 0
         self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
@@ -107,27 +107,39 @@ class Codec:
             out[p] = array("I", ids).tobytes()
         return out
 
+    def known(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """Packed ids of each piece, little-endian; None for one with a code point this Python does not know."""
+        new = [p for p in pieces if p not in self.memo]
+        if not new:
+            return self.memo
+        learnt = self._learn(sorted(new))
+        own = {p: learnt[p] if p in learnt else self.memo[p] for p in pieces}
+        self.missed += len(new)
+        if len(self.memo) + len(new) > MEMO and self.missed > 4 * MEMO:
+            self.memo, self.missed = {}, 0
+        if len(self.memo) + len(new) <= MEMO:
+            self.memo.update((p, i) for p, i in learnt.items() if len(p) <= MEMO_CHARS)
+        return own
+
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers in the machine's order (little-endian is assumed)."""
         cut = [self.pieces(t) for t in texts]
-        new = set(chain.from_iterable(cut)) - self.memo.keys()
-        known = self.memo
-        if new:
-            learnt = self._learn(sorted(new))
-            known = {p: learnt[p] if p in learnt else known[p] for p in set(chain.from_iterable(cut))}
-            self.missed += len(new)
-            if len(self.memo) + len(new) > MEMO and self.missed > 4 * MEMO:
-                self.memo, self.missed = {}, 0
-            if len(self.memo) + len(new) <= MEMO:
-                self.memo.update((p, i) for p, i in learnt.items() if len(p) <= MEMO_CHARS)
-        out = []
+        ids_of, out = self.known(set(chain.from_iterable(cut))).__getitem__, []
         for text, pieces in zip(texts, cut, strict=True):
             try:
-                out.append(b"".join(map(known.__getitem__, pieces)))
+                out.append(b"".join(map(ids_of, pieces)))
             except TypeError:
                 out.append(array("I", self.by_rank.encode_ordinary(text)).tobytes())
         return out
 
+    def counts(self, pieces: list[str], known: dict[str, bytes | None] | None = None) -> list[int]:
+        """Tokens of each piece alone."""
+        known = self.known(set(pieces)) if known is None else known
+        try:
+            return [n >> 2 for n in map(len, map(known.__getitem__, pieces))]
+        except TypeError:
+            return [len(self.by_rank.encode_ordinary(p)) if known[p] is None else len(known[p]) >> 2 for p in pieces]
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [array("I", x).tolist() for x in self.encode_packed(texts)]
 

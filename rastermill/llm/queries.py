@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_byte_bpe
+from .chat import op2_chat_format
+from .edit_counts import op4_edit_counts
+from .html_text import op10_html_text
 from .mixing import op8_mixing
 from .near_dedup import op1_near_dedup
+from .neighbours import op9_neighbours
+from .personal_data import op5_personal_data
 from .quality import op7_quality_rules
 from .secrets import op3_secret_scan
 
@@ -20,7 +25,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op3_secret_scan, op6_byte_bpe, op7_quality_rules, op8_mixing)} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_secret_scan, op4_edit_counts, op5_personal_data, op6_byte_bpe, op7_quality_rules, op8_mixing, op9_neighbours, op10_html_text)} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
