@@ -1,0 +1 @@
+"""Column functions on grids and product metadata."""

@@ -1,0 +1 @@
+"""Workloads from tables to report, and the queries by operator."""

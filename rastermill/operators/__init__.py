@@ -1,0 +1 @@
+"""Joins and aggregates on cells, zones and truth."""

@@ -1,0 +1 @@
+"""Nothing here: rasters, boundaries and truth tables are finished batches without a time column."""
