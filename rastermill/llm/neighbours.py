@@ -20,8 +20,9 @@ from .common import read, settle
 
 #: Vectors the index is fitted on at most: those with the least hash of their components.
 SAMPLE = 20_000
-#: Cells: about `2 * sqrt(vectors)`, within bounds. Each query looks into this share of them, and at least so many.
-CELLS, PROBE_SHARE, PROBE_LEAST = (8, 1024), 0.25, 8
+#: Cells: about `2 * sqrt(vectors)`, within bounds. Each query looks into as many as hold this share of the nearest
+#: rows of `TRIALS` sample rows within the sample, and at least so many. Unstructured vectors need most cells.
+CELLS, WANTED, TRIALS, PROBE_LEAST = (8, 1024), 0.975, 200, 8
 #: Sub-vectors and codes each. Entries a cell reranks exactly for one query: at least so many, and this share of it.
 PARTS, CODES = 16, 256
 RERANK_LEAST, RERANK_SHARE = 100, 0.2
@@ -73,13 +74,22 @@ class Index:
         width = self.books.shape[2]
         return np.stack([nearest(rest[:, p * width : (p + 1) * width], self.books[p]) for p in range(PARTS)], axis=1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
+    def probes(self, q: np.ndarray, n: int, ordered: bool = False) -> np.ndarray:
         """Cells nearest to each query, whose own last component is zero; scaled to the common length."""
         scale = self.radius / np.linalg.norm(q, axis=1, keepdims=True)
         x = np.hstack([q * scale, np.zeros((len(q), 1))])
         score = x @ self.centres.T - 0.5 * (self.centres**2).sum(1)
         n = min(n, score.shape[1])
-        return np.argpartition(-score, n - 1, axis=1)[:, :n]
+        return np.argsort(-score, axis=1)[:, :n] if ordered else np.argpartition(-score, n - 1, axis=1)[:, :n]
+
+    def probes_needed(self, sample: np.ndarray, k: int) -> int:
+        """Cells to look into, measured by brute force between some sample rows and the whole sample."""
+        q = sample[(np.linalg.norm(sample, axis=1) > 0)][:TRIALS]
+        place = np.argsort(self.probes(q, len(self.centres), ordered=True), axis=1)
+        cell, most = self.cell(sample), min(k + 1, len(sample))
+        near = np.argpartition(-(q @ sample.T), most - 1, axis=1)[:, :most]
+        ranks = np.sort(np.take_along_axis(place, cell[near], axis=1).ravel())
+        return max(PROBE_LEAST, int(ranks[min(len(ranks) - 1, int(WANTED * len(ranks)))]) + 1)
 
     def estimate(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries with the coded residuals, from a table by query, part and code."""
@@ -133,7 +143,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     sample = _matrix(entries.orderBy("h", "ids").limit(SAMPLE).select("v").toPandas()["v"])
     cells = int(np.clip(2 * np.sqrt(n), CELLS[0], CELLS[1]))
     index = Index.fit(sample, radius, min(cells, len(sample)))
-    probes = max(PROBE_LEAST, int(np.ceil(PROBE_SHARE * len(index.centres))))
+    probes = index.probes_needed(sample, k)
     shared = spark.sparkContext.broadcast(index)
 
     @F.pandas_udf("int")
@@ -149,7 +159,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     # Equal queries are asked once, for one more than `k`, and each then leaves its own row out.
     askers = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("asker"), "h", "v")
     distinct = settle(askers.groupBy("h", "v").agg(F.min("asker").alias("query_id")))
-    asked = distinct.select("query_id", "v").withColumn("cell", F.explode(cells_of("v")))
+    asked = distinct.select("query_id", F.col("v").alias("q")).withColumn("cell", F.explode(cells_of("q")))
     crowd = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / QUERIES).cast("int").alias("crowds"))
     # At most as many rows as there are cells.
     grid = F.broadcast(settle(blocks.join(crowd, "cell")))
@@ -160,7 +170,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         if not len(cell) or not len(queries):
             return empty
-        own, x, q = shared.value, _matrix(cell["v"]), _matrix(queries["v"])
+        own, x, q = shared.value, _matrix(cell["v"]), _matrix(queries["q"])
         best = min(len(x), max(RERANK_LEAST, k + 1, int(RERANK_SHARE * len(x))))
         codes = own.encode(x, int(key[0]))
         ids = [np.asarray(i) for i in cell["ids"]]
@@ -179,7 +189,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     out["query_id"].append(np.full(len(ids[at[j]]), queries["query_id"].iat[lo + i]))
         return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
 
-    found = left.select("cell", "block", "crowd", "v", "ids").groupBy("cell", "block", "crowd").cogroup(right.select("cell", "block", "crowd", "query_id", "v").groupBy("cell", "block", "crowd")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = left.select("cell", "block", "crowd", "v", "ids").groupBy("cell", "block", "crowd").cogroup(right.select("cell", "block", "crowd", "query_id", "q").groupBy("cell", "block", "crowd")).applyInPandas(meet, "query_id long, vec_id long, score double")
     nearest_first = [F.desc("score"), F.asc("vec_id")]
     found = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(*nearest_first))).filter(F.col("n") <= k + 1)
     each = askers.join(distinct, ["h", "v"]).select("asker", "query_id").join(found, "query_id").filter("asker != vec_id")
