@@ -127,8 +127,8 @@ def test_points_on_the_border(spark):
 
 
 def test_truth_csv_in_another_encoding(spark, tmp_path):
-    (tmp_path / "t.csv").write_bytes("代码,总量\n11,5.5\n12,x\n".encode("utf-16"))
-    got = so.read_truth(spark, str(tmp_path / "t.csv"), "p", {"zone_id": "代码", "truth": "总量"}, "UTF-16")
+    (tmp_path / "t.csv").write_bytes("région,total\n11,5.5\n12,x\n".encode("latin-1"))
+    got = so.read_truth(spark, str(tmp_path / "t.csv"), "p", {"zone_id": "région", "truth": "total"}, "ISO-8859-1")
     assert sorted(map(tuple, got.collect())) == [("p", "11", 5.5), ("p", "12", None)]
 
 
