@@ -8,6 +8,8 @@ budgets are subsets of those for larger ones, since the hash is the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ from .common import WORD, fresh, read, settle
 #: Bits of the hash read by each nested histogram.
 LEVELS = (12, 16, 17, 18)
 BITS = sum(LEVELS)
+ABOVE = (1 << 63) - 1
+#: Thresholds found one after another, each among the documents that still fit.
+PASSES = 3
 #: Up to so many sources are sent to all executors; more are joined by a shuffle.
 SMALL = 20_000
 
@@ -46,24 +51,49 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return by.select("source", "source_size", "target")
 
 
-def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each source: whole copies of every document, the hash below which one more is taken, and whether the
-    documents at that very hash (repeated rows; else a single document) are taken too, as whichever is nearer.
+def cut(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """(of, threshold, left, inside) for each source of `goal` (source, rest): the rows (source, size, hash) with a
+    hash below the threshold are the most that fit into `rest`; `left` remains, less than the `inside` words at the
+    threshold itself. Where all rows fit, the threshold is above every hash.
     """
-    goal = targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    goal = goal.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    edge = goal.withColumns({"prefix": F.lit(0).cast("long"), "inside": F.col("source_size")})
+    total = rows.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("total"))
+    goal = goal.select("source", "rest").join(total, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "rest", F.coalesce("total", F.lit(0)).alias("total"))
+    edge = goal.filter("total > rest").select(F.col("source").alias("of"), F.lit(0).cast("long").alias("prefix"), "rest", F.lit(0).cast("long").alias("inside"))
     used = 0
     for width in LEVELS:
         used += width
-        here = sizes.alias("s").join(edge.select(F.col("source").alias("of"), "prefix", "rest").alias("e"), F.col("s.source").eqNullSafe(F.col("of")) & (F.shiftright("hash", BITS - used + width) == F.col("prefix")))
+        here = rows.join(edge.select("of", "prefix", "rest"), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("hash", BITS - used + width) == F.col("prefix")))
         bins = here.groupBy("source", "rest", F.shiftright("hash", BITS - used).alias("bin")).agg(F.sum("size").alias("in_bin"))
         upto = F.sum("in_bin").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
         found = bins.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
-        found = found.groupBy("source").agg(F.min(F.struct("bin", "upto", "in_bin", "rest")).alias("m"))
-        edge = found.select("source", F.col("m.bin").alias("prefix"), (F.col("m.rest") - (F.col("m.upto") - F.col("m.in_bin"))).alias("rest"), F.col("m.in_bin").alias("inside"))
-    last = edge.select(F.col("source").alias("of"), F.col("prefix").alias("threshold"), (F.col("rest") * 2 >= F.col("inside")).alias("at_threshold"))
-    return goal.join(last, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "copies", "threshold", "at_threshold")
+        found = found.groupBy(F.col("source").alias("of")).agg(F.min(F.struct("bin", "upto", "in_bin", "rest")).alias("m"))
+        edge = found.select("of", F.col("m.bin").alias("prefix"), (F.col("m.rest") - (F.col("m.upto") - F.col("m.in_bin"))).alias("rest"), F.col("m.in_bin").alias("inside"))
+    last = edge.select("of", "prefix", F.col("rest").alias("left_here"), "inside")
+    out = goal.join(last, F.col("source").eqNullSafe(F.col("of")), "left")
+    return out.select(F.col("source").alias("of"), F.coalesce("prefix", F.lit(ABOVE)).alias("threshold"), F.coalesce("left_here", F.col("rest") - F.col("total")).alias("left"), F.coalesce("inside", F.lit(0)).cast("long").alias("inside"))
+
+
+def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """For each source: whole copies of every document, and what decides on one more.
+
+    Documents below `t0` are in. The one at `t0` did not fit; of those from there on that do (size up to `l0`), the
+    ones below `t1` are in, and so once more with `l1` and `t2`. So a long document at a threshold does not leave its
+    source far from the target. At `t2` itself the nearer side decides.
+    Where to go over at `t0` and stop there comes nearer than all that, `over` says so.
+    """
+    goal = targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
+    plan = goal.withColumn("rest", F.when(F.col("source_size") > 0, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(F.lit(0.0)))
+    rows = sizes.select("source", "size", "hash")
+    for k in range(PASSES):
+        found = settle(cut(rows, plan))
+        here = found.select("of", F.col("threshold").alias(f"t{k}"), F.col("left").alias(f"l{k}"), F.col("inside").alias(f"i{k}"), ((F.col("inside") > 0) & (F.col("left") * 2 >= F.col("inside"))).alias("nearer"))
+        plan = plan.drop("nearer").join(here, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("rest", F.col(f"l{k}"))
+        beyond = rows.join(found.select("of", "threshold", "left"), F.col("source").eqNullSafe(F.col("of")))
+        rows = beyond.filter((F.col("hash") >= F.col("threshold")) & (F.col("size") <= F.col("left"))).select("source", "size", "hash")
+    last = PASSES - 1
+    off = F.when(F.col("nearer"), F.col(f"i{last}") - F.col(f"l{last}")).otherwise(F.col(f"l{last}"))
+    plan = plan.withColumn("over", (F.col("i0") > 0) & (F.col("i0") - F.col("l0") < off))
+    return plan.drop("rest", f"l{last}", *[f"i{k}" for k in range(PASSES)])
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -76,9 +106,14 @@ def _plan(sizes: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= SMALL else plan
 
 
-def _copies() -> Column:
-    more = (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("at_threshold"))
-    return F.col("copies") + F.coalesce(more, F.lit(False)).cast("int")
+def _copies(size: Column, hash: Column, at: Callable[[str], Column]) -> Column:
+    """How often a document is taken; `at` gives a column of its source's plan."""
+    fits, more = F.lit(True), F.lit(False)
+    for k in range(PASSES):
+        more = more | (fits & (hash < at(f"t{k}")))
+        fits = fits & (hash >= at(f"t{k}")) & (size <= at(f"l{k}")) if k + 1 < PASSES else fits & (hash == at(f"t{k}")) & at("nearer")
+    one_more = F.when(at("over"), hash <= at("t0")).otherwise(more | fits)
+    return at("copies") + F.coalesce(one_more, F.lit(False)).cast("int")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -90,19 +125,18 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     sizes = settle(_sized(docs))
     out = sizes.join(_plan(sizes), F.col("source").eqNullSafe(F.col("of")), "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("size"), F.col("hash"), F.col)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with all their columns. Text is not shuffled."""
     sizes = settle(_sized(docs))
-    names = {c: fresh(docs, f"mix_{c}") for c in ("of", "threshold", "at_threshold", "copies", "hash", "times", "one")}
     plan = _plan(sizes)
-    plan = plan.select(*[F.col(c).alias(names[c]) for c in ("of", "threshold", "at_threshold", "copies")])
-    full = docs.withColumn(names["hash"], F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    names = {c: fresh(docs, f"mix_{c}") for c in (*plan.columns, "hash", "size", "times", "one")}
+    plan = plan.select(*[F.col(c).alias(names[c]) for c in plan.columns])
+    full = docs.withColumns({names["hash"]: F.shiftrightunsigned(F.xxhash64("doc_id"), 1), names["size"]: word_count(F.col("text"))})
     full = full.join(plan, F.col("source").cast("string").eqNullSafe(F.col(names["of"])), "left")
-    more = (F.col(names["hash"]) < F.col(names["threshold"])) | ((F.col(names["hash"]) == F.col(names["threshold"])) & F.col(names["at_threshold"]))
-    full = full.withColumn(names["times"], F.col(names["copies"]) + F.coalesce(more, F.lit(False)).cast("int")).filter(F.col(names["times"]) > 0)
+    full = full.withColumn(names["times"], _copies(F.col(names["size"]), F.col(names["hash"]), lambda c: F.col(names[c]))).filter(F.col(names["times"]) > 0)
     return full.withColumn(names["one"], F.explode(F.sequence(F.lit(1), F.col(names["times"])))).select(*docs.columns)
 
 
