@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash thresholds; no row is sorted.
 
-Every document gets a 63-bit hash of its id. A source's budget is a threshold on that hash: documents below it are in.
+Every document gets a 60-bit hash of its id. A source's budget is a threshold on that hash: documents below it are in.
 The threshold comes from nested histograms: words summed by source and the hash's leading bits give the bucket where
 the budget runs out; only that bucket is split by the next bits, and so on until all bits are used. Sets for smaller
 budgets are subsets of those for larger ones, since the hash is the same.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, read, settle
 
 #: Bits of the hash read by each nested histogram.
-LEVELS = (12, 16, 17, 18)
+LEVELS = (12, 16, 16, 16)
 BITS = sum(LEVELS)
 ABOVE = (1 << 63) - 1
 #: Thresholds found one after another, each among the documents that still fit.
@@ -31,6 +31,11 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), " \t\n\u000b\f\r", "")).cast("long")
 
 
+def hashed(doc_id: Column) -> Column:
+    """The leading 60 bits of a digest of the id, which other engines have, too."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """One row a source: its words, and its share of all words by weight, at most `most` times its words.
 
@@ -97,7 +102,7 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("hash"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("hash"))
 
 
 def _plan(sizes: DataFrame) -> DataFrame:
@@ -134,7 +139,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     plan = _plan(sizes)
     names = {c: fresh(docs, f"mix_{c}") for c in (*plan.columns, "hash", "size", "times", "one")}
     plan = plan.select(*[F.col(c).alias(names[c]) for c in plan.columns])
-    full = docs.withColumns({names["hash"]: F.shiftrightunsigned(F.xxhash64("doc_id"), 1), names["size"]: word_count(F.col("text"))})
+    full = docs.withColumns({names["hash"]: hashed(F.col("doc_id")), names["size"]: word_count(F.col("text"))})
     full = full.join(plan, F.col("source").cast("string").eqNullSafe(F.col(names["of"])), "left")
     full = full.withColumn(names["times"], _copies(F.col(names["size"]), F.col(names["hash"]), lambda c: F.col(names[c]))).filter(F.col(names["times"]) > 0)
     return full.withColumn(names["one"], F.explode(F.sequence(F.lit(1), F.col(names["times"])))).select(*docs.columns)

@@ -28,5 +28,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_secret_scan, op4_edit_counts, op5_personal_data, op6_byte_bpe, op7_quality_rules, op8_mixing, op9_neighbours, op10_html_text)} | {"pipeline": _pipeline}
 
 
+_ESCAPED = r"length(regexp_replace({0}, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g'))"
+CHAT = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum({_ESCAPED.format("role")} + {_ESCAPED.format("text")} + 23) AS BIGINT) AS formatted_chars, false AS rewrites
+FROM rows GROUP BY conv_id
+"""
+
+_PASS = """
+u{k} AS (SELECT source, h, size, sum(size) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto, rest FROM ({rows})),
+f{k} AS (SELECT source, min(h) FILTER (upto > rest) AS t, any_value(rest) - coalesce(max(upto) FILTER (upto <= rest), 0) AS l FROM u{k} GROUP BY source),
+g{k} AS (SELECT f.source, coalesce(f.t, 9223372036854775807) AS t, f.l, coalesce(sum(u.size), 0) AS i FROM f{k} f LEFT JOIN u{k} u ON u.source IS NOT DISTINCT FROM f.source AND u.h = f.t GROUP BY ALL),
+p{k} AS (SELECT p.* EXCLUDE (rest), coalesce(g.t, 9223372036854775807) AS t{k}, coalesce(g.l, p.rest) AS l{k}, coalesce(g.i, 0) AS i{k}, coalesce(g.l, p.rest) AS rest FROM {before} p LEFT JOIN g{k} g ON g.source IS NOT DISTINCT FROM p.source)"""
+MIX = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS DOUBLE) AS weight FROM s),
+c AS (SELECT *, CAST(source_size AS DOUBLE) * 3 AS lim, CAST(source_size AS DOUBLE) * 3 / weight AS fill FROM w),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level FROM c WINDOW before AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+a AS (SELECT source, source_size, least(lim, coalesce((SELECT level FROM v WHERE level <= fill ORDER BY fill, level LIMIT 1) * weight, lim)) AS target FROM v),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies, CASE WHEN source_size > 0 THEN target - floor(target / source_size) * source_size ELSE 0 END AS rest FROM a),
+{_PASS.format(k=0, before="p", rows="SELECT d.*, rest FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source")},
+{_PASS.format(k=1, before="p0", rows="SELECT d.*, rest FROM d JOIN p0 p ON d.source IS NOT DISTINCT FROM p.source WHERE h >= t0 AND size <= l0")},
+{_PASS.format(k=2, before="p1", rows="SELECT d.*, rest FROM d JOIN p1 p ON d.source IS NOT DISTINCT FROM p.source WHERE h >= t0 AND size <= l0 AND h >= t1 AND size <= l1")},
+q AS (SELECT *, i2 > 0 AND l2 * 2 >= i2 AS nearer FROM p2),
+x AS (SELECT *, i0 > 0 AND i0 - l0 < CASE WHEN nearer THEN i2 - l2 ELSE l2 END AS over_first FROM q)
+SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN over_first THEN h <= t0 ELSE h < t0 OR (size <= l0 AND (h < t1 OR (size <= l1 AND (h < t2 OR (h = t2 AND nearer))))) END::INT) AS BIGINT) AS taken
+FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": CHAT, "op8_mixing": MIX}
