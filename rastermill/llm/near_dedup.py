@@ -8,15 +8,20 @@ and only while they can still be the earliest of some component, which is what m
 
 Texts with the same words are one node. Nodes that share a band of the signature are candidates. A bucket is not
 expanded into pairs: a leader is compared with the members that are not in its component yet, then leaves the bucket.
-Leaders are the nodes with the most links so far, and their number doubles each round, so a bucket of one group is
-done in a round or two, and any bucket is done exactly in a logarithmic number of rounds.
+Leaders are the nodes with the most links so far, and their number grows fourfold each round, so a bucket of one group is
+done in a round or two.
+
+What is left after two rounds are mostly texts that share a common passage and are not similar. A text of weight n
+splits into common windows (weight c), those in more than `COMMON` of the texts left, and rare ones. Similar texts
+overlap in at least 0.8 / 1.8 of their joint weight, so two texts with less common weight than that share rare windows.
+Hence a bucket's leader is compared with those members only whose common weight could suffice, and all other pairs are
+looked for in groups of texts with a rare window in common, of which no group is large. `SLACK` moves pairs that need
+very few rare windows to the first kind, so that the rare windows' own signature finds all of the second.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,12 +31,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, mix64, read, settle, shared_dir, text_bytes, window_hashes, word_hashes
+from .common import Scratch, fresh, map_batches, mix64, read, settle, text_bytes, window_hashes, word_hashes
 
 WIDTH, SIMILAR = 5, 0.8
 #: A pair at 0.8 shares one of 20 bands of 5 components with a probability of 0.9996; one at 0.3 with 0.05.
 BANDS, ROWS = 20, 5
 
+#: Texts that a rare window is in at most; components of the rare windows' signature; share of the joint weight.
+COMMON, RARE_SIZE, SLACK = 32, 128, 0.005
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -43,8 +51,11 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard of two multisets; of two empty ones, 1."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.searchsorted(b[0], a[0]).clip(max=max(len(b[0]) - 1, 0))
+    same = b[0][at] == a[0] if len(b[0]) else np.zeros(0, bool)
+    both = int(np.minimum(a[1][same], b[1][at[same]]).sum())
     either = int(a[1].sum() + b[1].sum()) - both
     return both / either if either else 1.0
 
@@ -92,7 +103,7 @@ def bands(text_bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, `node` (a digest of its words in order), windows, and band keys; a narrow pass."""
+    """doc_id, a hash of the text, `words` (a digest of its words in order), windows, and band keys; a narrow pass."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
@@ -107,104 +118,188 @@ def sign(docs: DataFrame) -> DataFrame:
             node.append(name)
             windows.append(known[name][0])
             keys.append(known[name][1])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.string()), pa.array(windows, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "node", "windows", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.string()), pa.array(windows, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "words", "windows", "bands"])
 
-    return map_batches(rows, each, f"doc_id {kind}, text_hash bigint, node string, windows bigint, bands array<bigint>", rows=512)
+    return map_batches(rows, each, f"doc_id {kind}, text_hash bigint, words string, windows bigint, bands array<bigint>", rows=512)
 
 
-def _overlaps(pairs: DataFrame) -> DataFrame:
-    """(a, b, text_a, text_b) to (a, b) of those similar enough; the last few bags are kept, as rows come by leader."""
+def _stored(texts: DataFrame) -> DataFrame:
+    """(node, keys, counts): bags as bytes, so that a text is cut into windows once; no counts where all are one."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bags = [bag(t) for t in batch.column("text").to_pylist()]
+        counts = [b"" if not len(n) or n.max() == 1 else n.astype(np.int32).tobytes() for _, n in bags]
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([k.tobytes() for k, _ in bags], pa.binary()), pa.array(counts, pa.binary())], names=["node", "keys", "counts"])
+
+    return map_batches(texts.select("node", "text"), each, "node bigint, keys binary, counts binary")
 
-        def bag_of(node: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if node not in kept:
-                kept[node] = bag(text)
-                if len(kept) > 16:
-                    kept.popitem(last=False)
-            kept.move_to_end(node)
-            return kept[node]
 
+def _bag_of(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(keys, np.uint64)
+    return own, np.frombuffer(counts, np.int32).astype(np.int64) if counts else np.ones(len(own), np.int64)
+
+
+def _overlaps(pairs: DataFrame) -> DataFrame:
+    """(a, b) and the bags of both to (a, b) of those similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            hit = [similarity(bag_of(x, batch.column("text_a")[i].as_py()), bag_of(y, batch.column("text_b")[i].as_py())) >= SIMILAR for i, (x, y) in enumerate(zip(a, b, strict=True))]
+            columns = [batch.column(c) for c in ("keys_a", "counts_a", "keys_b", "counts_b")]
+            hit = []
+            for row in zip(*columns, strict=True):
+                ka, ca, kb, cb = (x.as_py() for x in row)
+                hit.append(similarity(_bag_of(ka, ca), _bag_of(kb, cb)) >= SIMILAR)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a string, b string")
+    return pairs.select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the least node reachable over (a, b) links. Labels spread to neighbours and are then followed to
-    their own label, so long chains shrink by halves; every step is a settled table.
+    their own label, so long chains shrink by halves; every step is a table of its own.
     """
-    both = settle(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))))
-    label = settle(both.groupBy("node").agg(F.min("to").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
+    both = scratch.keep(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))))
+    label = scratch.keep(both.groupBy("node").agg(F.min("to").alias("comp")).select("node", F.least("node", "comp").alias("comp")))
     while True:
         near = both.join(label.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("comp").alias("near"))
         lower = label.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         follow = label.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        lower = settle(lower.join(follow, "comp", "left").select("node", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
+        lower = scratch.keep(lower.join(follow, "comp", "left").select("node", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
         label = lower.select("node", "comp")
         if lower.filter(F.col("was") != F.col("comp")).isEmpty():
             return label
 
 
-def _spread(node: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(n))
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(keys ^ _OTHER) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Links (a, b) that join all similar candidates into components; None if there is no candidate.
+def common_slots(bags: DataFrame, bits: int) -> np.ndarray:
+    """Marks the slots of windows that more than `COMMON` texts hold, counted by slot: 2 ** bits marks, so its size is
+    bounded, and no common window is missed. Slots are summed within a batch before they are moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                own = [np.unique(_slots(np.frombuffer(k, np.uint64), bits)) for k in batch.column("keys").slice(lo, 512).to_pylist()]
+                slot, n = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot + 1), pa.array(n)], names=["slot", "n"])
+
+    sums = bags.select("keys").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON)
+    maps = sums.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
+    marks = np.zeros((max(1, (1 << bits) >> 15), 1 << 12), np.uint8)
+    for row in maps.collect():
+        marks[row.k - 1] = np.frombuffer(bytes(row.m), np.uint8)
+    return marks.ravel()
+
+
+def rare_keys(bags: DataFrame, marks: np.ndarray, bits: int) -> DataFrame:
+    """(node, common, keys): weight of a text's common windows, and keys for its rare ones: each of up to `RARE_SIZE`,
+    and their signature, which texts with more of them have alone.
+    """
+    shared = bags.sparkSession.sparkContext.broadcast(marks)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        common, keys = [], []
+        for own, weight in map(_bag_of, batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+            slot = _slots(own, bits)
+            often = (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            common.append(int(weight[often].sum()))
+            size = int(weight.sum())
+            own, weight = own[~often], weight[~often]
+            found = [mix64(own * _OTHER + _STEP)] if len(own) <= RARE_SIZE else []
+            if len(own) and size >= SIMILAR * RARE_SIZE:  # a similar text may have too many to be listed
+                found.append(mix64(signature(own, weight, RARE_SIZE).view(np.uint64) ^ np.arange(1, RARE_SIZE + 1, dtype=np.uint64) * _STEP))
+            keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(common, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "common", "keys"])
+
+    return map_batches(bags, each, "node bigint, common bigint, keys array<bigint>")
+
+
+def _by_rare_windows(members: DataFrame, bags: DataFrame, scratch: Scratch) -> DataFrame:
+    """New buckets for what is left: by rare window, and the old ones with those texts that common windows could join."""
+    left = scratch.keep(members.select("node", "windows", "comp").distinct())
+    mine = scratch.keep(bags.join(left.select("node"), "node", "left_semi"))
+    windows = left.agg(F.sum("windows")).first()[0]
+    bits = int(np.clip(np.ceil(np.log2(16 * windows + 1)), 20, 30))
+    keys = scratch.keep(rare_keys(mine, common_slots(mine, bits), bits))
+    enough = SIMILAR / (1 + SIMILAR) - SLACK
+    old = members.join(keys.select("node", F.col("common").alias("own")), "node").filter(F.col("own") >= enough * (1 + SIMILAR) * F.col("windows"))
+    old = old.select("bucket", "node", "windows", "comp", "degree", F.col("own").alias("common"))
+    rare = keys.select("node", F.explode("keys").alias("bucket"))
+    many = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    rare = rare.join(many, "bucket").join(left, "node").select("bucket", "node", "windows", "comp", F.lit(0).cast("long").alias("degree"), F.lit(None).cast("long").alias("common"))
+    return scratch.keep(old.unionByName(rare))
+
+
+def _could_join() -> Column:
+    """Weights allow similarity, and in buckets by common windows these could suffice."""
+    sizes = F.least("windows", "size") >= SIMILAR * F.greatest("windows", "size")
+    enough = F.least("common", "leader_common") >= (SIMILAR / (1 + SIMILAR) - SLACK) * (F.col("windows") + F.col("size"))
+    return sizes & (F.col("common").isNull() | enough)
+
+
+def similar_components(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, comp) of the nodes that similar candidates join; None if none are joined.
 
     `nodes`: node, doc_id, text_hash, windows, bands; one row a node, the document being one that has its words.
     """
-    spark = nodes.sparkSession
     rows = nodes.select("node", "windows", F.explode("bands").alias("bucket"))
     many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = settle(rows.join(many, "bucket"))
+    members = scratch.keep(rows.join(many, "bucket").select("bucket", "node", "windows", F.col("node").alias("comp"), F.lit(0).cast("long").alias("degree"), F.lit(None).cast("long").alias("common")))
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
     mine = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    texts = mine.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("node", "text").dropDuplicates(["node"])
-    folder = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
-    texts.write.parquet(folder)
-    texts = spark.read.schema("node string, text string").parquet(folder)
-
-    links: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    comp = degree = None
-    leaders = 1
+    bags = scratch.keep(_stored(mine.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))).select("node", "text").dropDuplicates(["node"])))
+
+    comp, tested, leaders, turn = None, [], 1, 0
     while True:
-        state = members.withColumns({"comp": F.col("node"), "degree": F.lit(0).cast("long")})
-        if comp is not None:
-            state = members.join(comp.join(degree, "node").withColumnRenamed("comp", "known"), "node", "left").select("bucket", "node", "windows", F.coalesce("known", "node").alias("comp"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
-        alive = state.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
-        state = settle(state.join(alive, "bucket"))
+        alive = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
+        state = scratch.keep(members.join(alive, "bucket"))
         if state.isEmpty():
-            break
-        lead = state.groupBy("bucket", _spread(F.col("node"), leaders).alias("part")).agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", "windows", "comp")).alias("l"))
-        lead = settle(lead.select("bucket", F.col("l.node").alias("leader"), F.col("l.windows").alias("size"), F.col("l.comp").alias("from")))
-        pairs = state.join(lead, "bucket").filter((F.col("comp") != F.col("from")) & (F.least("windows", "size") >= SIMILAR * F.greatest("windows", "size")))
-        # The leader comes first, so that its texts meet in one place; a pair of two leaders is one pair.
+            return comp
+        if turn == 2:
+            members, turn = _by_rare_windows(state, bags, scratch), 3
+            continue
+        part = F.pmod(F.xxhash64("node"), F.lit(leaders))
+        lead = state.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", "windows", "comp", "common")).alias("l"))
+        lead = scratch.keep(lead.select("bucket", F.col("l.node").alias("leader"), F.col("l.windows").alias("size"), F.col("l.comp").alias("from"), F.col("l.common").alias("leader_common")))
+        pairs = state.join(lead, "bucket").filter((F.col("comp") != F.col("from")) & _could_join())
         pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         if tested:
             seen = reduce(DataFrame.unionByName, tested)
-            pairs = pairs.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = settle(pairs)
+            pairs = pairs.join(seen.unionByName(seen.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs)
         tested.append(pairs)
-        met = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        met = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        found = settle(_overlaps(met))
-        if not found.isEmpty():
-            links.append(found)
-            every = reduce(DataFrame.unionByName, links)
-            comp = components(every)
-            degree = settle(every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree")))
-        members = settle(state.select("bucket", "node", "windows").join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti"))
-        leaders *= 2
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return comp
+        rest = state.join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        if not pairs.isEmpty():
+            side = lambda c: bags.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("counts").alias(f"counts_{c}"))
+            met = pairs.join(side("b"), "b").join(side("a"), "a")
+            found = scratch.keep(_overlaps(met))
+            if not found.isEmpty():
+                comp, step = _joined(comp, found, scratch)
+                moved = step.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+                degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("more"))
+                rest = rest.join(moved, "comp", "left").join(degree, "node", "left").select("bucket", "node", "windows", F.coalesce("to", "comp").alias("comp"), (F.col("degree") + F.coalesce("more", F.lit(0).cast("long"))).alias("degree"), "common")
+        members = scratch.keep(rest.select("bucket", "node", "windows", "comp", "degree", "common"))
+        leaders *= 4
+        turn += 1
+
+
+def _joined(comp: DataFrame | None, found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Components with new links: (node, comp) for all nodes, and (node, comp) for the components that these links
+    connect. A component keeps the name of its least node.
+    """
+    if comp is None:
+        step = components(found, scratch)
+        return step, step
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = between.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).filter("a != b").distinct()
+    step = components(between, scratch)
+    moved = step.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    old = comp.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return scratch.keep(old.unionByName(step.join(comp.select("node"), "node", "left_anti"))), step
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -220,17 +315,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    signed = settle(sign(docs))
-    nodes = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("windows").alias("windows"), F.first("bands").alias("bands"))
-    nodes = settle(nodes.select("node", "least.doc_id", "least.text_hash", "windows", "bands"))
-    comp = similar_links(nodes, docs)
-    rows = signed.select("doc_id", "text_hash", "node").withColumn("comp", F.col("node"))
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(sign(docs))
+    nodes = signed.groupBy("words").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("windows").alias("windows"), F.first("bands").alias("bands"))
+    # Once written, a node's number stays.
+    nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "words", "least.doc_id", "least.text_hash", "windows", "bands"))
+    comp = similar_components(nodes, docs, scratch)
+    of = nodes.select("words", "node")
     if comp is not None:
-        rows = signed.select("doc_id", "text_hash", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        of = of.join(comp, "node", "left").select("words", F.coalesce("comp", "node").alias("comp"))
+    else:
+        of = of.withColumnRenamed("node", "comp")
+    rows = settle(signed.select("doc_id", "text_hash", "words").join(of, "words").select("doc_id", "text_hash", "comp"))
+    scratch.close()
     sums = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     sums = sums.select("comp", F.col("least.doc_id").alias("class_id"), F.col("least.text_hash").alias("class_hash"), "class_size")
     out = rows.join(sums, "comp").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")))
-    return out, signed
+    return out, rows
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
