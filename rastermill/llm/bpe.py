@@ -21,9 +21,10 @@ import base64
 import hashlib
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import ahocorasick
 import numpy as np
@@ -38,7 +39,7 @@ from .common import map_batches, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a worker keeps, and the longest piece kept.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 
 
 def printable_bytes() -> dict[int, str]:
@@ -66,11 +67,10 @@ class Codec:
         self.risky = sorted({t + t[len(t) - k :] for t, ks in splits.items() for k in ks if len(t) - k in ks and t[k:] == t[: len(t) - k] and t[:k] != t[len(t) - k :]})
         self.finder = ahocorasick.Automaton()
         for s in self.risky:
-            self.finder.add_word(show(s), 1)
+            self.finder.add_word(s.decode("latin-1"), 1)
         if self.risky:
             self.finder.make_automaton()
         vocab = {show(t): i for t, i in ranks.items()}
-        self.shift = {b: c for b, c in self.table.items() if ord(c) != b}
         self.pieces, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.memo: dict[str, bytes | None] = {}
         self.missed = 0
@@ -90,21 +90,20 @@ class Codec:
         for c, b in self.reverse.items():
             self.byte_at[ord(c)] = b
 
-    def has_risk(self, text: str) -> bool:
-        shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shift)
-        return bool(self.risky) and next(self.finder.iter(shown), None) is not None
-
     def _learn(self, pieces: list[str]) -> dict[str, bytes | None]:
-        out: dict[str, bytes | None] = {}
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids = e.ids
-            if len(ids) > 1:
-                if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p):
-                    out[p] = None
-                    continue
-                if self.has_risk(p):
-                    ids = self.by_rank.encode_ordinary(p)
-            out[p] = array("I", ids).tobytes()
+        """Encodes new pieces in one call; what needs another way is looked for in all of them at once."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ends = list(accumulate(map(len, ids), initial=0))
+        flat = array("I", chain.from_iterable(ids)).tobytes()
+        out: dict[str, bytes | None] = {p: flat[4 * a : 4 * b] for p, a, b in zip(pieces, ends, ends[1:], strict=False)}
+        joined = "\0".join(pieces)
+        if self.risky:
+            starts = list(accumulate((len(p.encode("utf-8", "surrogatepass")) + 1 for p in pieces), initial=0))
+            bytewise = joined.encode("utf-8", "surrogatepass").decode("latin-1")
+            for k in {bisect_right(starts, end) - 1 for end, _ in self.finder.iter(bytewise)}:
+                out[pieces[k]] = array("I", self.by_rank.encode_ordinary(pieces[k])).tobytes()
+        if odd := {c for c in set(joined) if unicodedata.category(c) == "Cn"}:
+            out.update((p, None) for p in pieces if not odd.isdisjoint(p))
         return out
 
     def known(self, pieces: set[str]) -> dict[str, bytes | None]:
@@ -112,10 +111,13 @@ class Codec:
         new = [p for p in pieces if p not in self.memo]
         if not new:
             return self.memo
-        learnt = self._learn(sorted(new))
-        own = {p: learnt[p] if p in learnt else self.memo[p] for p in pieces}
+        learnt = self._learn(new)
         self.missed += len(new)
-        if len(self.memo) + len(new) > MEMO and self.missed > 4 * MEMO:
+        if len(self.memo) + len(new) <= MEMO and max(map(len, new)) <= MEMO_CHARS:
+            self.memo.update(learnt)
+            return self.memo
+        own = {p: learnt[p] if p in learnt else self.memo[p] for p in pieces}
+        if self.missed > 4 * MEMO:
             self.memo, self.missed = {}, 0
         if len(self.memo) + len(new) <= MEMO:
             self.memo.update((p, i) for p, i in learnt.items() if len(p) <= MEMO_CHARS)
@@ -203,7 +205,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
             columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(columns)])
 
-    return map_batches(docs.select(id_column, text_column), each, schema, rows=256)
+    return map_batches(docs.select(id_column, text_column), each, schema, rows=96)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def count_edited(docs: DataFrame, edits: Column, vocabulary: str | None = None)
         columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "reencoded_chars"])
 
-    return map_batches(docs.select("doc_id", "text", edits.alias("changes")), each, f"doc_id {kind}, n_tokens bigint, n_tokens_edited bigint, n_chars_edited bigint, reencoded_chars bigint", rows=256)
+    return map_batches(docs.select("doc_id", "text", edits.alias("changes")), each, f"doc_id {kind}, n_tokens bigint, n_tokens_edited bigint, n_chars_edited bigint, reencoded_chars bigint", rows=96)
 
 
 def usual_edits() -> Column:
