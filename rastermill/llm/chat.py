@@ -9,7 +9,6 @@ turn's text lies is found by rendering the turn with two other texts and compari
 from __future__ import annotations
 
 import hashlib
-import os.path
 import re
 from collections.abc import Callable, Iterator
 
@@ -22,10 +21,6 @@ from .common import read
 Messages = list[tuple[str, str]]
 Template = Callable[[Messages], str]
 
-#: Turns rendered before a turn, at most; with more, the first turn and the latest ones. So a conversation of any
-#: length is one stream of rows with bounded state.
-HISTORY = 16
-
 _CONTROL = re.compile(r"([<\[])(\\*)(/?(?:s>|INST\]))")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(/?(?:s>|INST\]))")
 _TURN = re.compile(r"<s>(?P<role>.*?)\[INST\] (?P<text>.*) \[/INST\]</s>\n", re.DOTALL)
@@ -33,6 +28,8 @@ _TURN = re.compile(r"<s>(?P<role>.*?)\[INST\] (?P<text>.*) \[/INST\]</s>\n", re.
 
 def escape(text: str) -> str:
     """Puts one more backslash into whatever looks like a control string, so that `unescape` undoes it exactly."""
+    if "<" not in text and "[" not in text:
+        return text
     return _CONTROL.sub(r"\1\2\\\3", text)
 
 
@@ -60,48 +57,43 @@ def read_turn(segment: str) -> tuple[str, str]:
     return unescape(m["role"]), unescape(m["text"])
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest prefix of both, by halving, since outputs are long."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 class Incremental:
-    """Locates the turns of one conversation at a time."""
+    """Locates the turns of one conversation at a time. Whole prefixes are rendered, since a template may number its
+    turns, depend on their count, or rewrite any of them.
+    """
 
     def __init__(self, template: Template):
         self.template = template
-        self.frames: dict[tuple, tuple[int, int]] = {}
         self.restart()
 
     def restart(self) -> None:
         self.messages: Messages = []
-        self.length = self.turns = 0
-
-    def _frame(self, before: Messages, output: str, role: str) -> tuple[int, int]:
-        """Characters of a turn's span before and after its text, from two probes with nothing in common."""
-        one, two = (self.template([*before, (role, t)]) for t in ("qqqqq", "zzzz"))
-        head = len(os.path.commonprefix([one, two]))
-        tail = len(os.path.commonprefix([one[head:][::-1], two[head:][::-1]]))
-        return head - len(os.path.commonprefix([output, one])), tail
+        self.before = self.template([])
 
     def add(self, role: str, text: str) -> tuple[str, int, int, bool, int]:
         """(span, text start in it, text end in it, history rewritten, characters that stay from before)."""
-        if len(self.messages) > HISTORY:
-            self.messages = [self.messages[0], *self.messages[2:]]
-        before = self.template(self.messages)
-        now = self.template([*self.messages, (role, text)])
-        same = len(before) if now.startswith(before) else len(os.path.commonprefix([before, now]))
+        before = self.before
+        one, two, now = (self.template([*self.messages, (role, t)]) for t in ("qqqqq", "zzzz", text))
+        head = common(one, two)
+        tail = common(one[head:][::-1], two[head:][::-1])
+        same = common(before, now)
         span = now[same:]
-        key = (role, self.messages[-1][0] if self.messages else None, min(len(self.messages), 2), same < len(before))
-        if key not in self.frames:
-            if len(self.frames) > 1000:
-                self.frames.clear()
-            self.frames[key] = self._frame(self.messages, before, role)
-        head, tail = self.frames[key]
-        rewritten = same < len(before)
-        if rewritten:  # lengths before the text then depend on the conversation
-            head, tail = self._frame(self.messages, before, role)
-        stays = self.length - (len(before) - same)
-        self.length = stays + len(span)
         self.messages.append((role, text))
-        self.turns += 1
-        lo = min(head, len(span))
-        return span, lo, max(lo, len(span) - tail), rewritten, stays
+        self.before = now
+        lo = min(max(head - same, 0), len(span))
+        return span, lo, max(lo, len(span) - tail), same < len(before), same
 
 
 def format_turns(conversations: DataFrame, template: Template = turn_template, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -109,7 +101,7 @@ def format_turns(conversations: DataFrame, template: Template = turn_template, l
     (code points in the formatted conversation), in_loss, rewrites.
 
     Rows are dealt by conversation and sorted by turn, then role and text (repeated turns stay), and pass as a stream;
-    a worker holds a few turns only. Null text and null role count as empty; rows with a null conv_id are one
+    a worker holds one conversation, and renders it three times a turn. Null text and null role count as empty; rows with a null conv_id are one
     conversation. Other columns are not read.
     """
     kinds = dict(conversations.dtypes)

@@ -178,6 +178,21 @@ def test_rewritten_history_is_found(spark):
     assert got[4].span[got[4].text_start - got[4].span_start : got[4].text_end - got[4].span_start] == "a2"
 
 
+def numbered_template(messages):
+    return "".join(f"{i} of {'many' if i > 12 else 'few'} {r}: {t}\n" for i, (r, t) in enumerate(messages))
+
+
+@pytest.mark.parametrize("template", [chat.moving_system_template, numbered_template])
+def test_templates_that_depend_on_far_turns(spark, template):
+    turns = [("system", "S"), ("user", "u1"), *[(("assistant", "tool")[i % 2], f"x{i}") for i in range(20)], ("user", "u2"), ("assistant", "end")]
+    frame = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    for r in chat.format_turns(frame, template).collect():
+        before, now = template(turns[: r.turn]), template(turns[: r.turn + 1])
+        assert r.rewrites == (not now.startswith(before)) and now[: r.span_start] == before[: r.span_start] and now[r.span_start :] == r.span
+        if r.role != "system":
+            assert now[r.text_start : r.text_end].removeprefix("S") == turns[r.turn][1]
+
+
 # Secrets
 
 
