@@ -1,12 +1,16 @@
 """Main text of web pages, with boilerplate found as long substrings repeated across a host's pages.
 
-Pages become blocks of text with the elements they stand in. Where a page marks its article, the article's blocks are
-the main text: a passage in it may well occur on other pages, and is kept. All other text of a host is read as one
+Pages become blocks of text with the elements they stand in. All text of a host outside marked articles is read as one
 concatenation of token streams, one a page. Its suffix array would put suffixes with the same first tokens side by
 side; a substring of at least `LONG` tokens that repeats is an interval of suffixes which share their first `LONG`.
 Those intervals are found by grouping suffixes on a fingerprint of these tokens, without putting a host's suffixes into
-one sorted list, so that a host with a third of all pages is summed up before any shuffle. Tokens covered by substrings
-that occur in different streams are boilerplate; on a page without a marked article, the uncovered runs are its text.
+one sorted list, so that a host with a third of all pages is summed up before any shuffle. Whole blocks, of articles
+too, are grouped in the same way whatever their length.
+
+What repeats is boilerplate where enough of the host's distinct pages hold it (`LEAST_PAGES`, `SHARE`); a quotation or
+an ordinary phrase is not. Near-copies of a page count as one page. On a page without a marked article, the uncovered
+runs are its text. Where an article is marked, its blocks are the text, since a passage in it may well occur on other
+pages, but for blocks that stand on most pages of the host (`ARTICLE_LEAST_PAGES`, `ARTICLE_SHARE`).
 """
 
 from __future__ import annotations
@@ -17,14 +21,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, mix64, read, settle, text_bytes, window_hashes, word_hashes
 
-#: Tokens in the shortest substring that counts as repeated; the mark before each block is a token.
-LONG = 6
+#: Tokens in the shortest substring that counts as repeated if it is not a whole block; the mark before each block is
+#: a token.
+LONG = 24
+#: Distinct pages of the host that must hold a substring, at least, and their share.
+LEAST_PAGES, SHARE = 3, 0.2
+#: The same for a whole block of a marked article.
+ARTICLE_LEAST_PAGES, ARTICLE_SHARE = 5, 0.5
+#: Pages are near-copies where so large a part of their minimum hashes over windows of `SHINGLE` tokens agrees.
+SHINGLE, BANDS, ROWS, ALIKE = 5, 12, 5, 0.7
+#: Repeats of all hosts that go to every executor, at most; more are joined by a shuffle.
+BROADCAST = 2_000_000
+_ODD = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 _TAGS = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -58,8 +71,8 @@ class Page:
         return [t for t, inside, out in self.blocks if inside and not out]
 
     def rest(self) -> Blocks:
-        """What the host's repeats are looked for in: all outside the article, or everything where none is marked."""
-        return [(t, out) for t, inside, out in self.blocks if not (self.has_article and inside)]
+        """All blocks that are not the article's text; everything where no article is marked."""
+        return [(t, out) for t, inside, out in self.blocks if not (self.has_article and inside and not out)]
 
 
 def _set_aside(name: str, rest: str) -> bool:
@@ -144,39 +157,90 @@ def parse(source: str | None) -> Page:
     return page
 
 
-def stream(rest: Blocks) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of the text outside the article, each block led by a mark, and where the marks are."""
-    if not rest:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words = word_hashes(text_bytes("\n".join(t for t, _ in rest)))
-    before = np.cumsum([0, *(t.count(" ") + 1 for t, _ in rest[:-1])])
-    return np.insert(words, before, np.uint64(0x51ED270B)), before + np.arange(len(rest))
+def stream(texts: list[str]) -> np.ndarray:
+    """Token hashes of blocks, each led by a mark."""
+    if not texts:
+        return np.zeros(0, np.uint64)
+    words = word_hashes(text_bytes("\n".join(texts)))
+    return np.insert(words, np.cumsum([0, *(t.count(" ") + 1 for t in texts[:-1])]), np.uint64(0x51ED270B))
 
 
 def _host_hash(host: str) -> np.uint64:
     return np.bitwise_xor.reduce(mix64(word_hashes(text_bytes(host)) + np.uint64(1))) if host else np.uint64(0)
 
 
-def suffix_heads(rest: Blocks, host: str) -> np.ndarray:
-    """Fingerprints of the first `LONG` tokens of each suffix, by position."""
-    tokens, _ = stream(rest)
-    return mix64(window_hashes(tokens, LONG) ^ _host_hash(host)) if len(tokens) >= LONG else np.zeros(0, np.uint64)
+def _lengths(texts: list[str]) -> np.ndarray:
+    return np.fromiter((t.count(" ") + 2 for t in texts), np.int64, len(texts))
+
+
+def _block_heads(tokens: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Fingerprints of whole blocks, from their stream."""
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(length) - length
+    place = (np.arange(len(tokens)) - np.repeat(first, length)).astype(np.uint64)
+    return mix64(np.add.reduceat(mix64(tokens ^ mix64(place)), first) + length.astype(np.uint64) + np.uint64(0xB10C))
 
 
-def unique_runs(rest: Blocks, heads: list[int]) -> tuple[list[str], int]:
+@dataclass
+class Units:
+    """What of a page can repeat: suffixes by position and whole blocks, outside the article, then the article's blocks."""
+
+    page: Page
+    host: np.uint64
+    heads: np.ndarray
+    outside: int
+    windows: np.ndarray
+
+
+def units_of(sources: list[str | None], hosts: list[str], shingles: bool = False) -> list[Units]:
+    """Pages are hashed together, since calls for single pages cost more than the work."""
+    pages = [parse(h) for h in sources]
+    parts = [([t for t, _ in p.rest()], p.main() if p.has_article else []) for p in pages]
+    rest, main = ([t for part in parts for t in part[k]] for k in (0, 1))
+    outside, article = stream(rest), stream(main)
+    rest_length, main_length = _lengths(rest), _lengths(main)
+    suffixes = window_hashes(outside, LONG) if len(outside) >= LONG else np.zeros(0, np.uint64)
+    rest_blocks, main_blocks = _block_heads(outside, rest_length), _block_heads(article, main_length)
+    out, r, m, i, j = [], 0, 0, 0, 0
+    for page, name, (own, marked) in zip(pages, hosts, parts, strict=True):
+        n, k = int(rest_length[i : i + len(own)].sum()), int(main_length[j : j + len(marked)].sum())
+        at = _host_hash(name)
+        heads = mix64(np.concatenate([suffixes[r : r + max(n - LONG + 1, 0)], rest_blocks[i : i + len(own)], main_blocks[j : j + len(marked)]]) ^ at)
+        windows = window_hashes(np.concatenate([article[m : m + k], outside[r : r + n]]), SHINGLE) if shingles else np.zeros(0, np.uint64)
+        out.append(Units(page, at, heads, len(heads) - len(marked), windows))
+        r, m, i, j = r + n, m + k, i + len(own), j + len(marked)
+    return out
+
+
+def signatures(windows: list[np.ndarray]) -> list[np.ndarray]:
+    """Minimum hashes of pages' windows; none for a page without text."""
+    length = np.array([len(w) for w in windows], np.int64)
+    if not length.any():
+        return [np.zeros(0, np.uint64)] * len(windows)
+    joined, first = np.concatenate(windows), (np.cumsum(length) - length)[length > 0]
+    least = iter(np.stack([np.minimum.reduceat(joined * k, first) for k in _ODD], axis=1))
+    return [next(least) if n else np.zeros(0, np.uint64) for n in length]
+
+
+def uncovered_runs(rest: Blocks, at: list[int]) -> tuple[list[str], int]:
     """(runs of words not covered by repeats, by block, of blocks that are not ruled out; code points covered), from
-    the positions of repeated heads.
+    the places of repeated heads: suffixes first, then whole blocks.
     """
-    runs, hidden, at = [], 0, 0
-    starts = np.asarray(sorted(heads), np.int64)
-    size = sum(t.count(" ") + 2 for t, _ in rest) + LONG
+    runs, hidden, first = [], 0, 0
+    size = sum(t.count(" ") + 2 for t, _ in rest)
+    suffixes = max(size - LONG + 1, 0)
     covered = np.zeros(size, bool)
-    for k in range(LONG):
-        covered[starts + k] = True
-    for text, out in rest:
+    whole = {k - suffixes for k in at if k >= suffixes}
+    for k in at:
+        if k < suffixes:
+            covered[k : k + LONG] = True
+    for i, (text, out) in enumerate(rest):
         words = text.split(" ")
-        here = covered[at + 1 : at + 1 + len(words)]
-        at += 1 + len(words)
+        here = covered[first + 1 : first + 1 + len(words)]
+        first += 1 + len(words)
+        if i in whole:
+            here = np.ones(len(words), bool)
         if here.any():
             hidden += sum(len(w) for w, c in zip(words, here, strict=True) if c)
             words = [w for w, c in zip(words, here, strict=True) if not c]
@@ -185,45 +249,78 @@ def unique_runs(rest: Blocks, heads: list[int]) -> tuple[list[str], int]:
     return runs, hidden
 
 
+def near_copies(units: DataFrame) -> DataFrame:
+    """row, page: for rows that are copies or near-copies of another one, the row they count as."""
+    bands = units.select("row", F.explode("bands").alias("band"))
+    led = bands.groupBy("band").agg(F.min("row").alias("page"), F.max("row").alias("high")).filter("page != high").select("band", "page")
+    pairs = bands.join(led, "band").filter("row != page").select("row", "page").distinct()
+    sign = units.select("row", "sign").dropDuplicates(["row"])
+    pairs = pairs.join(sign, "row").join(sign.select(F.col("row").alias("page"), F.col("sign").alias("other")), "page")
+    same = F.aggregate(F.zip_with("sign", "other", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    alike = pairs.filter(same >= ALIKE * BANDS * ROWS).groupBy("row").agg(F.min("page").alias("page"))
+    # The row with the least number of a group leads it; a leader that follows another one takes its followers along.
+    up = alike.select(F.col("row").alias("page"), F.col("page").alias("top"))
+    alike = alike.join(up, "page", "left").select("row", F.coalesce("top", "page").alias("page"))
+    twice = units.groupBy("row").count().filter("count > 1").select("row", F.col("row").alias("page"))
+    leaders = alike.select(F.col("page").alias("row"), "page").union(twice)
+    return alike.union(leaders).groupBy("row").agg(F.min("page").alias("page"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and repeated_chars (outside the article, covered by the host's repeats).
+    """page_id, url, text, n_chars and repeated_chars (code points of words that the host's repeats cover).
 
     One row comes out for each row in. Null html has no text, which is given as an empty string; a null url is a host
-    of its own. Copies of a page do not count as repeats of it: a substring must occur in two different streams.
+    of its own. Copies and near-copies of a page do not count as repeats of it.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     kinds = dict(pages.dtypes)
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("row"))
+    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64(host).alias("host_id"), F.xxhash64("page_id", "url", "html").alias("row"))
 
     def heads(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [suffix_heads(parse(h).rest(), s) for h, s in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)]
-        whole = [int(np.bitwise_xor.reduce(mix64(h + np.arange(len(h), dtype=np.uint64))).view(np.int64)) if len(h) else 0 for h in own]
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(whole, pa.int64()), pa.array([h.view(np.int64) for h in own], pa.list_(pa.int64()))], names=["row", "stream", "heads"])
-
-    suffixes = settle(map_batches(rows.select("row", "html", "host"), heads, "row bigint, stream bigint, heads array<bigint>"))
-    suffixes = suffixes.select("row", "stream", F.posexplode("heads").alias("at", "head"))
-    repeated = suffixes.groupBy("head").agg(F.min("stream").alias("low"), F.max("stream").alias("high")).filter("low != high").select("head")
-    covered = suffixes.select("row", "at", "head").join(repeated, "head").groupBy("row").agg(F.collect_set("at").alias("at"))
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parsed = [parse(h) for h in batch.column("html").to_pylist()]
-        # Articles are most of what the join moves, so they travel compressed.
-        pack = zstandard.ZstdCompressor().compress
-        main = pa.array([pack("\n\n".join(p.main()).encode("utf-8", "surrogatepass")) if p.has_article else None for p in parsed], pa.binary())
-        rest = [p.rest() for p in parsed]
-        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("page_id"), batch.column("url"), main, pa.array([[t for t, _ in r] for r in rest], pa.list_(pa.string())), pa.array([[o for _, o in r] for r in rest], pa.list_(pa.bool_()))], names=["row", "page_id", "url", "main", "rest", "aside"])
-
-    blocks = map_batches(rows.drop("host"), cut, f"row bigint, page_id {kinds['page_id']}, url {kinds['url']}, main binary, rest array<string>, aside array<boolean>")
+        units = units_of(batch.column("html").to_pylist(), batch.column("host").to_pylist(), shingles=True)
+        out = []
+        for u, sign in zip(units, signatures([u.windows for u in units]), strict=True):
+            bands = mix64(window_hashes(sign, ROWS)[::ROWS] ^ u.host ^ mix64(np.arange(BANDS, dtype=np.uint64))) if len(sign) else sign
+            out.append((u.heads.view(np.int64), bands.view(np.int64), mix64(sign).astype(np.uint8).view(np.int8)))
+        columns = list(zip(*out, strict=True)) if out else [()] * 3
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int8()))
+        return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["row", "host", "heads", "bands", "sign"])
+
+    units = settle(map_batches(rows.select("row", "html", "host", "host_id"), heads, "row bigint, host bigint, heads array<bigint>, bands array<bigint>, sign array<tinyint>"))
+    copies = settle(near_copies(units.select("row", "bands", "sign")))
+    # Pages without copies are summed up before the shuffle; of the others, each group counts once.
+    paged = units.select("row", "host", "heads").join(copies, "row", "left")
+    single, grouped = paged.filter("page IS NULL"), paged.filter("page IS NOT NULL")
+    pages_of = single.select("host").union(grouped.select("host", "page").distinct().select("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    head = F.explode(F.array_distinct("heads")).alias("head")
+    held = single.select("host", head).union(grouped.select("host", "page", head).distinct().select("host", "head"))
+    held = held.groupBy("host", "head").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    repeated = held.join(pages_of, "host").filter(F.col("n") >= SHARE * F.col("pages"))
+    most = (F.col("n") >= ARTICLE_LEAST_PAGES) & (F.col("n") > ARTICLE_SHARE * F.col("pages"))
+    # A host has at most 1 / SHARE times as many as a page has heads, on average, however many pages there are.
+    repeated = repeated.groupBy("host").agg(F.collect_list("head").alias("repeats"), F.collect_list(F.when(most, F.col("head"))).alias("most"))
+
+    repeated = settle(repeated.withColumnRenamed("host", "host_id"))
+    total = repeated.agg(F.sum(F.size("repeats") + F.size("most"))).first()[0] or 0
+    if total <= BROADCAST:  # then no page is moved
+        repeated = F.broadcast(repeated)
 
     def text(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, hidden, unpack = [], [], zstandard.ZstdDecompressor().decompress
-        for main, rest, aside, at in zip(*(batch.column(c).to_pylist() for c in ("main", "rest", "aside", "at")), strict=True):
-            runs, n = unique_runs(list(zip(rest, aside, strict=True)), at or [])
-            texts.append("\n\n".join(runs) if main is None else unpack(main).decode("utf-8", "surrogatepass"))
+        texts, hidden = [], []
+        none = pa.scalar([], pa.list_(pa.int64())).values
+        for u, some, most in zip(units_of(batch.column("html").to_pylist(), batch.column("host").to_pylist()), batch.column("repeats"), batch.column("most"), strict=True):
+            own = u.heads.view(np.int64)
+            outside, inside = (np.flatnonzero(np.isin(x, (y.values if y.is_valid else none).to_numpy(zero_copy_only=False))).tolist() for x, y in ((own[: u.outside], some), (own[u.outside :], most)))
+            runs, n = uncovered_runs(u.page.rest(), outside)
+            if u.page.has_article:
+                gone, blocks = set(inside), u.page.main()
+                runs = [t for i, t in enumerate(blocks) if i not in gone]
+                n += sum(len(blocks[i]) - blocks[i].count(" ") for i in gone)
+            texts.append("\n\n".join(runs))
             hidden.append(n)
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(hidden, pa.int64())], names=["page_id", "url", "text", "n_chars", "repeated_chars"])
 
-    return map_batches(blocks.join(covered, "row", "left").drop("row"), text, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint, repeated_chars bigint")
+    return map_batches(rows.join(repeated, "host_id", "left").select("page_id", "url", "html", "host", "repeats", "most"), text, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint, repeated_chars bigint")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

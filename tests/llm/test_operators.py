@@ -548,3 +548,34 @@ def test_repeats_are_removed_where_no_article_is_marked(spark):
     assert len(got[90]) == 2 and set(got[90]) == set(got[0]) and got[91] == [""] and got[93] == [""]
     assert got[92] == [f"{shared}\n\nq"]
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(n))
+
+
+def test_near_copies_and_quotations_are_no_repeats(spark):
+    rng = random.Random(5)
+    body = "".join(f"<p>{prose(rng, 40)}</p>" for _ in range(6))
+    quote = prose(rng, 40)
+    rows = [(i, f"http://h.example/a?v={i}", f"{body}<p>version {i} of {prose(rng, 3)}</p>") for i in range(4)]
+    rows += [(10 + i, f"http://h.example/{i}", f"<p>{prose(rng, 60)}</p><p>{prose(rng, 9)} {quote if i < 2 else prose(rng, 40)}</p><div>all rights reserved</div>") for i in range(12)]
+    got = texts_of(spark, rows)
+    for i, _, page in rows:
+        want = [w for w in re.findall(r"<p>(.*?)</p>", page)]
+        assert got[i].split("\n\n") == want
+
+
+def test_phrases_of_a_large_host_stay(spark):
+    rng = random.Random(6)
+    phrases = [prose(rng, 7) for _ in range(30)]
+    line = prose(rng, 30)
+    rows = [(i, f"http://big.example/{i}", f"<p>{prose(rng, 20)} {rng.choice(phrases)} {prose(rng, 20)} {rng.choice(phrases)}</p><p>{prose(rng, 5)} {line}</p>") for i in range(600)]
+    got = texts_of(spark, rows)
+    for i, _, page in rows:
+        first, second = re.findall(r"<p>(.*?)</p>", page)
+        assert got[i] == first + "\n\n" + second.removesuffix(" " + line)
