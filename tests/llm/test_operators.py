@@ -579,3 +579,12 @@ def test_phrases_of_a_large_host_stay(spark):
     for i, _, page in rows:
         first, second = re.findall(r"<p>(.*?)</p>", page)
         assert got[i] == first + "\n\n" + second.removesuffix(" " + line)
+
+
+def test_blocks_on_most_pages_leave_the_article(spark):
+    rng = random.Random(8)
+    line, quote = "Sign up for our letter", prose(rng, 30)
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{prose(rng, 50)}</p><p>{line}</p>{f'<p>{quote}</p>' if i < 3 else ''}</article>") for i in range(10)]
+    got = texts_of(spark, rows)
+    for i, _, page in rows:
+        assert got[i].split("\n\n") == [t for t in re.findall(r"<p>(.*?)</p>", page) if t != line]
