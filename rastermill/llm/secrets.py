@@ -21,8 +21,10 @@ from .common import like, map_batches, read, text_bytes
 
 #: Documents read for training (those with the least hash of their id), and the longest text among them.
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
-#: Shortest token looked at, and the log-likelihood ratio it needs in all and by character.
-SHORTEST, LEAST, LEAST_EACH = 16, 12.0, 1.0
+#: Shortest token looked at; the log-likelihood ratio needed in all and by character: by a whole run with digits of
+#: `USUAL` characters or more, by a part of such a run, and by shorter ones and those without digits.
+SHORTEST, USUAL = 12, 16
+LEAST, PART, STRICT = (12.0, 1.0), (20.0, 1.5), (24.0, 2.0)
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -82,21 +84,52 @@ class Models:
     def spans(self, text: str, data: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         out, at = [], None
         for a, b in _runs(_TOKEN[data], SHORTEST):
-            while a < b and data[a] in b"=/-_+":
-                a += 1
-            while b > a and data[b - 1] in b"/-_+":
-                b -= 1
-            token = data[a:b]
-            digits = int(((token >= 48) & (token <= 57)).sum())
-            if b - a < SHORTEST or not 0 < digits < b - a:
-                continue
-            if (ratio := self.score(token)) >= LEAST and ratio >= LEAST_EACH * (b - a):
+            for lo, hi in self._found(data, a, b):
                 at = at or Chars(data)
-                lo, hi = at(a), at(b)
+                lo, hi = at(lo), at(hi)
                 if not any(x < hi and lo < y for _, x, y in base):
                     out.append(("random", lo, hi))
         return out
 
+    def _passes(self, token: np.ndarray, limits: tuple[float, float]) -> bool:
+        if len(token) < SHORTEST:
+            return False
+        if len(token) < USUAL or not ((token >= 48) & (token <= 57)).any():
+            limits = STRICT
+        if self.score(token) < limits[1] * len(token):
+            return False
+        # A pair that comes again is no further evidence, else any one letter repeated would pass.
+        return self.score(token) >= limits[0] and float(self.pair.ravel()[np.unique(_CODE[token[:-1]] * len(ALPHABET) + _CODE[token[1:]])].sum()) >= limits[0] / 2
+
+    def _found(self, data: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
+        """The run if it passes, or else its best parts, one after another: a key may be joined to a path or a name."""
+        out, todo, limits = [], [(a, b)], LEAST
+        while todo:
+            lo, hi = a, b = todo.pop()
+            if limits is PART:
+                if b - a < SHORTEST:
+                    continue
+                code = _CODE[data[a:b]]
+                gain = np.cumsum(np.concatenate([[0.0], self.pair[code[:-1], code[1:]] - PART[1]]))
+                least = np.minimum.accumulate(gain)
+                end = int((gain - least).argmax())
+                lo, hi = a + int(gain[: end + 1].argmin()), a + end + 1
+            cut = lo, hi
+            while lo < hi and data[lo] in b"=/-_+":
+                lo += 1
+            while hi > lo and data[hi - 1] in b"/-_+":
+                hi -= 1
+            if self._passes(data[lo:hi], limits):
+                out.append((lo, hi))
+                if limits is PART:
+                    todo += [(a, cut[0]), (cut[1], b)]
+            elif limits is LEAST:
+                limits = PART
+                todo.append((a, b))
+            elif cut[1] - cut[0] > 1:
+                todo += [(a, cut[0]), (cut[1], b)]
+        return sorted(out)
+
 
 def _counts(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(ALPHABET)

@@ -226,6 +226,16 @@ def test_models_tell_keys_from_names(spark, docs, sf_dir):
     assert len(clean) <= 1
 
 
+def test_keys_without_digits_and_joined_keys(spark, sf_dir):
+    models = secrets.train(common.read(spark, sf_dir, "documents"))
+    rng = random.Random(4)
+    found = lambda s: any(k == "random" for k, _, _ in secrets.spans_of(s, models)[1])
+    letters = ["".join(rng.choices(secrets.ALPHABET[:52], k=24)) for _ in range(200)]
+    assert np.mean([found(s) for s in letters]) > 0.9
+    joined = ["the/and/configuration/controller/document/" + "".join(rng.choices(secrets.ALPHABET[:62], k=32)) for _ in range(200)]
+    assert np.mean([found(s) for s in joined]) > 0.9
+
+
 def test_redaction_of_odd_rows(odd, spark):
     got = secrets.find_secrets(odd)
     assert got.count() == len(ODD) and got.filter("spans != ''").count() == 0
