@@ -9,7 +9,7 @@ same token; leftmost must win, while a merge list prefers one of the two splits.
 x + y + z for which that can happen; a piece that holds one of them is encoded by the rank library instead.
 
 The pattern cuts a text into pieces, and pieces repeat: a worker keeps the ids of those it has met, up to `MEMO` of
-them, and the library sees each new piece of a batch once.
+them, until its partition ends; the library sees each new piece of a batch once.
 
 Character classes differ between Unicode versions only where a code point was unassigned before. A text with a code
 point that this Python does not know goes to the rank library whole.
@@ -39,7 +39,7 @@ from .common import map_batches, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose ids a worker keeps, and the longest piece kept.
-MEMO, MEMO_CHARS = 200_000, 64
+MEMO, MEMO_CHARS = 150_000, 64
 
 
 def printable_bytes() -> dict[int, str]:
@@ -134,6 +134,10 @@ class Codec:
                 out.append(array("I", self.by_rank.encode_ordinary(text)).tobytes())
         return out
 
+    def forget(self) -> None:
+        """Frees what was learnt from texts; the vocabulary stays."""
+        self.memo, self.missed = {}, 0
+
     def counts(self, pieces: list[str], known: dict[str, bytes | None] | None = None) -> list[int]:
         """Tokens of each piece alone."""
         known = self.known(set(pieces)) if known is None else known
@@ -205,7 +209,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
             columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(columns)])
 
-    return map_batches(docs.select(id_column, text_column), each, schema, rows=96)
+    return map_batches(docs.select(id_column, text_column), each, schema, rows=96, after=lambda: codec(path).forget())
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

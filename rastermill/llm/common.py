@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -78,17 +81,40 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
-    """`mapInArrow` over slices of at most `rows` rows, so that long texts do not pile up in a worker."""
+#: Bytes in one Arrow batch between Spark and a Python worker, at most; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512, after: Callable[[], None] | None = None) -> DataFrame:
+    """`mapInArrow` over slices of at most `rows` rows, so that long texts do not pile up in a worker.
+
+    A session whose batches may be larger than `BATCH_BYTES` gets that limit. `after` is called when a partition ends;
+    workers live on, so what they have freed is then given back to the system.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                yield each(batch.slice(lo, rows))
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, rows):
+                    yield each(batch.slice(lo, rows))
+        finally:
+            if after:
+                after()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def like(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -104,38 +130,54 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, from `spark.checkpoint.dir`. Where the session names none, only a driver
+    that runs everything itself, as in tests, gets a temporary one.
+    """
+    context = spark.sparkContext
+    have = context._jsc.sc().getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or (have.get() if have.isDefined() else None)
     if not where:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="checkpoint-")
+    if not have.isDefined():
+        context.setCheckpointDir(where)
     return where
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Computes a table once and cuts its lineage; the rows lie in the shared folder and outlive executors."""
+    """Computes a table once and cuts its lineage; the rows lie in the shared folder and outlive executors. Spark
+    removes them with `spark.cleaner.referenceTracking.cleanCheckpoints` once nothing refers to them.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Intermediate tables of one operator call: Parquet in the shared folder, deleted together at the end."""
+    """Intermediate tables of one operator call: Parquet in the shared folder, deleted together when the block ends,
+    by an error too.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.folder)
+
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.folder}/{self.n}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def close(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
