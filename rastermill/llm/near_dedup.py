@@ -8,15 +8,16 @@ and only while they can still be the earliest of some component, which is what m
 
 Texts with the same words are one node. Nodes that share a band of the signature are candidates. A bucket is not
 expanded into pairs: a leader is compared with the members that are not in its component yet, then leaves the bucket.
-Leaders are the nodes with the most links so far, and their number grows fourfold each round, so a bucket of one group is
-done in a round or two.
-
-What is left after two rounds are mostly texts that share a common passage and are not similar. A text of weight n
-splits into common windows (weight c), those in more than `COMMON` of the texts left, and rare ones. Similar texts
-overlap in at least 0.8 / 1.8 of their joint weight, so two texts with less common weight than that share rare windows.
-Hence a bucket's leader is compared with those members only whose common weight could suffice, and all other pairs are
-looked for in groups of texts with a rare window in common, of which no group is large. `SLACK` moves pairs that need
-very few rare windows to the first kind, so that the rare windows' own signature finds all of the second.
+Leaders are the nodes with the most links so far, and their number grows fourfold each round and then eightfold, so a
+bucket of one group is done in a round or two.
+
+What is left after two rounds are mostly texts that share a common passage and are not similar. Their windows are of
+three kinds: those that one component alone holds, common ones, in more than `COMMON` of the texts left, and shared
+ones. A text of weight n can be similar to one of another component only where common and shared windows make up 4n/5.
+With common weight c, a similar text then shares at least k = 4n/5 - c of its shared windows; so, in an order that is
+the same for all texts, one of the first ones, up to a rest below k, is among those of the other text, too (prefix
+filter). Texts are therefore looked for in groups with such a window, of which none is large; only texts whose common
+windows alone make up 4n/5 stay in their old buckets. No pair is lost by this, whatever the sizes of texts and groups.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, map_batches, mix64, read, settle, text_bytes, window_hashes, word_hashes
@@ -37,8 +37,11 @@ WIDTH, SIMILAR = 5, 0.8
 #: A pair at 0.8 shares one of 20 bands of 5 components with a probability of 0.9996; one at 0.3 with 0.05.
 BANDS, ROWS = 20, 5
 
-#: Texts that a rare window is in at most; components of the rare windows' signature; share of the joint weight.
-COMMON, RARE_SIZE, SLACK = 32, 128, 0.005
+#: Texts that a window is in at most, if it is not a common one.
+COMMON = 32
+#: Kinds of windows go to all executors as two bitmaps of up to 2 ** `SLOT_BITS` hash slots (8 MB each), with at least
+#: `SLOTS_EACH` slots a window; for more windows, kinds are joined to them by a shuffle.
+SLOT_BITS, SLOTS_EACH = 26, 8
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -174,69 +177,115 @@ def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(keys ^ _OTHER) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def common_slots(bags: DataFrame, bits: int) -> np.ndarray:
-    """Marks the slots of windows that more than `COMMON` texts hold, counted by slot: 2 ** bits marks, so its size is
-    bounded, and no common window is missed. Slots are summed within a batch before they are moved.
+def _kinds(rows: DataFrame, key: str) -> DataFrame:
+    """(key, often) of windows or slots that more than one component holds, from (key, n, low, high) rows."""
+    sums = rows.groupBy(key).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    often = F.col("n") > COMMON
+    return sums.filter((F.col("low") != F.col("high")) | often).select(key, often.alias("often"))
+
+
+def slot_marks(left: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the slots of common and of shared windows. Texts are counted by slot, so a window's kind may come out
+    as a more frequent one, which costs time but loses nothing. Slots are summed within a batch before they are moved.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                own = [np.unique(_slots(np.frombuffer(k, np.uint64), bits)) for k in batch.column("keys").slice(lo, 512).to_pylist()]
-                slot, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot + 1), pa.array(n)], names=["slot", "n"])
-
-    sums = bags.select("keys").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON)
-    maps = sums.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m"))
-    marks = np.zeros((max(1, (1 << bits) >> 15), 1 << 12), np.uint8)
+                part = batch.slice(lo, 512)
+                own = [np.unique(_slots(np.frombuffer(k, np.uint64), bits)) for k in part.column("keys").to_pylist()]
+                comp = np.repeat(part.column("comp").to_numpy(), [len(x) for x in own])
+                slot, back, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+                low, high = np.full(len(slot), np.iinfo(np.int64).max), np.full(len(slot), -1)
+                np.minimum.at(low, back, comp)
+                np.maximum.at(high, back, comp)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot + 1, n, low, high)], names=["slot", "n", "low", "high"])
+
+    kinds = _kinds(left.select("keys", "comp").mapInArrow(run, "slot bigint, n bigint, low bigint, high bigint"), "slot")
+    at = F.bitmap_bit_position("slot")
+    maps = kinds.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(*[F.bitmap_construct_agg(F.when(F.col("often") == kind, at)).alias(name) for name, kind in (("often", True), ("shared", False))])
+    marks = np.zeros((2, max(1, (1 << bits) >> 15), 1 << 12), np.uint8)
     for row in maps.collect():
-        marks[row.k - 1] = np.frombuffer(bytes(row.m), np.uint8)
-    return marks.ravel()
+        marks[0, row.k - 1], marks[1, row.k - 1] = (np.frombuffer(bytes(x), np.uint8) for x in (row.often, row.shared))
+    return marks[0].ravel(), marks[1].ravel()
 
 
-def rare_keys(bags: DataFrame, marks: np.ndarray, bits: int) -> DataFrame:
-    """(node, common, keys): weight of a text's common windows, and keys for its rare ones: each of up to `RARE_SIZE`,
-    and their signature, which texts with more of them have alone.
-    """
-    shared = bags.sparkSession.sparkContext.broadcast(marks)
+def _listed(size: int, common: int, keys: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
+    """Of a text's shared windows, those it is looked for by; None if no text of another component can be similar."""
+    need, have = -(-4 * size // 5) - common, int(weight.sum())
+    if have < need:
+        return None
+    order = np.argsort(mix64(keys ^ _STEP))
+    if need >= 1:
+        upto = np.cumsum(weight[order])
+        order = order[upto - weight[order] <= have - need]
+    return mix64(keys[order] * _OTHER + _STEP).view(np.int64)
+
+
+_LISTED = "node bigint, windows bigint, comp bigint, common bigint, listed array<bigint>"
+
+
+def _listed_rows(batch: pa.RecordBatch, common: list[int], shared: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    found = [_listed(n, c, *own) for n, c, own in zip(batch.column("windows").to_pylist(), common, shared, strict=True)]
+    some = pa.array([x is not None for x in found], pa.bool_())
+    columns = [batch.column(c) for c in ("node", "windows", "comp")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(common, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "windows", "comp", "common", "listed"]).filter(some)
+
+
+def listed_by_marks(left: DataFrame, bits: int) -> DataFrame:
+    """(node, windows, comp, common, listed) of the texts that may be similar to one of another component."""
+    shared = left.sparkSession.sparkContext.broadcast(slot_marks(left, bits))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common, keys = [], []
-        for own, weight in map(_bag_of, batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-            slot = _slots(own, bits)
-            often = (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        common, own = [], []
+        for keys, weight in map(_bag_of, batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+            slot = _slots(keys, bits)
+            often, some = ((m[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1 for m in shared.value)
             common.append(int(weight[often].sum()))
-            size = int(weight.sum())
-            own, weight = own[~often], weight[~often]
-            found = [mix64(own * _OTHER + _STEP)] if len(own) <= RARE_SIZE else []
-            if len(own) and size >= SIMILAR * RARE_SIZE:  # a similar text may have too many to be listed
-                found.append(mix64(signature(own, weight, RARE_SIZE).view(np.uint64) ^ np.arange(1, RARE_SIZE + 1, dtype=np.uint64) * _STEP))
-            keys.append(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(common, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "common", "keys"])
-
-    return map_batches(bags, each, "node bigint, common bigint, keys array<bigint>")
-
-
-def _by_rare_windows(members: DataFrame, bags: DataFrame, scratch: Scratch) -> DataFrame:
-    """New buckets for what is left: by rare window, and the old ones with those texts that common windows could join."""
-    left = scratch.keep(members.select("node", "windows", "comp").distinct())
-    mine = scratch.keep(bags.join(left.select("node"), "node", "left_semi"))
-    windows = left.agg(F.sum("windows")).first()[0]
-    bits = int(np.clip(np.ceil(np.log2(16 * windows + 1)), 20, 30))
-    keys = scratch.keep(rare_keys(mine, common_slots(mine, bits), bits))
-    enough = SIMILAR / (1 + SIMILAR) - SLACK
-    old = members.join(keys.select("node", F.col("common").alias("own")), "node").filter(F.col("own") >= enough * (1 + SIMILAR) * F.col("windows"))
-    old = old.select("bucket", "node", "windows", "comp", "degree", F.col("own").alias("common"))
-    rare = keys.select("node", F.explode("keys").alias("bucket"))
-    many = rare.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    rare = rare.join(many, "bucket").join(left, "node").select("bucket", "node", "windows", "comp", F.lit(0).cast("long").alias("degree"), F.lit(None).cast("long").alias("common"))
-    return scratch.keep(old.unionByName(rare))
+            own.append((keys[some], weight[some]))
+        return _listed_rows(batch, common, own)
+
+    return map_batches(left.select("node", "windows", "comp", "keys", "counts"), each, _LISTED)
+
+
+def listed_by_join(left: DataFrame) -> DataFrame:
+    """The same with every window as a row, for tables whose windows are too many for bitmaps."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, comp, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "keys", "counts")), strict=True):
+                own, weight = _bag_of(keys, counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(np.full(len(own), comp)), pa.array(own.view(np.int64)), pa.array(weight)], names=["node", "comp", "key", "weight"])
+
+    windows = left.select("node", "comp", "keys", "counts").mapInArrow(rows, "node bigint, comp bigint, key bigint, weight bigint")
+    kinds = _kinds(windows.select("key", F.lit(1).alias("n"), F.col("comp").alias("low"), F.col("comp").alias("high")), "key")
+    of_text = windows.join(kinds, "key").groupBy("node").agg(F.sum(F.when(F.col("often"), F.col("weight"))).alias("common"), F.collect_list(F.when(~F.col("often"), F.struct("key", "weight"))).alias("own"))
+    full = left.select("node", "windows", "comp").join(of_text, "node", "left").select("node", "windows", "comp", F.coalesce("common", F.lit(0)).alias("common"), F.col("own.key").alias("keys"), F.col("own.weight").alias("weights"))
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [(np.array(k or [], np.int64).view(np.uint64), np.array(w or [], np.int64)) for k, w in zip(batch.column("keys").to_pylist(), batch.column("weights").to_pylist(), strict=True)]
+        return _listed_rows(batch, batch.column("common").to_pylist(), own)
+
+    return map_batches(full, each, _LISTED)
+
+
+def _by_shared_windows(members: DataFrame, bags: DataFrame, scratch: Scratch) -> DataFrame:
+    """New buckets for what is left: by shared window, and the old ones with the texts that common windows could join."""
+    left = scratch.keep(bags.join(members.select("node", "windows", "comp").distinct(), "node"))
+    bits = max(int(left.agg(F.sum("windows")).first()[0] * SLOTS_EACH).bit_length(), 16)
+    listed = scratch.keep(listed_by_marks(left, bits) if bits <= SLOT_BITS else listed_by_join(left))
+    alone = listed.filter(5 * F.col("common") >= 4 * F.col("windows")).select("node", F.col("common").alias("own"))
+    old = members.join(alone, "node").select("bucket", "node", "windows", "comp", "degree", F.col("own").alias("common"))
+    by_window = listed.select("node", "windows", "comp", F.explode("listed").alias("bucket"))
+    many = by_window.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
+    new = by_window.join(many, "bucket").select("bucket", "node", "windows", "comp", F.lit(0).cast("long").alias("degree"), F.lit(None).cast("long").alias("common"))
+    return scratch.keep(old.unionByName(new))
 
 
 def _could_join() -> Column:
     """Weights allow similarity, and in buckets by common windows these could suffice."""
-    sizes = F.least("windows", "size") >= SIMILAR * F.greatest("windows", "size")
-    enough = F.least("common", "leader_common") >= (SIMILAR / (1 + SIMILAR) - SLACK) * (F.col("windows") + F.col("size"))
+    sizes = (5 * F.col("windows") >= 4 * F.col("size")) & (5 * F.col("size") >= 4 * F.col("windows"))
+    enough = 9 * F.least("common", "leader_common") >= 4 * (F.col("windows") + F.col("size"))
     return sizes & (F.col("common").isNull() | enough)
 
 
@@ -259,7 +308,7 @@ def similar_components(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> D
         if state.isEmpty():
             return comp
         if turn == 2:
-            members, turn = _by_rare_windows(state, bags, scratch), 3
+            members, turn = _by_shared_windows(state, bags, scratch), 3
             continue
         part = F.pmod(F.xxhash64("node"), F.lit(leaders))
         lead = state.groupBy("bucket", part.alias("part")).agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", "windows", "comp", "common")).alias("l"))
@@ -282,7 +331,7 @@ def similar_components(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> D
                 degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("more"))
                 rest = rest.join(moved, "comp", "left").join(degree, "node", "left").select("bucket", "node", "windows", F.coalesce("to", "comp").alias("comp"), (F.col("degree") + F.coalesce("more", F.lit(0).cast("long"))).alias("degree"), "common")
         members = scratch.keep(rest.select("bucket", "node", "windows", "comp", "degree", "common"))
-        leaders *= 4
+        leaders *= 4 if turn < 3 else 8
         turn += 1
 
 
@@ -315,37 +364,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    scratch = Scratch(docs.sparkSession)
-    signed = scratch.keep(sign(docs))
-    nodes = signed.groupBy("words").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("windows").alias("windows"), F.first("bands").alias("bands"))
-    # Once written, a node's number stays.
-    nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "words", "least.doc_id", "least.text_hash", "windows", "bands"))
-    comp = similar_components(nodes, docs, scratch)
-    of = nodes.select("words", "node")
-    if comp is not None:
-        of = of.join(comp, "node", "left").select("words", F.coalesce("comp", "node").alias("comp"))
-    else:
-        of = of.withColumnRenamed("node", "comp")
-    rows = settle(signed.select("doc_id", "text_hash", "words").join(of, "words").select("doc_id", "text_hash", "comp"))
-    scratch.close()
-    sums = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("class_size"))
-    sums = sums.select("comp", F.col("least.doc_id").alias("class_id"), F.col("least.text_hash").alias("class_hash"), "class_size")
-    out = rows.join(sums, "comp").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash")))
-    return out, rows
+    """(doc_id, text_hash, class_id, class_size, kept) by row, and the (doc_id, text_hash) of repeated rows."""
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.keep(sign(docs))
+        nodes = signed.groupBy("words").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("windows").alias("windows"), F.first("bands").alias("bands"))
+        # Once written, a node's number stays.
+        nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "words", "rows", "least.doc_id", "least.text_hash", "windows", "bands"))
+        comp = similar_components(nodes, docs, scratch)
+        of = nodes.select("node", "words", "rows", "doc_id", "text_hash")
+        of = of.withColumn("comp", F.col("node")) if comp is None else of.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        of = scratch.keep(of.select("words", "rows", "doc_id", "text_hash", "comp"))
+        # Classes are summed up over nodes, not rows, and then meet the rows by their words.
+        sums = of.groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.sum("rows").alias("class_size"))
+        sums = scratch.keep(sums.select("comp", F.col("least.doc_id").alias("class_id"), F.col("least.text_hash").alias("class_hash"), "class_size"))
+        by_words = scratch.keep(of.select("words", "comp").join(sums, "comp").select(F.col("words").alias("own"), "class_id", "class_hash", "class_size"))
+        out = signed.select("doc_id", "text_hash", "words").join(by_words, F.col("words") == F.col("own"))
+        out = settle(out.select("doc_id", "text_hash", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("class_hash"))).alias("kept")))
+        twice = settle(out.filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "text_hash"))
+    return out, twice
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their classes, with all their columns; of repeated rows, one stays."""
-    out, signed = _classes(docs)
-    names = {c: fresh(docs, f"dedup_{c}") for c in ("id", "hash", "text_hash", "rank")}
-    keep = settle(out.filter("kept").select(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"])).distinct())
+    """The documents that stand for their classes, with all their columns; of repeated rows, one stays.
+
+    Null and empty texts and texts of blanks alone are one class; an empty table gives none. Columns may have any name.
+    """
+    out, twice = _classes(docs)
+    names = {c: fresh(docs, f"dedup_{c}") for c in ("id", "hash", "text_hash")}
+    keys = lambda t: t.select(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"]))
     full = docs.withColumn(names["text_hash"], F.xxhash64("text"))
-    same = lambda t: F.col("doc_id").eqNullSafe(F.col(names["id"])) & (F.col(names["text_hash"]) == F.col(names["hash"]))
-    kept = full.join(keep, same(keep), "left_semi")
-    twice = settle(signed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(names["id"]), F.col("text_hash").alias(names["hash"])))
+    same = F.col("doc_id").eqNullSafe(F.col(names["id"])) & (F.col(names["text_hash"]) == F.col(names["hash"]))
+    kept = full.join(keys(out.filter("kept")), same, "left_semi")
     if not twice.isEmpty():
-        again = kept.join(twice, same(twice), "left_semi").withColumn(names["rank"], F.row_number().over(W.partitionBy("doc_id", names["text_hash"]).orderBy("doc_id"))).filter(F.col(names["rank"]) == 1)
-        kept = kept.join(twice, same(twice), "left_anti").unionByName(again.drop(names["rank"]))
+        # Repeats are thinned within each task before any is moved.
+        again = kept.join(keys(twice), same, "left_semi").dropDuplicates(["doc_id", names["text_hash"]])
+        kept = kept.join(keys(twice), same, "left_anti").unionByName(again)
     return kept.select(*docs.columns)
 
 

@@ -110,6 +110,53 @@ def test_a_hub_joins_copies_that_are_not_alike(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def passages(rng):
+    """Texts that share a long common passage, some of them alike; short ones, and ones of many hundred own words."""
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common = [word() for _ in range(150)]
+    texts = []
+    for k in range(90):
+        own = [word() for _ in range(rng.choice([30, 60, 80]) if k % 9 else 900)]
+        copies = [own] * rng.choice([1, 1, 2, 3])
+        for words in copies:
+            words = list(words)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(common + words))
+    texts += [" ".join(common + [word()] * rng.randrange(1, 9)) for _ in range(40)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("bits", [near_dedup.SLOT_BITS, 0])
+def test_common_passages_and_what_texts_share_besides(spark, monkeypatch, bits):
+    """Both ways to find the kinds of windows: bitmaps, and a join where windows are too many for them."""
+    monkeypatch.setattr(near_dedup, "SLOT_BITS", bits)
+    texts = passages(random.Random(9))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_listed_windows_meet_in_every_similar_pair():
+    """Prefixes of two texts' shared windows have one in common wherever their overlap suffices."""
+    rng = np.random.default_rng(12)
+    met = 0
+    for _ in range(3000):
+        keys = rng.integers(0, 2**63, 40).astype(np.uint64)
+        a, b = (rng.integers(0, 4, 40) * (rng.random(40) < 0.97) for _ in range(2))
+        b = np.where(rng.random(40) < 0.9, a, b)
+        often = np.arange(40) < rng.integers(0, 36)
+        both, n, m = int(np.minimum(a, b).sum()), int(a.sum()), int(b.sum())
+        if not both or both / (n + m - both) < 0.8:
+            continue
+        own = [near_dedup._listed(int(w.sum()), int(w[often].sum()), keys[~often & (w > 0)], w[~often & (w > 0)]) for w in (a, b)]
+        assert own[0] is not None and own[1] is not None
+        alone = all(5 * int(w[often].sum()) >= 4 * int(w.sum()) for w in (a, b)) and 9 * min(int(w[often].sum()) for w in (a, b)) >= 4 * (n + m)
+        assert alone or set(own[0].tolist()) & set(own[1].tolist())
+        met += 1
+    assert met > 500
+
+
 def test_signatures_are_unbiased():
     rng, errors = np.random.default_rng(1), []
     for _ in range(300):
