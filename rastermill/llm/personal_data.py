@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +64,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Letters of other scripts that look like Latin ones; compatibility forms follow from Unicode itself.
-LOOK_ALIKE = dict(zip("АВЕЅІЈКМНОРСТХУЗавеѕіјкмнорстхуԁԛԝһӏΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονιρτυχκϲ", "ABESIJKMHOPCTXY3abesijkmhopctxydqwhlABEZHIKMNOPTYXaovlptuxkc", strict=False))
+#: Letters of other scripts that look like Latin ones (fixed values); compatibility forms follow from Unicode itself.
+LOOK_ALIKE = {
+    **dict(zip("АВЕЅІЈКМНОРСТХУЗ", "ABESIJKMHOPCTXY3", strict=True)),
+    **dict(zip("авеѕіјкмнорстхуԁԛԝһӏ", "abesijkmhopctxydqwhl", strict=True)),
+    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX", strict=True)),
+    **dict(zip("αονιρτυχκϲ", "aoviptuxkc", strict=True)),
+}
 _OTHER_SCRIPT = re.compile("[Ͱ-֏؀-ۿऀ-෿๐-๙Ꭰ-᏿­​-‏‐-―․‪-‮⁠-⁤⁰-ₜ℀-⅏①-⓿❶-➓　-。︀-️﹒﹫﻿＀-￯\U0001d400-\U0001d7ff\U0001f100-\U0001f1ff]")
 
 
@@ -95,10 +102,14 @@ _AT = r"(?:at|arroba|chez|ät)"
 #: At least two spelled or plain digits apart, one of them spelled; with plus before and parentheses, dots between.
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus)\s+)?(?:double\s+|triple\s+)?{_DIGIT}(?:(?:[\s()-]|\.|\s{_POINT}\s){{1,4}}(?:double\s+|triple\s+)?{_DIGIT}(?!\w))+", re.IGNORECASE)
 _PART = re.compile(rf"(?P<plus>plus\s+)|(?P<times>double|triple)\s+|(?P<digit>{_DIGIT})|(?P<point>\s*{_POINT}\s*)|(?P<gap>[\s()-]+|\.)", re.IGNORECASE)
-_BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>{_AT}|@)|(?P<dot>{_POINT}|\.))\s*[\])}}>]\s*", re.IGNORECASE)
-_WORDED = re.compile(rf"(?<![\w.])(?P<local>[A-Za-z0-9._%+-]+(?:\s+{_POINT}\s+[A-Za-z0-9._%+-]+)*)(?P<at>\s+{_AT}\s+|\s*@\s*)(?P<domain>[A-Za-z0-9-]+(?:(?:\s+{_POINT}\s+|\.)[A-Za-z0-9-]+)+)(?![\w])", re.IGNORECASE)
+#: Patterns begin at a bracket, an @ or an "at", and what stands around is looked at from there, so that no long run of
+#: blanks, hyphens or letters is read again from each of its characters.
+_BRACKETED = re.compile(rf"[\[({{<]\s*+(?:(?P<at>{_AT}|@)|(?P<dot>{_POINT}|\.))\s*+[\])}}>]", re.IGNORECASE)
+_MARK = re.compile(rf"(?<=\s){_AT}(?=\s)|@", re.IGNORECASE)
+_DOMAIN_WORDS = re.compile(rf"[A-Za-z0-9-]++(?:(?:\s++{_POINT}\s++|\.)[A-Za-z0-9-]++)++(?!\w)", re.IGNORECASE)
+_POINT_BEFORE = re.compile(rf"(?<=\s){_POINT}\Z", re.IGNORECASE)
 _WORDED_DOT = re.compile(rf"\s+{_POINT}\s+", re.IGNORECASE)
-_HINT = re.compile(r"[\[({<]\s*(?:at|arroba|chez|ät|@|dot|point|punkt|punto|\.)\s*[\])}>]|\b(?:dot|point|punkt|punto)\b|\s@|@\s", re.IGNORECASE)
+_HINT = re.compile(r"[\[({<]\s*+(?:at|arroba|chez|ät|@|dot|point|punkt|punto|\.)\s*+[\])}>]|\b(?:dot|point|punkt|punto)\b|\s@|@\s", re.IGNORECASE)
 _TLD = re.compile(r"[A-Za-z]{2,}")
 
 
@@ -112,20 +123,28 @@ class Mapped:
 
     def rewrite(self, changes: list[tuple[int, int, str]]) -> None:
         """Replaces spans by new strings; each new character stands for its whole span's source."""
-        texts, los, his, end = [], [], [], 0
+        texts, end = [], 0
         for a, b, new in changes:
             texts += [self.text[end:a], new]
-            los += [self.lo[end:a], np.full(len(new), self.lo[a])]
-            his += [self.hi[end:a], np.full(len(new), self.hi[b - 1])]
             end = b
+        first, behind, size = (np.fromiter(x, np.int64, len(changes)) for x in ([c[0] for c in changes], [c[1] for c in changes], [len(c[2]) for c in changes]))
+        inside = np.zeros(len(self.text) + 1, np.int64)
+        inside[first] += 1
+        np.add.at(inside, behind, -1)
+        times = 1 - np.cumsum(inside)[:-1]
+        times[first] = size
+        last = np.arange(len(self.text))
+        last[first] = behind - 1
+        at = np.repeat(np.arange(len(self.text)), times)
         self.text = "".join([*texts, self.text[end:]])
-        self.lo, self.hi = np.concatenate([*los, self.lo[end:]]), np.concatenate([*his, self.hi[end:]])
+        self.lo, self.hi = self.lo[at], self.hi[last[at]]
 
 
 def _look_alikes(m: Mapped) -> None:
-    changes = [(x.start(), x.end(), plain(x[0])) for x in _OTHER_SCRIPT.finditer(m.text)]
-    if changes := [c for c in changes if c[2] != m.text[c[0]]]:
-        m.rewrite(changes)
+    found = {c: plain(c) for c in set(_OTHER_SCRIPT.findall(m.text))}
+    m.text = m.text.translate({ord(c): x for c, x in found.items() if len(x) == 1})
+    if longer := {c for c, x in found.items() if len(x) != 1}:
+        m.rewrite([(i, i + 1, found[c]) for i, c in enumerate(m.text) if c in longer])
 
 
 def _spelled_digits(m: Mapped) -> None:
@@ -155,20 +174,58 @@ def _spelled_digits(m: Mapped) -> None:
         m.rewrite(changes)
 
 
+def _left(text: str, at: int, floor: int, blank: bool) -> int:
+    """Start of the run of blanks, or else of characters of a local part, that ends at `at`."""
+    while at > floor and (text[at - 1].isspace() if blank else _LOCAL.match(text, at - 1)):
+        at -= 1
+    return at
+
+
+def _local_part(text: str, end: int, floor: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where the local part that ends at `end` begins, and its worded dots; `floor` is the end of what came before."""
+    lo, dots = _left(text, end, floor, False), []
+    while lo < end and (word := _left(text, lo, floor, True)) < lo:
+        point = _POINT_BEFORE.search(text, max(floor, word - 6), word)
+        before = _left(text, point.start(), floor, True) if point else word
+        if not point or before == point.start() or (first := _left(text, before, floor, False)) == before:
+            break
+        dots.append((before, lo))
+        lo = first
+    return lo, dots[::-1]
+
+
 def _disguises(m: Mapped) -> None:
-    if changes := [(x.start(), x.end(), "@" if x["at"] else ".") for x in _BRACKETED.finditer(m.text)]:
+    text, changes, end = m.text, [], 0
+    for x in _BRACKETED.finditer(text):
+        lo, hi = _left(text, x.start(), end, True), x.end()
+        while hi < len(text) and text[hi].isspace():
+            hi += 1
+        changes.append((lo, hi, "@" if x["at"] else "."))
+        end = hi
+    if changes:
         m.rewrite(changes)
-    changes = []
-    for x in _WORDED.finditer(m.text):
+    text, changes, end = m.text, [], 0
+    marks = [(x.start(), x.end()) for x in _MARK.finditer(text)]
+    for (a, b), (limit, _) in pairwise([*marks, (len(text), 0)]):
+        lo, hi = _left(text, a, end, True), b
+        while hi < limit and text[hi].isspace():
+            hi += 1
+        floor, end = end, b
+        domain = _DOMAIN_WORDS.match(text, hi, limit)
+        if not domain:
+            continue
         # Prose has "at", too: a worded address needs a worded dot or a real @, and ends as a domain does.
-        worded_at = "@" not in x["at"]
-        dots = list(_WORDED_DOT.finditer(x["domain"]))
-        if worded_at and not dots or not _TLD.fullmatch(re.split(rf"\s+{_POINT}\s+|\.", x["domain"], flags=re.IGNORECASE)[-1]):
+        dots = list(_WORDED_DOT.finditer(domain[0]))
+        if text[a] != "@" and not dots or not _TLD.fullmatch(re.split(rf"\s+{_POINT}\s+|\.", domain[0], flags=re.IGNORECASE)[-1]):
+            continue
+        first, worded = _local_part(text, lo, floor)
+        if first == lo or first and (text[first - 1].isalnum() or text[first - 1] == "_"):
             continue
-        changes += [(x.start("local") + d.start(), x.start("local") + d.end(), ".") for d in _WORDED_DOT.finditer(x["local"])]
-        if x["at"] != "@":
-            changes.append((x.start("at"), x.end("at"), "@"))
-        changes += [(x.start("domain") + d.start(), x.start("domain") + d.end(), ".") for d in dots]
+        changes += [(*d, ".") for d in worded]
+        if (lo, hi) != (a, b) or text[a] != "@":
+            changes.append((lo, hi, "@"))
+        changes += [(hi + d.start(), hi + d.end(), ".") for d in dots]
+        end = domain.end()
     if changes:
         m.rewrite(changes)
 
@@ -188,11 +245,15 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
         _disguises(m)
     if m.text == text:
         return []
-    out = []
+    # Within a kind, spans are found in order, and so are those of the source they map to.
+    taken = {k: sorted((a, b) for own, a, b in base if own == k) for k in KINDS}
+    out, last = [], dict.fromkeys(KINDS, 0)
     for kind, a, b in base_spans(m.text):
         lo, hi = int(m.lo[a:b].min()), int(m.hi[a:b].max())
-        if not any(k == kind and x < hi and lo < y for k, x, y in base + out):
+        k = bisect_left(taken[kind], (hi,))
+        if lo >= last[kind] and not (k and taken[kind][k - 1][1] > lo):
             out.append((kind, lo, hi))
+            last[kind] = hi
     return out
 
 
@@ -205,10 +266,11 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """Spans of personal data in every whole text, one row for each row in, in one narrow pass.
+    """Spans of personal data in every whole text, one row for each row in, repeated rows included, in one narrow pass.
 
-    Counts and digest are of base spans; `spans` has added ones, too, which never overlap a base span of their kind.
-    Null text counts as empty. Columns other than doc_id and text are not read.
+    Counts and digest are of base spans; `spans` has added ones, too, which never overlap a base span of their kind, and
+    `n_found` counts both. Null text counts as empty, and an empty text has no spans. Time grows with a text's length.
+    Columns other than doc_id and text are not read, whatever their names.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -218,9 +280,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         both = [sorted(b + added_spans(t, b), key=_order) for t, b in zip(texts, base, strict=True)]
         counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
         digests = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, pa.array([_joined(b) for b in both], pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, pa.array([_joined(b) for b in both], pa.string()), pa.array([len(b) for b in both], pa.int64())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_found"])
 
-    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string", rows=256)
+    return map_batches(docs.select("doc_id", "text"), each, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_found bigint", rows=256)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -373,6 +374,41 @@ def test_disguises(text, found):
     assert found in [(k, text[a:b]) for k, a, b in personal_data.added_spans(text, base)]
 
 
+DISGUISES = {
+    "email": ["kim.lee [at] mail [dot] example [dot] org", "kim dot lee at example dot org", "kіm@exаmple.org", "k_1(at)a-b.co{dot}uk", "kim @ example.org"],
+    "phone": ["plus four nine eight seven six five four three two one", "+49 ३४५ ६७८ ९०१"],
+    "ip": ["ten dot one two dot one three dot one four"],
+}
+
+
+def test_planted_disguises_are_found_and_nothing_else(docs):
+    """Whole given documents, each with some disguises at known places; all others must stay without added spans."""
+    rng, planted = random.Random(8), 0
+    for text in docs.text:
+        base = personal_data.base_spans(text)
+        assert personal_data.added_spans(text, base) == []
+        lines, want = [], []
+        for line in text.split("\n"):
+            if rng.random() < 0.3 and not re.search("[@0-9+]", line):
+                kind = rng.choice([k for k in DISGUISES if k != "ip"])
+                disguise = rng.choice(DISGUISES[kind])
+                want.append((kind, len("\n".join([*lines, ""])) + len(line) + 3, disguise))
+                line = f"{line} | {disguise} | "
+            lines.append(line)
+        text = "\n".join(lines)
+        found = personal_data.added_spans(text, personal_data.base_spans(text))
+        assert sorted(found) == sorted((k, a, a + len(d)) for k, a, d in want)
+        planted += len(want)
+    assert planted > 100
+
+
+@pytest.mark.parametrize("text", ["the point is " + "-" * 10**6, "x [at] " + "a-" * 400_000, "a dot b point " + " " * 10**6, "at dot " * 150_000, "( at ) " * 100_000, "[ at " * 200_000, "a @ b.com " * 60_000, "+1 (" * 200_000, "one-two " * 120_000, "x dot " * 150_000 + " at y dot com", "\u0430" * 10**6 + " @ b.com", "@" * 10**6])
+def test_time_grows_with_length_only(text):
+    began = time.perf_counter()
+    personal_data.added_spans(text, personal_data.base_spans(text))
+    assert time.perf_counter() - began < 12
+
+
 def test_prose_is_left_alone(odd):
     for text in ("look at it. dot com was one two three", "one at a time, two at most"):
         assert personal_data.added_spans(text, []) == []
