@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, mix64, read, text_bytes, window_hashes, word_hashes
 
-#: Labelled documents the field is fitted on at most (those with the least hash of their id), and the longest of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 12_000
+#: What the field is fitted on: labelled documents at most (those with the least hash of their id), code points and lines
+#: of the longest of them, and lines in all, which bounds the driver's memory to some 60 MB.
+SAMPLE_DOCS, SAMPLE_CHARS, DOC_LINES, SAMPLE_LINES = 1500, 12_000, 400, 150_000
 #: Share of words in content lines from which a document stays.
 CONTENT_SHARE = 0.5
 
@@ -158,31 +159,41 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, penalty: floa
         p = 1 / (1 + np.exp(-x @ w))
         w += 2.0 * (x.T @ (weight * (y - p)) / weight.sum() - penalty * w)
     p = 1 / (1 + np.exp(-x @ w))
-    most, size = max(len(f) for f, _ in sequences), len(sequences)
-    pad, tags, mask, at = np.zeros((size, most, x.shape[1])), np.zeros((size, most), np.int64), np.zeros((size, most), bool), 0
-    for i, (f, good) in enumerate(sequences):
+    tags, at = [], 0
+    for f, good in sequences:
         own = p[at : at + len(f)]
-        pad[i, : len(f)], mask[i, : len(f)] = f, True
-        if not good:
-            tags[i, : len(f)] = (own > 0.5) | (own == own.max())
+        tags.append(np.zeros(len(f), np.int64) if good else ((own > 0.5) | (own == own.max())).astype(np.int64))
         at += len(f)
-    one_hot = np.eye(2)[tags] * mask[..., None]
-    pairs = mask[:, 1:, None, None] * np.eye(2)[tags[:, :-1]][..., :, None] * np.eye(2)[tags[:, 1:]][..., None, :]
+    # Longest first, all first lines, then all second lines, and so on: nothing is padded.
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i][0]))
+    length = np.array([len(sequences[i][0]) for i in order])
+    active = [int((length > t).sum()) for t in range(length[0])]
+    start = np.concatenate([[0], np.cumsum(active)])
+    place = np.concatenate([start[:n] + i for i, n in enumerate(length)])
+    x = np.empty((len(place), x.shape[1]))
+    x[place] = np.concatenate([sequences[i][0] for i in order])
+    tag = np.empty(len(place), np.int64)
+    tag[place] = np.concatenate([tags[i] for i in order])
+    owner = np.concatenate([np.arange(n) for n in active])
+    size, last, later = len(order), start[length - 1] + np.arange(len(order)), np.arange(active[0], len(x))
+    former = np.concatenate([start[t - 1] + np.arange(active[t]) for t in range(1, len(active))]) if len(active) > 1 else np.zeros(0, np.int64)
+    one_hot, pairs = np.eye(2)[tag], np.zeros((2, 2))
+    np.add.at(pairs, (tag[former], tag[later]), 1)
     emit, step = np.zeros((x.shape[1], 2)), np.zeros((2, 2))
     moments = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(step), np.zeros_like(step)]
-    lengths = mask.sum(axis=1)
     for r in range(1, rounds + 1):
-        score = pad @ emit
-        alpha, beta = np.zeros((size, most, 2)), np.zeros((size, most, 2))
-        alpha[:, 0] = score[:, 0]
-        for t in range(1, most):
-            alpha[:, t] = np.where(mask[:, t, None], _logsumexp(alpha[:, t - 1, :, None] + step, 1) + score[:, t], alpha[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            beta[:, t] = np.where(mask[:, t + 1, None], _logsumexp(step + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        whole = _logsumexp(alpha[np.arange(size), lengths - 1], 1)
-        node = np.exp(alpha + beta - whole[:, None, None]) * mask[..., None]
-        edge = np.exp(alpha[:, :-1, :, None] + step + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - whole[:, None, None, None]) * mask[:, 1:, None, None]
-        slopes = (np.einsum("ntf,nts->fs", pad, one_hot - node) / size - penalty * emit, (pairs - edge).sum((0, 1)) / size - penalty * step)
+        score = x @ emit
+        alpha, beta = score.copy(), np.zeros_like(score)
+        for t in range(1, len(active)):
+            lo, hi = start[t], start[t + 1]
+            alpha[lo:hi] += _logsumexp(alpha[start[t - 1] : start[t - 1] + active[t], :, None] + step, 1)
+        for t in range(len(active) - 2, -1, -1):
+            lo, hi = start[t + 1], start[t + 2]
+            beta[start[t] : start[t] + active[t + 1]] = _logsumexp(step + (score[lo:hi] + beta[lo:hi])[:, None, :], 2)
+        whole = _logsumexp(alpha[last], 1)
+        node = np.exp(alpha + beta - whole[owner, None])
+        edge = np.exp(alpha[former, :, None] + step + (score + beta)[later, None, :] - whole[owner[later], None, None])
+        slopes = (x.T @ (one_hot - node) / size - penalty * emit, (pairs - edge.sum(0)) / size - penalty * step)
         for k, (value, slope) in enumerate(zip((emit, step), slopes, strict=True)):
             m, v = moments[2 * k], moments[2 * k + 1]
             m[:] = 0.9 * m + 0.1 * slope
@@ -192,12 +203,29 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 80, penalty: floa
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """Fits the field on at most `SAMPLE_DOCS` labelled documents of up to `SAMPLE_CHARS` code points."""
+    """Fits the field on a bounded sample of labelled documents, whatever the order of their rows. Features are taken
+    where the documents lie; only they come to the driver. Without labels of both kinds, every line is content.
+    """
     chosen = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("labelled"), (F.col("quality") == 1).cast("int").alias("good"))
     chosen = chosen.filter(F.col("labelled").isNotNull()).orderBy(F.xxhash64("labelled"), "labelled", "good").limit(SAMPLE_DOCS)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).filter(F.length("text") <= SAMPLE_CHARS)
-    rows = rows.select("doc_id", "text", "good").limit(2 * SAMPLE_DOCS).collect()
-    return fit([(shape(r.text).features, r.good) for r in sorted(rows, key=lambda r: (r.doc_id, r.good, r.text))])
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shape(t).features for t in batch.column("text").to_pylist()]
+        bits = [f.astype(bool).tobytes() if 0 < len(f) <= DOC_LINES else None for f in found]
+        return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("good"), pa.array(bits, pa.binary())], names=["h", "good", "bits"])
+
+    found = map_batches(rows.select(F.xxhash64("doc_id").alias("h"), "good", "text"), each, "h bigint, good int, bits binary", rows=256).filter("bits IS NOT NULL")
+    # Several rows may have one id, so the limit is by an order that leaves no choice.
+    found = found.orderBy("h", "good", "bits").limit(2 * SAMPLE_DOCS).collect()
+    sequences, lines = [], 0
+    for r in found:
+        f = np.frombuffer(bytes(r.bits), bool).reshape(-1, len(FEATURES)).astype(np.float64)
+        if lines + len(f) > SAMPLE_LINES:
+            break
+        sequences.append((f, r.good))
+        lines += len(f)
+    return fit(sequences)
 
 
 def score_quality(docs: DataFrame, field: Field) -> DataFrame:
@@ -220,7 +248,9 @@ def score_quality(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows that pass, with all their columns."""
+    """The rows that pass, with all their columns, whatever their names; repeated rows pass or go together. Null and
+    empty texts go, as all of fewer than 50 words do. Texts are read whole. An empty table gives none.
+    """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         shapes = [shape(t) for t in batch.column("text").to_pylist()]
