@@ -134,7 +134,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it, with all their columns. Text is not shuffled."""
+    """The documents themselves, each as often as the mix takes it, with all their columns, whatever their names. Text is
+    not shuffled. Null and empty texts have no words and count for nothing; they are taken as their hash says. Repeated
+    rows are taken alike; an empty table gives none.
+    """
     sizes = settle(_sized(docs))
     plan = _plan(sizes)
     names = {c: fresh(docs, f"mix_{c}") for c in (*plan.columns, "hash", "size", "times", "one")}

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pipeline
 from .bpe import op6_byte_bpe
 from .chat import op2_chat_format
 from .edit_counts import op4_edit_counts
@@ -18,14 +19,8 @@ from .quality import op7_quality_rules
 from .secrets import op3_secret_scan
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_secret_scan, op4_edit_counts, op5_personal_data, op6_byte_bpe, op7_quality_rules, op8_mixing, op9_neighbours, op10_html_text)} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_secret_scan, op4_edit_counts, op5_personal_data, op6_byte_bpe, op7_quality_rules, op8_mixing, op9_neighbours, op10_html_text)} | {"pipeline": pipeline.run}
 
 
 _ESCAPED = r"length(regexp_replace({0}, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g'))"

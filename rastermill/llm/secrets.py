@@ -159,7 +159,7 @@ def ordinary_strings(words: list[str], each: int = 4000) -> list[str]:
 def train(docs: DataFrame) -> Models:
     """Fits both models on at most `SAMPLE_DOCS` documents; without any, on drawn strings and a few usual names."""
     ids = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).filter(F.col("n") <= SAMPLE_CHARS).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select(F.col("doc_id").alias("in_sample")).distinct()
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("in_sample"), "left_semi").filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").limit(2 * SAMPLE_DOCS).collect()
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("in_sample"), "left_semi").filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * SAMPLE_DOCS).collect()
     secret, plain = [], {"account", "identifier", "configuration", "document", "controller", "version"}
     for text in sorted(r.text for r in rows):
         data = text_bytes(text)
@@ -185,7 +185,8 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame, models: Models | None = None) -> DataFrame:
-    """Spans of secrets in every whole text, one row for each row in; null text counts as empty, empty has no spans.
+    """Spans of secrets in every whole text, one row for each row in, repeated rows included; null text counts as empty,
+    empty has no spans. An empty table gives no rows. Columns other than doc_id and text are not read.
 
     Overlaps: kinds are found apart, so one place may have two base spans; an added span never touches a base one.
     """
@@ -204,7 +205,8 @@ def find_secrets(docs: DataFrame, models: Models | None = None) -> DataFrame:
 def redact(docs: DataFrame, models: Models | None = None, mark: str = "[secret]") -> DataFrame:
     """The documents with every secret replaced by `mark` and n_chars, where there is one, counted again.
 
-    All columns and rows stay; a null text stays null.
+    All columns, whatever their names, and all rows stay, repeated ones too; a null text stays null, an empty one empty.
+    Texts are read whole; an empty table gives an empty one.
     """
     models = models or train(docs)
     schema, counted = like(docs), "n_chars" in docs.columns

@@ -501,6 +501,41 @@ def test_viterbi_is_the_best_path():
         assert np.isclose(score(best), score(field.labels(x).tolist()))
 
 
+def test_fit_follows_the_slope_of_the_likelihood():
+    """Sums over lines of uneven documents, laid out without padding, against sums over all label paths."""
+    rng = np.random.default_rng(5)
+    sequences = [((rng.random((n, 3)) < 0.5).astype(float), k % 2) for k, n in enumerate([1, 4, 2, 5, 1, 3])]
+    field = quality.fit(sequences, rounds=400, penalty=1e-2)
+    x, y = np.concatenate([f for f, _ in sequences]), np.concatenate([np.full(len(f), 1 - g) for f, g in sequences])
+    w, weight = np.zeros(3), np.concatenate([np.full(len(f), 1 / len(f)) for f, _ in sequences])
+    for _ in range(300):
+        w += 2.0 * (x.T @ (weight * (y - 1 / (1 + np.exp(-x @ w)))) / weight.sum() - 1e-2 * w)
+    slope_e, slope_s = -1e-2 * field.emit, -1e-2 * field.step
+    for f, good in sequences:
+        p = 1 / (1 + np.exp(-f @ w))
+        tags = tuple(np.zeros(len(f), int) if good else ((p > 0.5) | (p == p.max())).astype(int))
+        paths = list(itertools.product((0, 1), repeat=len(f)))
+        score = np.array([sum((f[i] @ field.emit)[s] for i, s in enumerate(q)) + sum(field.step[a, b] for a, b in itertools.pairwise(q)) for q in paths])
+        chance = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        for q, c in [(tags, 1.0), *zip(paths, -chance, strict=True)]:
+            for i, s in enumerate(q):
+                slope_e[:, s] += c * f[i] / len(sequences)
+            for a, b in itertools.pairwise(q):
+                slope_s[a, b] += c / len(sequences)
+    assert np.abs(slope_e).max() < 2e-3 and np.abs(slope_s).max() < 2e-3
+
+
+def test_fit_needs_little_memory(spark, monkeypatch):
+    rows = [(i, "a\n" * 6000 if i < 2 else "x y\n" * 300 + f"{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda s: seen.append([len(f) for f, _ in s]) or quality.NEUTRAL)
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 3200)
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    quality.train(spark.createDataFrame(rows[::-1], "doc_id long, text string"), labels)
+    assert seen[0] == seen[1] == [301] * 10
+
+
 def test_quality_of_odd_rows(odd, spark):
     assert quality.score_quality(odd, quality.NEUTRAL).count() == len(ODD)
     kept = quality.keep_good(odd, quality.NEUTRAL)
