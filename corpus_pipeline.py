@@ -1,56 +1,5 @@
-"""The corpus pipeline: rule out bad documents, keep one of each near-duplicate class, redact secrets, mix, encode."""
+"""The corpus pipeline's entry; its stages are in `rastermill.llm.pipeline`."""
 
-from __future__ import annotations
+from rastermill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from rastermill.llm import bpe, common, mixing, near_dedup, quality, secrets
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and the line field, which is fitted on these documents' labels."""
-    return quality.keep_good(docs, quality.train(docs, common.read(spark, sf_dir, "labels")))
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    return near_dedup.one_of_each(docs)
-
-
-def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
-    return secrets.redact(docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode_documents(docs, with_ids=True)
-
-
-STAGES = [
-    ("quality rules", quality_rules),
-    ("near-dedup", near_dedup_stage),
-    ("secret scan", secret_scan),
-    ("mix sources", mix_sources),
-    ("encode", encode),
-]
-
-#: Stages such as near-dedup have no counterpart in SQL; the tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each stage's rows are written as Parquet and read again by the next."""
-    docs = common.read(spark, sf_dir, "documents")
-    where = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{k}")
-        docs = spark.read.parquet(f"{where}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
