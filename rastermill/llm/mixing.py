@@ -1,9 +1,10 @@
-"""Mixing sources to target weights by hash thresholds; no row is sorted.
+"""Mixing sources to target weights by hash thresholds; documents are not sorted.
 
 Every document gets a 60-bit hash of its id. A source's budget is a threshold on that hash: documents below it are in.
-The threshold comes from nested histograms: words summed by source and the hash's leading bits give the bucket where
-the budget runs out; only that bucket is split by the next bits, and so on until all bits are used. Sets for smaller
-budgets are subsets of those for larger ones, since the hash is the same.
+Words are summed by source and the hash's leading bits; the bucket where the budget runs out is the only one that is
+looked into further, hash by hash. Sets for smaller budgets are subsets of those for larger ones, since the hash is the
+same. Histograms are summed up within each task before they are moved, so a source with a third of all rows moves no
+more than any other one, and rows meet their source's plan where they lie.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD, fresh, read, settle
 
-#: Bits of the hash read by each nested histogram.
-LEVELS = (12, 16, 16, 16)
-BITS = sum(LEVELS)
+#: Leading bits of the hash in the first histogram, and the rest, by which its boundary bucket is split.
+LEADING, REST = 16, 44
 ABOVE = (1 << 63) - 1
 #: Thresholds found one after another, each among the documents that still fit.
 PASSES = 3
-#: Up to so many sources are sent to all executors; more are joined by a shuffle.
+#: Up to so many sources are sent to all executors, and ranked in one task; more are joined by a shuffle and ranked by
+#: ranges.
 SMALL = 20_000
 
 
@@ -36,6 +37,21 @@ def hashed(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+def _before(rows: DataFrame, order: list[Column], large: bool, sums: dict[str, Column]) -> DataFrame:
+    """Adds to each row, under each name, the sum of a column over all rows that come before it. Many rows are dealt by
+    ranges of the order; then only one sum a range meets those of the others.
+    """
+    dealt = rows.repartitionByRange(*order) if large else rows.coalesce(1)
+    dealt = settle(dealt.withColumn("part", F.spark_partition_id()))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    parts = dealt.groupBy("part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    parts = parts.select(F.col("part").alias("of_part"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_earlier") for n in sums])
+    out = dealt.withColumns({n: F.coalesce(F.sum(c).over(own), F.lit(0)) for n, c in sums.items()})
+    out = out.join(F.broadcast(parts), F.col("part") == F.col("of_part"))
+    return out.select(*rows.columns, *[(F.col(n) + F.col(f"{n}_earlier")).alias(n) for n in sums])
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """One row a source: its words, and its share of all words by weight, at most `most` times its words.
 
@@ -43,62 +59,77 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     the others by weight until none is above. Filling sources in order of `most * size / weight` finds the level at
     which that ends.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    everything = W.orderBy(F.col("source").asc_nulls_last())
-    by = by.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(everything) - 1) % len(weights) + 1))
-    limit = F.col("source_size") * F.lit(most)
-    before = W.orderBy("fill", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    by = by.withColumn("fill", limit / F.col("weight"))
-    by = by.withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum(limit).over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    open_level = F.min(F.when(F.col("level") <= F.col("fill"), F.struct("fill", "level"))).over(whole)["level"]
-    by = by.withColumn("target", F.least(limit.cast("double"), F.coalesce(open_level * F.col("weight"), limit.cast("double"))))
-    return by.select("source", "source_size", "target")
-
-
-def cut(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """(of, threshold, left, inside) for each source of `goal` (source, rest): the rows (source, size, hash) with a
-    hash below the threshold are the most that fit into `rest`; `left` remains, less than the `inside` words at the
-    threshold itself. Where all rows fit, the threshold is above every hash.
+    by = settle(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    large = by.count() > SMALL
+    by = _before(by, [F.col("source").asc_nulls_last()], large, {"rank": F.lit(1)})
+    limit = (F.col("source_size") * F.lit(most)).cast("double")
+    by = by.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
+    by = by.withColumns({"limit": limit, "fill": limit / F.col("weight")})
+    by = _before(by, [F.col("fill"), F.col("source").asc_nulls_last()], large, {"limits": F.col("limit"), "weights": F.col("weight")})
+    whole = by.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    by = by.withColumn("level", (F.lit(whole.size) - F.col("limits")) / (F.lit(whole.weight) - F.col("weights")))
+    first = by.filter("level <= fill").agg(F.min(F.struct("fill", "level")).alias("m")).first().m
+    target = F.col("limit") if first is None else F.least(F.col("limit"), F.lit(first.level) * F.col("weight"))
+    return by.select("source", "source_size", target.alias("target"))
+
+
+def _near(sizes: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    """Rows with their source's plan, which goes to them where it is small."""
+    plan = plan.withColumnRenamed("source", "of")
+    return sizes.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of")))
+
+
+def _first_over(bins: DataFrame, at: str) -> DataFrame:
+    """By source, from sums by `at`: all words, and the first place where the sum so far exceeds `rest`: the place, the
+    sum before it, and the words there.
+    """
+    upto = F.sum("words").over(W.partitionBy("source").orderBy(at).rowsBetween(W.unboundedPreceding, 0))
+    over = F.when(F.col("upto") > F.col("rest"), F.struct(at, (F.col("upto") - F.col("words")).alias("before"), "words"))
+    return bins.withColumn("upto", upto).groupBy(F.col("source").alias("of")).agg(F.sum("words").alias("total"), F.min(over).alias("m"))
+
+
+def _with(plan: DataFrame, found: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    return plan.join(found, F.col("source").eqNullSafe(F.col("of")), "left").select(*[c for c in plan.columns if c not in columns], *[c.alias(n) for n, c in columns.items()])
+
+
+def cut(sizes: DataFrame, plan: DataFrame, k: int, small: bool) -> DataFrame:
+    """`plan` (source, rest, and thresholds t, l of the `k` passes before) with those of one more pass: documents with a
+    hash below `t` are the most that fit into `rest`; `l` remains, less than the `i` words at the threshold itself.
+    Only documents count that no pass before has taken and that fit into what it left. Where all of them fit, the
+    threshold is above every hash.
     """
-    total = rows.groupBy(F.col("source").alias("of")).agg(F.sum("size").alias("total"))
-    goal = goal.select("source", "rest").join(total, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "rest", F.coalesce("total", F.lit(0)).alias("total"))
-    edge = goal.filter("total > rest").select(F.col("source").alias("of"), F.lit(0).cast("long").alias("prefix"), "rest", F.lit(0).cast("long").alias("inside"))
-    used = 0
-    for width in LEVELS:
-        used += width
-        here = rows.join(edge.select("of", "prefix", "rest"), F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("hash", BITS - used + width) == F.col("prefix")))
-        bins = here.groupBy("source", "rest", F.shiftright("hash", BITS - used).alias("bin")).agg(F.sum("size").alias("in_bin"))
-        upto = F.sum("in_bin").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-        found = bins.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
-        found = found.groupBy(F.col("source").alias("of")).agg(F.min(F.struct("bin", "upto", "in_bin", "rest")).alias("m"))
-        edge = found.select("of", F.col("m.bin").alias("prefix"), (F.col("m.rest") - (F.col("m.upto") - F.col("m.in_bin"))).alias("rest"), F.col("m.in_bin").alias("inside"))
-    last = edge.select("of", "prefix", F.col("rest").alias("left_here"), "inside")
-    out = goal.join(last, F.col("source").eqNullSafe(F.col("of")), "left")
-    return out.select(F.col("source").alias("of"), F.coalesce("prefix", F.lit(ABOVE)).alias("threshold"), F.coalesce("left_here", F.col("rest") - F.col("total")).alias("left"), F.coalesce("inside", F.lit(0)).cast("long").alias("inside"))
-
-
-def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    open_ = F.lit(True)
+    for j in range(k):
+        open_ = open_ & (F.col("hash") >= F.col(f"t{j}")) & (F.col("size") <= F.col(f"l{j}"))
+    rows = _near(sizes, plan, small).filter(open_)
+    lead = F.shiftright("hash", REST)
+    bins = rows.groupBy("source", "rest", lead.alias("bin")).agg(F.sum("size").alias("words"))
+    fits = F.col("rest") - F.coalesce("total", F.lit(0))
+    plan = settle(_with(plan, _first_over(bins, "bin"), {"bin": F.col("m.bin"), "rest": F.when(F.col("m").isNull(), fits).otherwise(F.col("rest") - F.col("m.before"))}))
+    inside = _near(sizes, plan, small).filter(open_ & (lead == F.col("bin")))
+    hashes = inside.groupBy("source", "rest", "hash").agg(F.sum("size").alias("words"))
+    left = F.when(F.col("m").isNull(), F.col("rest")).otherwise(F.col("rest") - F.col("m.before"))
+    return settle(_with(plan.drop("bin"), _first_over(hashes, "hash"), {f"t{k}": F.coalesce("m.hash", F.lit(ABOVE)), f"i{k}": F.coalesce("m.words", F.lit(0)), f"l{k}": left, "rest": left}))
+
+
+def thresholds(sizes: DataFrame, targets: DataFrame, small: bool) -> DataFrame:
     """For each source: whole copies of every document, and what decides on one more.
 
     Documents below `t0` are in. The one at `t0` did not fit; of those from there on that do (size up to `l0`), the
     ones below `t1` are in, and so once more with `l1` and `t2`. So a long document at a threshold does not leave its
-    source far from the target. At `t2` itself the nearer side decides.
+    source far from the target. At `t2` itself the nearer side decides (`nearer`).
     Where to go over at `t0` and stop there comes nearer than all that, `over` says so.
     """
-    goal = targets.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
-    plan = goal.withColumn("rest", F.when(F.col("source_size") > 0, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(F.lit(0.0)))
-    rows = sizes.select("source", "size", "hash")
+    some = F.col("source_size") > 0
+    plan = targets.withColumn("copies", F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int"))
+    plan = plan.withColumn("rest", F.when(some, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(F.lit(0.0)))
     for k in range(PASSES):
-        found = settle(cut(rows, plan))
-        here = found.select("of", F.col("threshold").alias(f"t{k}"), F.col("left").alias(f"l{k}"), F.col("inside").alias(f"i{k}"), ((F.col("inside") > 0) & (F.col("left") * 2 >= F.col("inside"))).alias("nearer"))
-        plan = plan.drop("nearer").join(here, F.col("source").eqNullSafe(F.col("of")), "left").drop("of").withColumn("rest", F.col(f"l{k}"))
-        beyond = rows.join(found.select("of", "threshold", "left"), F.col("source").eqNullSafe(F.col("of")))
-        rows = beyond.filter((F.col("hash") >= F.col("threshold")) & (F.col("size") <= F.col("left"))).select("source", "size", "hash")
-    last = PASSES - 1
-    off = F.when(F.col("nearer"), F.col(f"i{last}") - F.col(f"l{last}")).otherwise(F.col(f"l{last}"))
+        plan = cut(sizes, plan, k, small)
+    i, l = F.col(f"i{PASSES - 1}"), F.col(f"l{PASSES - 1}")
+    plan = plan.withColumn("nearer", (i > 0) & (l * 2 >= i))
+    off = F.when(F.col("nearer"), i - l).otherwise(l)
     plan = plan.withColumn("over", (F.col("i0") > 0) & (F.col("i0") - F.col("l0") < off))
-    return plan.drop("rest", f"l{last}", *[f"i{k}" for k in range(PASSES)])
+    return plan.select(F.col("source").alias("of"), "source_size", "target", "copies", *[f"t{k}" for k in range(PASSES)], *[f"l{k}" for k in range(PASSES - 1)], "nearer", "over")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -106,9 +137,10 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def _plan(sizes: DataFrame) -> DataFrame:
-    plan = settle(thresholds(sizes, source_targets(sizes)))
-    plan = plan.withColumnRenamed("source", "of")
-    return F.broadcast(plan) if plan.count() <= SMALL else plan
+    targets = settle(source_targets(sizes))
+    small = targets.count() <= SMALL
+    plan = thresholds(sizes, targets, small)
+    return F.broadcast(plan) if small else plan
 
 
 def _copies(size: Column, hash: Column, at: Callable[[str], Column]) -> Column:

@@ -572,7 +572,10 @@ def test_mix_meets_its_targets(spark, docs, out):
     assert (got.taken <= 3 * got["size"]).all() and ((got.taken % got["size"].clip(lower=1)) == 0).all()
 
 
-def test_many_uneven_sources(spark):
+@pytest.mark.parametrize("small", [mixing.SMALL, 1])
+def test_many_uneven_sources(spark, monkeypatch, small):
+    """Plans sent to all executors, and plans of so many sources that they are ranked by ranges and joined."""
+    monkeypatch.setattr(mixing, "SMALL", small)
     rng = random.Random(6)
     rows = [(i, "w " * rng.randint(0, 30), rng.choice(["big"] * 20 + ["\U0001f600", "", "z", "", None, "one"])) for i in range(3000)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
