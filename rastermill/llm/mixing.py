@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh, read, settle
 
 #: Leading bits of the hash in the first histogram, and the rest, by which its boundary bucket is split.
-LEADING, REST = 16, 44
+LEADING, REST = 12, 48
 ABOVE = (1 << 63) - 1
 #: Thresholds found one after another, each among the documents that still fit.
 PASSES = 3
