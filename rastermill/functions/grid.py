@@ -29,6 +29,15 @@ class GridSpec:
     yres: float
 
 
+def grid_of_product(meta: DataFrame) -> tuple[GridSpec, float | None]:
+    """Grid and no-data value of one product, from its row of metadata."""
+    rows = meta.select("width", "height", "bounds.left", "bounds.top", "resolution.x", "resolution.y", parse_nodata(F.col("nodata")).alias("nodata")).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("metadata of one product is needed")
+    m = rows[0]
+    return GridSpec(m.width, m.height, m.left, m.top, m.x, m.y), m.nodata
+
+
 def parse_nodata(value: Column) -> Column:
     """A no-data value held as text, a number or "NaN", as double; anything else is null."""
     return value.try_cast("double")
@@ -67,20 +76,17 @@ def resolution_arcsec(meta: DataFrame, declared: float | None = None) -> DataFra
     return out if declared is None else out.withColumn("as_declared", (F.col("arcsec_x") == declared) & (F.col("arcsec_y") == declared))
 
 
-def grids_aligned(meta_a: DataFrame, meta_b: DataFrame) -> DataFrame:
-    """Each product of one table beside each of the other (metadata is a row a product): same reference system, same
-    bounds, resolutions in a whole-number ratio, and that ratio.
+def grids_aligned(meta: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each pair (product_a, product_b) of products in `meta`: same reference system, same bounds, resolutions in a
+    whole-number ratio, and that ratio. Pairs with a product that has no metadata go.
     """
-    a = meta_a.select(*[F.col(c).alias(f"a_{c}") for c in ("dataset_name", "crs", "bounds", "resolution")])
-    b = meta_b.select(*[F.col(c).alias(f"b_{c}") for c in ("dataset_name", "crs", "bounds", "resolution")])
-    bounds = [F.abs(F.col(f"a_bounds.{s}") - F.col(f"b_bounds.{s}")) < TOLERANCE for s in ("left", "bottom", "right", "top")]
-    ratio = F.greatest("a_resolution.x", "b_resolution.x") / F.least("a_resolution.x", "b_resolution.x")
-    other = F.greatest("a_resolution.y", "b_resolution.y") / F.least("a_resolution.y", "b_resolution.y")
-    whole = (F.abs(ratio - F.round(ratio)) < TOLERANCE) & (F.abs(other - F.round(other)) < TOLERANCE)
-    return a.join(b, F.col("a_crs") == F.col("b_crs"), "left").filter(F.col("b_crs").isNotNull()).select(
-        F.col("a_dataset_name").alias("product_a"), F.col("b_dataset_name").alias("product_b"),
-        (bounds[0] & bounds[1] & bounds[2] & bounds[3]).alias("same_bounds"), whole.alias("whole_ratio"), F.round(ratio, 6).alias("ratio"),
-    )
+    side = lambda s: meta.select(F.col("dataset_name").alias(f"product_{s}"), *[F.col(c).alias(f"{s}_{c}") for c in ("crs", "bounds", "resolution")])
+    both = pairs.select("product_a", "product_b").join(side("a"), "product_a").join(side("b"), "product_b")
+    same = lambda c: F.abs(F.col(f"a_bounds.{c}") - F.col(f"b_bounds.{c}")) < TOLERANCE
+    ratio = lambda c: F.greatest(f"a_resolution.{c}", f"b_resolution.{c}") / F.least(f"a_resolution.{c}", f"b_resolution.{c}")
+    whole = [F.abs(ratio(c) - F.round(ratio(c))) < TOLERANCE for c in ("x", "y")]
+    bounds = same("left") & same("bottom") & same("right") & same("top")
+    return both.select("product_a", "product_b", F.coalesce(F.col("a_crs") == F.col("b_crs"), F.lit(False)).alias("same_crs"), bounds.alias("same_bounds"), (whole[0] & whole[1]).alias("whole_ratio"), F.round(ratio("x"), 6).alias("ratio"))
 
 
 def cell_area(cells: DataFrame, grid: GridSpec) -> DataFrame:

@@ -5,7 +5,6 @@ Doubles are rounded where the order of a sum shows. In SQL, zones come from ray
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from ..operators import truth as tr
 from ..operators import zonal as zo
 from ..operators import zones as zn
 from ..sources import products as so
+from ..sources.shared import shared_dir
 from . import stand_ins as st
 from . import validation as va
 
@@ -39,8 +39,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def shared(spark: SparkSession) -> str:
     """A new folder that all executors see."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{where}/rastermill-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/rastermill-{uuid.uuid4().hex}"
 
 
 def r(c: str | Column, n: int = 6) -> Column:
@@ -57,7 +56,7 @@ BY_REGION = f"WITH {CELLS}, {REGIONS}, {EDGES}, {CAST_RAYS}"
 BY_COUNTRY = f"WITH {CELLS}, {COUNTRIES}, {EDGES}, {CAST_RAYS}"
 COUNTRY_TRUTH = """truth AS (SELECT 'country' AS task, CASE WHEN n_regionkey = 4 THEN '99' ELSE CAST(n_regionkey AS VARCHAR) END AS zone_id, sum(c_acctbal) AS truth FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 REGION_TRUTH = """truth AS (SELECT 'region' AS task, CAST(c_nationkey AS VARCHAR) AS zone_id, sum(c_acctbal) AS truth FROM customer GROUP BY ALL)"""
-META = """meta AS (SELECT n_name AS dataset_name, n_nationkey AS k, n_regionkey AS r, CASE WHEN n_nationkey % 5 = 4 THEN 'EPSG:3857' ELSE 'EPSG:4326' END AS crs, CASE WHEN n_nationkey % 2 = 0 THEN '-9999.0' ELSE 'NaN' END AS nodata, CAST((n_regionkey + 1) * 60 AS BIGINT) AS width, 30.0 + CASE WHEN n_nationkey % 7 = 3 THEN 1 ELSE 0 END AS right_, CAST(1.0 AS DOUBLE) / (n_regionkey + 1) AS res FROM nation)"""
+META = """meta AS (SELECT s_name AS dataset_name, s_suppkey AS k, s_suppkey % 5 AS r, CASE WHEN s_suppkey % 3 = 2 THEN 'EPSG:3857' ELSE 'EPSG:4326' END AS crs, CASE WHEN s_suppkey % 2 = 0 THEN '-9999.0' ELSE 'NaN' END AS nodata, CAST((s_suppkey % 5 + 1) * 60 AS BIGINT) AS width, 30.0 + CASE WHEN s_suppkey % 7 = 3 THEN 1 ELSE 0 END AS right_, 30.0 + CASE WHEN s_suppkey % 11 = 5 THEN 1 ELSE 0 END AS top_, CAST(1.0 AS DOUBLE) / (s_suppkey % 5 + 1) AS res FROM supplier)"""
 
 
 def masked(spark: SparkSession, d: str) -> DataFrame:
@@ -107,8 +106,9 @@ def r1_product_metadata(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CELLS} SELECT * FROM cells")
 def r2_read_cells(spark: SparkSession, d: str) -> DataFrame:
     path = shared(spark)
-    st.demand_cells(spark, d).write.parquet(path)
-    return so.read_cells(spark, path, str(st.NODATA))
+    st.demand_cells(spark, d).write.parquet(f"{path}/cells")
+    st.own_metadata(spark, d, st.NODATA).write.text(f"{path}/meta")
+    return so.read_cells(spark, f"{path}/cells", so.read_product_metadata(spark, f"{path}/meta"))
 
 
 @query(f"WITH {CELLS} SELECT * FROM cells")
@@ -116,11 +116,12 @@ def r3_tiles_to_cells(spark: SparkSession, d: str) -> DataFrame:
     return so.tiles_to_cells(so.cells_to_tiles(masked(spark, d), 64, 5), 64, 5, st.WIDTH, st.height(spark, d))
 
 
-@query(f"WITH {CELLS}, {REGIONS} SELECT zone_id, parent_id, CAST(4 AS INTEGER) AS points, round(CAST(xl AS DOUBLE), 6) AS x, round(CAST(tl AS DOUBLE), 6) AS y FROM corners")
+@query(f"WITH {CELLS}, {REGIONS} SELECT zone_id, parent_id, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS at, round(CAST(unnest([xl, xr, xr, xl]) AS DOUBLE), 6) AS x, round(CAST(unnest([tl, tr, br, bl]) AS DOUBLE), 6) AS y FROM corners")
 def r4_boundaries(spark: SparkSession, d: str) -> DataFrame:
     path = shared(spark)
     st.region_rings(spark, d).write.json(path)
-    return so.read_boundaries(spark, path, "json").select("zone_id", "parent_id", F.size("ring").alias("points"), r(F.col("ring")[0]["x"]).alias("x"), r(F.col("ring")[0]["y"]).alias("y"))
+    points = so.read_boundaries(spark, path, "json").select("zone_id", "parent_id", F.posexplode("ring").alias("at", "p"))
+    return points.select("zone_id", "parent_id", "at", r("p.x").alias("x"), r("p.y").alias("y"))
 
 
 @query(f"WITH {CELLS}, {REGIONS}, {EDGES} SELECT zone_id, parent_id, CAST(x1 AS DOUBLE) AS x1, round(CAST(y1 AS DOUBLE), 6) AS y1, CAST(x2 AS DOUBLE) AS x2, round(CAST(y2 AS DOUBLE), 6) AS y2 FROM edges")
@@ -187,7 +188,7 @@ def f3_cell_of(spark: SparkSession, d: str) -> DataFrame:
     return gr.cell_of(points(spark, d), grid_of(spark, d)).select("event_id", "row", "col")
 
 
-@query(f"WITH {META} SELECT dataset_name, right_ = 30 AS width_ok, true AS height_ok FROM meta")
+@query(f"WITH {META} SELECT dataset_name, right_ = 30 AS width_ok, top_ = 30 AS height_ok FROM meta")
 def f4_declared_geometry(spark: SparkSession, d: str) -> DataFrame:
     return gr.declared_geometry_ok(metadata(spark, d)).select("dataset_name", "width_ok", "height_ok")
 
@@ -315,10 +316,11 @@ def u1_union_truth(spark: SparkSession, d: str) -> DataFrame:
     return tr.union_truth(st.country_truth(spark, d), st.region_truth(spark, d)).withColumn("truth", r("truth", 2))
 
 
-@query(f"WITH {META} SELECT a.dataset_name AS product_a, b.dataset_name AS product_b, a.right_ = b.right_ AS same_bounds, abs(greatest(a.res, b.res) / least(a.res, b.res) - round(greatest(a.res, b.res) / least(a.res, b.res))) < 1e-9 AS whole_ratio, round(greatest(a.res, b.res) / least(a.res, b.res), 6) AS ratio FROM meta a JOIN meta b ON a.crs = b.crs")
+@query(f"WITH {META} SELECT a.dataset_name AS product_a, b.dataset_name AS product_b, a.crs = b.crs AS same_crs, a.right_ = b.right_ AND a.top_ = b.top_ AS same_bounds, abs(greatest(a.res, b.res) / least(a.res, b.res) - round(greatest(a.res, b.res) / least(a.res, b.res))) < 1e-9 AS whole_ratio, round(greatest(a.res, b.res) / least(a.res, b.res), 6) AS ratio FROM meta a JOIN meta b ON b.k = a.k + 1 OR b.k = a.k + 30")
 def u2_grids_aligned(spark: SparkSession, d: str) -> DataFrame:
-    m = metadata(spark, d)
-    return gr.grids_aligned(m, m)
+    names = st.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("product_a"))
+    other = names.select(F.explode(F.array(F.col("k") - 1, F.col("k") - 30)).alias("k"), F.col("product_a").alias("product_b"))
+    return gr.grids_aligned(metadata(spark, d), names.join(other, "k"))
 
 
 @query(f"""WITH {CELLS} SELECT "row", round(sum(value * 6371.0088 * 6371.0088 * radians(0.25) * (sin(radians(75 - "row" * CAST(0.125 AS DOUBLE))) - sin(radians(75 - ("row" + 1) * CAST(0.125 AS DOUBLE))))), 0) AS weighted FROM cells GROUP BY "row" """)
@@ -339,13 +341,13 @@ def c3_worst_zones(spark: SparkSession, d: str) -> DataFrame:
     return ag.worst_zones(region_pairs(spark, d), 5).select("task", "zone_id", r("relative_error").alias("relative_error"), "place")
 
 
-@query(f'{BY_REGION} SELECT "row", col, CAST(2 AS BIGINT) AS zones FROM assigned')
+@query(f'{BY_REGION} SELECT "row", col, count(*) AS zones FROM (SELECT "row", col FROM assigned UNION ALL SELECT "row", col FROM cells WHERE col // 30 < 5) GROUP BY "row", col HAVING count(*) > 1')
 def c4_overlapping_cells(spark: SparkSession, d: str) -> DataFrame:
     both = region_edges(spark, d).unionByName(country_edges(spark, d).withColumn("zone_id", F.concat(F.lit("c"), F.col("zone_id"))))
     return zn.overlapping_cells(in_zones(spark, d, both))
 
 
-@query(f"WITH {CELLS}, {REGIONS}, {EDGES} SELECT zone_id, max(y2 + 7) > 2 * max(h) AS clipped FROM edges, size GROUP BY zone_id")
+@query(f"WITH {CELLS}, {REGIONS}, {EDGES} SELECT zone_id, max(y2 + 7) > 2 * max(h) OR min(y1 + 7) < 0 OR min(x1) < 0 OR max(x1) > 300 OR min(x2) < 0 OR max(x2) > 300 AS clipped FROM edges, size GROUP BY zone_id")
 def c5_clipped_zones(spark: SparkSession, d: str) -> DataFrame:
     lower = region_edges(spark, d).withColumns({"y1": F.col("y1") + 7, "y2": F.col("y2") + 7})
     return zn.clipped_zones(lower, st.WIDTH, st.height(spark, d)).select("zone_id", "clipped")
@@ -364,24 +366,47 @@ def job_country_consistency(spark: SparkSession, d: str) -> DataFrame:
     return _report(va.consistency(st.demand_cells(spark, d), country_edges(spark, d), st.country_truth(spark, d), st.WIDTH, st.height(spark, d), "country", st.NODATA))
 
 
-@query()
+def product(spark: SparkSession, d: str, nodata: float | None) -> tuple[va.Product, str]:
+    """The stand-in raster as files, and the folder they lie in."""
+    path = shared(spark)
+    st.own_metadata(spark, d, nodata).write.text(f"{path}/meta")
+    (st.spectrum_cells(spark, d) if nodata is None else st.demand_cells(spark, d)).write.parquet(f"{path}/cells")
+    return va.Product(f"{path}/meta", f"{path}/cells"), path
+
+
+PROVINCES = f"{BY_REGION}, {REGION_TRUTH}, totals AS (SELECT 'region' AS task, zone_id, sum(value) AS prediction FROM assigned WHERE parent_id = '2' GROUP BY zone_id), pairs AS (SELECT task, zone_id, prediction, truth FROM totals FULL JOIN (SELECT * FROM truth WHERE zone_id IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 2)) USING (task, zone_id))"
+
+
+@query(f"{PROVINCES}, {RANKED}, {WIDE}, {LONG} SELECT task, 'zones' AS subject, measure, round(CAST(value AS DOUBLE), 4) AS value FROM long")
 def job_province_consistency(spark: SparkSession, d: str) -> DataFrame:
-    edges = so.ring_edges(zn.select_parent(st.region_rings(spark, d), "2"))
-    truth = st.region_truth(spark, d).join(edges.select("zone_id").distinct(), "zone_id", "left_semi")
-    return _report(va.consistency(st.demand_cells(spark, d), edges, truth, st.WIDTH, st.height(spark, d), "region", st.NODATA))
+    own, path = product(spark, d, st.NODATA)
+    st.in_degrees(st.region_rings(spark, d)).write.parquet(f"{path}/regions")
+    st.region_truth(spark, d).select(F.col("zone_id").alias("code"), F.col("truth").alias("amount")).write.option("header", True).csv(f"{path}/truth")
+    return _report(va.run_consistency(spark, own, f"{path}/regions", f"{path}/truth", {"zone_id": "code", "truth": "amount"}, "region", f"{path}/report", parent_id="2"))
 
 
-@query()
+MEASURED = "SELECT unnest(['n', 'bias', 'mae', 'rmse', 'relative_error', 'pearson', 'r2', 'slope']) AS measure, round(CAST(unnest([n, bias, mae, rmse, relative_error, pearson, pearson * pearson, slope]) AS DOUBLE), 4) + 0.0 AS value FROM (SELECT count(*) AS n, avg(p - t) AS bias, avg(abs(p - t)) AS mae, sqrt(avg((p - t) * (p - t))) AS rmse, abs(sum(p - t)) / nullif(abs(sum(t)), 0) AS relative_error, regr_sxy(p, t) / nullif(sqrt(regr_sxx(p, t) * regr_syy(p, t)), 0) AS pearson, regr_sxy(p, t) / nullif(regr_sxx(p, t), 0) AS slope FROM two)"
+
+
+@query(f"{BY_REGION}, t AS (SELECT parent_id, zone_id, sum(value) AS s, count(value) AS v, count(*) AS c FROM assigned GROUP BY parent_id, zone_id), whole AS (SELECT CAST(col // 30 AS VARCHAR) AS parent_id, sum(value) AS t FROM cells GROUP BY 1), two AS (SELECT sum(s) AS p, any_value(t) AS t FROM t JOIN whole USING (parent_id) GROUP BY parent_id) SELECT 'levels' AS task, 'countries' AS subject, measure, value FROM ({MEASURED}) UNION ALL SELECT 'levels', zone_id, unnest(['share', 'valid_share']), round(unnest([s / sum(s) OVER (PARTITION BY parent_id), v / c]), 4) FROM t")
 def job_across_levels(spark: SparkSession, d: str) -> DataFrame:
-    return _report(va.across_levels(st.demand_cells(spark, d), region_edges(spark, d), country_edges(spark, d), st.WIDTH, st.height(spark, d), st.NODATA))
+    own, path = product(spark, d, st.NODATA)
+    st.in_degrees(st.region_rings(spark, d)).write.parquet(f"{path}/regions")
+    st.in_degrees(st.country_rings(spark, d)).write.parquet(f"{path}/countries")
+    return _report(va.run_across_levels(spark, own, f"{path}/regions", f"{path}/countries", f"{path}/report"))
+
+
+COARSE = """coarse AS (SELECT "row" // 2 AS "row", col // 2 AS col, sum(value) AS value FROM cells GROUP BY 1, 2), hit AS (SELECT zone_id, c."row", c.col, any_value(value) AS value FROM coarse c JOIN edges e ON e.y1 / 2 <= 2 * c."row" + 1 AND 2 * c."row" + 1 < e.y2 / 2 AND e.x1 / 2 + (2 * c."row" + 1 - e.y1 / 2) * (e.x2 - e.x1) / (e.y2 - e.y1) > 2 * c.col + 1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
 
 
-@query()
+@query(f"{BY_REGION}, {COARSE}, two AS (SELECT p, t FROM (SELECT zone_id, sum(value) AS p FROM assigned GROUP BY zone_id) JOIN (SELECT zone_id, sum(value) AS t FROM hit GROUP BY zone_id) USING (zone_id)) SELECT 'grids' AS task, 'zones' AS subject, measure, value FROM ({MEASURED})")
 def job_across_grids(spark: SparkSession, d: str) -> DataFrame:
-    return _report(va.across_grids(st.demand_cells(spark, d), region_edges(spark, d), st.WIDTH, st.height(spark, d), 2, st.NODATA))
+    own, path = product(spark, d, st.NODATA)
+    st.in_degrees(st.region_rings(spark, d)).write.parquet(f"{path}/regions")
+    return _report(va.run_across_grids(spark, own, f"{path}/regions", f"{path}/report"))
 
 
-@query()
+@query(f"WITH {CELLS} SELECT 'product' AS task, 'raster' AS subject, unnest(['width_ok', 'height_ok', 'as_declared', 'shape_as_declared', 'cells', 'valid', 'nodata', 'min', 'max', 'mean', 'duplicate_cells', 'missing_cells']) AS measure, round(CAST(unnest([1, 1, 0, CAST(count(*) = 150 * any_value(h) AS INTEGER), count(*), count(value), count(*) - count(value), min(value), max(value), avg(value), count(*) - count(DISTINCT (\"row\", col)), 150 * any_value(h) - count(DISTINCT (\"row\", col))]) AS DOUBLE), 4) AS value FROM cells, size")
 def job_product_test(spark: SparkSession, d: str) -> DataFrame:
-    one = metadata(spark, d).orderBy("dataset_name").limit(1)
-    return _report(va.product_test(st.spectrum_cells(spark, d), one, st.WIDTH, st.height(spark, d), None, 3600.0))
+    own, path = product(spark, d, None)
+    return _report(va.run_product_test(spark, own, f"{path}/report", arcsec=900.0))

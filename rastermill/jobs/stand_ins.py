@@ -72,15 +72,37 @@ def region_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def product_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One product a nation, as its JSON: sizes, bounds and resolutions follow from the keys, and some do not fit."""
-    n = table(spark, sf_dir, "nation")
-    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    """One product a supplier, as its JSON: sizes, bounds and resolutions follow from the keys, and some do not fit."""
+    n = table(spark, sf_dir, "supplier")
+    k, r = F.col("s_suppkey"), F.col("s_suppkey") % 5
     cells = (r + 1) * 60
     res = F.lit(1.0) / (r + 1)
     fault = F.when(k % 7 == 3, 1.0).otherwise(0.0)
     meta = F.struct(
-        F.col("n_name").alias("dataset_name"), F.lit("1").alias("version"), F.concat(F.lit("n"), k.cast("string")).alias("primary_file"), F.lit("GTiff").alias("format"), F.when(k % 5 == 4, "EPSG:3857").otherwise("EPSG:4326").alias("crs"), F.lit("float32").alias("dtype"),
+        F.col("s_name").alias("dataset_name"), F.lit("1").alias("version"), F.concat(F.lit("n"), k.cast("string")).alias("primary_file"), F.lit("GTiff").alias("format"), F.when(k % 3 == 2, "EPSG:3857").otherwise("EPSG:4326").alias("crs"), F.lit("float32").alias("dtype"),
         F.when(k % 2 == 0, "-9999.0").otherwise("NaN").alias("nodata"), cells.cast("long").alias("width"), cells.cast("long").alias("height"), F.lit(1).cast("long").alias("band_count"),
-        F.struct(F.lit(-30.0).alias("left"), F.lit(-30.0).alias("bottom"), (F.lit(30.0) + fault).alias("right"), F.lit(30.0).alias("top")).alias("bounds"), F.struct(res.alias("x"), res.alias("y")).alias("resolution"),
+        F.struct(F.lit(-30.0).alias("left"), F.lit(-30.0).alias("bottom"), (F.lit(30.0) + fault).alias("right"), (F.lit(30.0) + F.when(k % 11 == 5, 1.0).otherwise(0.0)).alias("top")).alias("bounds"), F.struct(res.alias("x"), res.alias("y")).alias("resolution"),
     )
     return n.select(meta.alias("m"))
+
+
+#: The stand-in's place on the globe: degrees of its left top corner, and of a cell.
+LEFT, TOP, XRES, YRES = -180.0, 75.0, 0.25, 0.125
+
+
+def own_metadata(spark: SparkSession, sf_dir: str, nodata: float | None) -> DataFrame:
+    """The stand-in raster's own declaration in the form of a finished product's file: JSON over several lines, no-data
+    a number, or "NaN" in quotes.
+    """
+    top = table(spark, sf_dir, "orders").agg(F.expr(f"max(o_orderkey) div {WIDTH} + 1").alias("h"))
+    no = F.lit("NaN") if nodata is None else F.lit(nodata)
+    meta = F.struct(
+        F.lit("stand-in").alias("dataset_name"), F.lit("1.0").alias("version"), F.lit("stand_in.tif").alias("primary_file"), F.lit("GTiff").alias("format"), F.lit("EPSG:4326").alias("crs"), F.lit(WIDTH).alias("width"), F.col("h").alias("height"), F.lit(1).alias("band_count"), F.lit("float32").alias("dtype"), no.alias("nodata"),
+        F.struct(F.lit(LEFT).alias("left"), (F.lit(TOP) - F.col("h") * YRES).alias("bottom"), F.lit(LEFT + WIDTH * XRES).alias("right"), F.lit(TOP).alias("top")).alias("bounds"), F.struct(F.lit(XRES).alias("x"), F.lit(YRES).alias("y")).alias("resolution"),
+    )
+    return top.select(F.to_json(meta, {"pretty": "true"}).alias("value"))
+
+
+def in_degrees(rings: DataFrame) -> DataFrame:
+    """Rings in half-cell units as a boundary file would have them."""
+    return rings.withColumn("ring", F.transform("ring", lambda p: F.struct((F.lit(LEFT) + p["x"] * (XRES / 2)).alias("x"), (F.lit(TOP) - p["y"] * (YRES / 2)).alias("y"))))

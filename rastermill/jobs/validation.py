@@ -1,26 +1,35 @@
-"""The four workloads, from cells, edges and truth to report rows (task, subject, measure, value)."""
+"""The four workloads, from cells, edges and truth to report rows (task, subject, measure, value), and from paths to a
+written report.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.grid import declared_geometry_ok, resolution_arcsec
+from ..functions.grid import GridSpec, declared_geometry_ok, grid_of_product, resolution_arcsec
 from ..operators import agreement as ag
 from ..operators import cells as ce
 from ..operators import truth as tr
 from ..operators import zonal as zo
 from ..operators import zones as zn
+from ..sources import products as so
+from ..sources.shared import settle
 
 MEASURES = ["n", "bias", "mae", "rmse", "relative_error", "pearson", "r2", "slope"]
 
 
 def zone_totals(cells: DataFrame, edges: DataFrame, width: int, height: int, task: str, nodata: float | None = None) -> DataFrame:
-    """(task, zone_id, cells, valid, sum, ...) of every zone that has cells. Only rows that zones touch are read."""
-    spans = zn.scanline_spans(edges, width, height)
-    if limits := zn.row_limits(spans):
-        cells = cells.filter(F.col("row").between(*limits))
-    assigned = zn.assign_zones(ce.mask_nodata(cells, nodata), spans)
+    """(task, zone_id, cells, valid, sum, ...) of every zone that has cells. Spans are computed once, and only rows and
+    columns that they touch are read.
+    """
+    spans = settle(zn.scanline_spans(edges, width, height))
+    extent = zn.span_extent(spans)
+    if extent:
+        cells = zn.cells_within(cells, extent)
+    assigned = zn.assign_zones(ce.mask_nodata(cells, nodata), spans, count=extent.spans if extent else 0)
     return zo.zonal_stats(assigned).withColumn("task", F.lit(task))
 
 
@@ -71,3 +80,56 @@ def product_test(cells: DataFrame, meta: DataFrame, width: int, height: int, nod
         rows = ag.as_report(frame, "raster", names)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@dataclass(frozen=True)
+class Product:
+    """Where one product lies: its metadata (a JSON object, over several lines or not) and its cells."""
+
+    metadata: str
+    cells: str
+
+    def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, GridSpec, float | None]:
+        """Metadata, cells as stored, grid and no-data value."""
+        meta = so.read_product_metadata(spark, self.metadata)
+        return meta, spark.read.parquet(self.cells).select("row", "col", "value"), *grid_of_product(meta)
+
+
+def _edges(spark: SparkSession, path: str, grid: GridSpec, parent_id: str | None = None) -> DataFrame:
+    """Edges in half-cell units from rings in degrees, of one parent's zones if that is given."""
+    rings = so.read_boundaries(spark, path)
+    rings = rings if parent_id is None else zn.select_parent(rings, parent_id)
+    return so.edges_to_half_cells(so.ring_edges(rings), grid.left, grid.top, grid.xres, grid.yres)
+
+
+def _written(spark: SparkSession, report: DataFrame, path: str) -> DataFrame:
+    so.write_report(report, path)
+    return spark.read.parquet(path)
+
+
+def run_consistency(spark: SparkSession, product: Product, boundaries: str, truth: str, mapping: dict[str, str], task: str, report: str, parent_id: str | None = None, code_map: DataFrame | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """Zones against the statistics of a CSV file, for countries or, given a parent, for its first-level regions. Truth
+    of zones with another parent does not count.
+    """
+    _, cells, grid, nodata = product.read(spark)
+    edges = _edges(spark, boundaries, grid, parent_id)
+    table = so.read_truth(spark, truth, task, mapping, encoding)
+    if parent_id is not None:
+        table = table.join(edges.select("zone_id").distinct(), "zone_id", "left_semi")
+    return _written(spark, consistency(cells, edges, table, grid.width, grid.height, task, nodata, code_map), report)
+
+
+def run_across_levels(spark: SparkSession, product: Product, regions: str, countries: str, report: str) -> DataFrame:
+    _, cells, grid, nodata = product.read(spark)
+    return _written(spark, across_levels(cells, _edges(spark, regions, grid), _edges(spark, countries, grid), grid.width, grid.height, nodata), report)
+
+
+def run_across_grids(spark: SparkSession, product: Product, boundaries: str, report: str, k: int = 2) -> DataFrame:
+    _, cells, grid, nodata = product.read(spark)
+    return _written(spark, across_grids(cells, _edges(spark, boundaries, grid), grid.width, grid.height, k, nodata), report)
+
+
+def run_product_test(spark: SparkSession, product: Product, report: str, arcsec: float = 60.0) -> DataFrame:
+    """The finished product is read and reported on; nothing is computed anew."""
+    meta, cells, grid, nodata = product.read(spark)
+    return _written(spark, product_test(cells, meta, grid.width, grid.height, nodata, arcsec), report)

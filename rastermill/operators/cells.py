@@ -51,9 +51,10 @@ def missing_cells(cells: DataFrame, width: int, height: int) -> DataFrame:
     spark = cells.sparkSession
     rows = spark.range(height).select(F.col("id").cast("int").alias("row"))
     absent = rows.join(cells.select("row").distinct(), "row", "left_anti")
-    listed = bad_rows(cells, width).select(F.col("row").cast("int").alias("row")).unionByName(absent)
-    listed = listed.select("row", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col"))
-    return listed.join(cells.select("row", "col"), ["row", "col"], "left_anti")
+    every = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col")
+    bad = bad_rows(cells, width).select(F.col("row").cast("int").alias("row"))
+    there = cells.select("row", "col").join(bad, "row", "left_semi")
+    return bad.select("row", every).join(there, ["row", "col"], "left_anti").unionByName(absent.select("row", every))
 
 
 def block_aggregate(cells: DataFrame, k: int) -> DataFrame:
@@ -61,23 +62,36 @@ def block_aggregate(cells: DataFrame, k: int) -> DataFrame:
     return cells.groupBy(F.expr(f"row div {k}").cast("int").alias("row"), F.expr(f"col div {k}").cast("int").alias("col")).agg(F.sum("value").alias("value"), F.avg("value").alias("mean"), F.count("value").alias("valid"))
 
 
-def block_aggregate_tiles(tiles: DataFrame, tile_w: int, tile_h: int, k: int) -> DataFrame:
-    """The same from tiles whose sides k divides: blocks then never cross tiles, so nothing is moved."""
+def block_aggregate_tiles(tiles: DataFrame, tile_w: int, tile_h: int, k: int, nodata: float | None = None, width: int | None = None, height: int | None = None) -> DataFrame:
+    """The same from tiles whose sides k divides: blocks then never cross tiles, so nothing is moved.
+
+    NaN, null and `nodata` are no values; a tile without values has none. Given the grid's size, pixels beyond it count
+    for nothing, and blocks beyond it do not come out.
+    """
     if tile_w % k or tile_h % k:
         raise ValueError("k must divide both sides of a tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            values = batch.column("values").flatten().to_numpy(zero_copy_only=False).astype(float)
+            n, lists = batch.num_rows, batch.column("values")
+            values = np.full((n, tile_h * tile_w), np.nan)
+            if (some := np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))).size:
+                values[some] = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), -1)
             blocks = values.reshape(n, tile_h // k, k, tile_w // k, k)
-            ok = ~np.isnan(blocks)
+            if nodata is not None:
+                blocks = np.where(blocks == nodata, np.nan, blocks)
+            at_row, at_col = (np.asarray(batch.column(c), np.int64) for c in ("tile_row", "tile_col"))
+            inside = np.ones(1, bool)
+            if height is not None:
+                inside = inside & ((at_row[:, None] * tile_h + np.arange(tile_h)).reshape(n, tile_h // k, k)[:, :, :, None, None] < height)
+            if width is not None:
+                inside = inside & ((at_col[:, None] * tile_w + np.arange(tile_w)).reshape(n, tile_w // k, k)[:, None, None, :, :] < width)
+            ok = ~np.isnan(blocks) & inside
             valid, total = ok.sum(axis=(2, 4)), np.where(ok, blocks, 0).sum(axis=(2, 4))
-            some = valid > 0
-            row = np.asarray(batch.column("tile_row"))[:, None, None] * (tile_h // k) + np.arange(tile_h // k)[None, :, None]
-            col = np.asarray(batch.column("tile_col"))[:, None, None] * (tile_w // k) + np.arange(tile_w // k)[None, None, :]
-            shape = valid.shape
-            flat = lambda a, t, mask=None: pa.array(np.broadcast_to(a, shape).ravel(), t, mask=None if mask is None else mask.ravel())
-            yield pa.RecordBatch.from_arrays([flat(row, pa.int32()), flat(col, pa.int32()), flat(total, pa.float64(), ~some), flat(total / np.maximum(valid, 1), pa.float64(), ~some), flat(valid, pa.int64())], names=["row", "col", "value", "mean", "valid"])
+            shape, out = valid.shape, np.broadcast_to(inside, blocks.shape).any(axis=(2, 4)).ravel()
+            row = np.broadcast_to(at_row[:, None, None] * (tile_h // k) + np.arange(tile_h // k)[None, :, None], shape)
+            col = np.broadcast_to(at_col[:, None, None] * (tile_w // k) + np.arange(tile_w // k)[None, None, :], shape)
+            flat = lambda a, t, mask=None: pa.array(a.ravel()[out], t, mask=None if mask is None else mask.ravel()[out])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([flat(row, pa.int32()), flat(col, pa.int32()), flat(total, pa.float64(), valid == 0), flat(total / np.maximum(valid, 1), pa.float64(), valid == 0), flat(valid, pa.int64())], names=["row", "col", "value", "mean", "valid"])
 
     return tiles.select("tile_row", "tile_col", "values").mapInArrow(run, "row int, col int, value double, mean double, valid bigint")

@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 
 
 def zonal_stats(assigned: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Per zone: cells, valid, sum, mean, min, max, std (of the sample); with a weight the sum is weighted.
+    """Per zone: cells, valid, sum, mean, min, max, std (of the sample). With a weight, sum and mean are weighted, and std
+    is the root of the weighted mean square distance from that mean.
 
     Partial sums leave one row a zone and task, so a large zone moves no more than a small one. Zones without a valid
     cell have null measures.
     """
-    value = F.col("value") if weight is None else F.col("value") * weight
-    return assigned.groupBy("zone_id").agg(F.count(F.lit(1)).alias("cells"), F.count("value").alias("valid"), F.sum(value).alias("sum"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_samp("value").alias("std"))
+    value = F.col("value")
+    counts = [F.count(F.lit(1)).alias("cells"), F.count("value").alias("valid")]
+    ends = [F.min("value").alias("min"), F.max("value").alias("max")]
+    if weight is None:
+        return assigned.groupBy("zone_id").agg(*counts, F.sum(value).alias("sum"), F.avg(value).alias("mean"), *ends, F.stddev_samp(value).alias("std"))
+    own = F.when(value.isNotNull(), weight.cast("double"))
+    sums = assigned.groupBy("zone_id").agg(*counts, F.sum(value * own).alias("sum"), F.sum(own).alias("w"), F.sum(value * value * own).alias("squares"), *ends)
+    mean = F.try_divide("sum", "w")
+    return sums.select("zone_id", "cells", "valid", "sum", mean.alias("mean"), "min", "max", F.sqrt(F.greatest(F.try_divide("squares", "w") - mean * mean, F.lit(0.0))).alias("std"))
 
 
 def zonal_coverage(assigned: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,24 +43,46 @@ def scanline_spans(edges: DataFrame, width: int, height: int, bin: int = BIN) ->
     return spans.withColumn("bin", F.explode(F.sequence(F.expr(f"c0 div {bin}"), F.expr(f"(c1 - 1) div {bin}")))).withColumn("bin", F.col("bin").cast("int"))
 
 
-def assign_zones(cells: DataFrame, spans: DataFrame, bin: int = BIN) -> DataFrame:
+@dataclass(frozen=True)
+class Extent:
+    """How many spans there are, and the rows and columns they touch, ends included."""
+
+    spans: int
+    row0: int
+    row1: int
+    col0: int
+    col1: int
+
+
+def span_extent(spans: DataFrame) -> Extent | None:
+    """One aggregate; None without spans. Compute spans once (`settle`) before asking."""
+    r = spans.agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("a"), F.max("row").alias("b"), F.min("c0").alias("c"), (F.max("c1") - 1).alias("d")).first()
+    return Extent(r.n, r.a, r.b, r.c, r.d) if r.n else None
+
+
+def cells_within(cells: DataFrame, extent: Extent) -> DataFrame:
+    """A filter that lets a scan of cells skip what no zone touches."""
+    return cells.filter(F.col("row").between(extent.row0, extent.row1) & F.col("col").between(extent.col0, extent.col1))
+
+
+def tiles_within(tiles: DataFrame, extent: Extent, tile_w: int, tile_h: int) -> DataFrame:
+    """The same on tiles, before they are unpacked."""
+    return tiles.filter(F.col("tile_row").between(extent.row0 // tile_h, extent.row1 // tile_h) & F.col("tile_col").between(extent.col0 // tile_w, extent.col1 // tile_w))
+
+
+def assign_zones(cells: DataFrame, spans: DataFrame, bin: int = BIN, count: int | None = None) -> DataFrame:
     """Each cell once for every zone that holds it (zones may overlap); cells of no zone go.
 
-    Spans are counted first: few enough, they go to every executor and the cells stay where they are.
+    Few enough spans go to every executor, and the cells stay where they are; give their `count` where it is known, else
+    they are counted.
     """
-    few = spans.limit(SMALL_SPANS + 1).count() <= SMALL_SPANS
+    few = (spans.count() if count is None else count) <= SMALL_SPANS
     side = spans.select("zone_id", "row", "bin", "c0", "c1")
     keyed = cells.withColumn("bin", F.expr(f"col div {bin}").cast("int"))
     joined = keyed.join(F.broadcast(side) if few else side, ["row", "bin"]).filter((F.col("col") >= F.col("c0")) & (F.col("col") < F.col("c1")))
     return joined.select("zone_id", "row", "col", "value")
 
 
-def row_limits(spans: DataFrame) -> tuple[int, int] | None:
-    """First and last row any span touches, for a filter that lets a scan of cells skip the rest; None without spans."""
-    r = spans.agg(F.min("row").alias("a"), F.max("row").alias("b")).first()
-    return None if r.a is None else (r.a, r.b)
-
-
 def overlapping_cells(assigned: DataFrame) -> DataFrame:
     """Cells that several zones hold, and how many; each zone counts such a cell."""
     return assigned.groupBy("row", "col").agg(F.count_distinct("zone_id").alias("zones")).filter("zones > 1")

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.grid import grid_of_product
+from ..operators.cells import mask_nodata
+from ..operators.zones import Extent, cells_within, tiles_within
+
 _NUMBERS = lambda *names: T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 #: `nodata` is text, since one product gives a number and another the string "NaN".
 METADATA = T.StructType([
@@ -22,11 +31,21 @@ def read_product_metadata(spark: SparkSession, paths: str | list[str], multi_lin
     return spark.read.schema(METADATA).option("multiLine", multi_line).json(paths)
 
 
-def read_cells(spark: SparkSession, path: str, nodata: str | None = None) -> DataFrame:
-    """Cells (row, col, value) of a Parquet cell table, no-data as null. Only these columns are read."""
-    from ..operators.cells import mask_nodata
+def read_cells(spark: SparkSession, path: str, meta: DataFrame | None = None, extent: Extent | None = None) -> DataFrame:
+    """Cells (row, col, value) of a Parquet cell table. Only these columns are read, and with an extent only what lies
+    in it. With a product's metadata, its no-data value is null.
+    """
+    cells = spark.read.parquet(path).select("row", "col", "value")
+    cells = cells_within(cells, extent) if extent else cells
+    return mask_nodata(cells, grid_of_product(meta)[1] if meta is not None else None)
+
 
-    return mask_nodata(spark.read.parquet(path).select("row", "col", "value"), nodata)
+def read_tiles(spark: SparkSession, path: str, tile_w: int, tile_h: int, meta: DataFrame, extent: Extent | None = None) -> DataFrame:
+    """The same from a Parquet tile table; with an extent, other tiles are skipped before any is unpacked."""
+    grid, nodata = grid_of_product(meta)
+    tiles = spark.read.parquet(path).select("tile_row", "tile_col", "values")
+    cells = tiles_to_cells(tiles_within(tiles, extent, tile_w, tile_h) if extent else tiles, tile_w, tile_h, grid.width, grid.height)
+    return mask_nodata(cells_within(cells, extent) if extent else cells, nodata)
 
 
 def tiles_to_cells(tiles: DataFrame, tile_w: int, tile_h: int, width: int | None = None, height: int | None = None) -> DataFrame:
@@ -41,11 +60,29 @@ def tiles_to_cells(tiles: DataFrame, tile_w: int, tile_h: int, width: int | None
 
 
 def cells_to_tiles(cells: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
-    """The inverse: a tile is one row, its missing pixels null. A tile's size bounds each group."""
+    """The inverse: a tile is one row, its missing pixels null; of repeated cells the largest value stays (NaN above
+    all). A tile's size, and how often its cells repeat, bound each group.
+    """
     at = (F.expr(f"row % {tile_h}") * tile_w + F.expr(f"col % {tile_w}")).cast("int")
+    kind = cells.schema["value"].dataType.simpleString()
     grouped = cells.groupBy(F.expr(f"row div {tile_h}").cast("int").alias("tile_row"), F.expr(f"col div {tile_w}").cast("int").alias("tile_col"))
-    found = grouped.agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.col("value")))).alias("m"))
-    return found.select("tile_row", "tile_col", F.transform(F.sequence(F.lit(0), F.lit(tile_w * tile_h - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
+    found = grouped.agg(F.collect_list(F.struct(at.alias("at"), F.col("value"))).alias("pixels"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pixels = batch.column("pixels")
+            tile = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(pixels)))
+            flat = pixels.flatten()
+            value, there = flat.field("value"), flat.field("value").is_valid().to_numpy(zero_copy_only=False)
+            place = (tile * tile_w * tile_h + flat.field("at").to_numpy())[there]
+            known = value.drop_null().to_numpy(zero_copy_only=False)
+            order = np.argsort(known, kind="stable")
+            full, gone = np.zeros(batch.num_rows * tile_w * tile_h, known.dtype), np.ones(batch.num_rows * tile_w * tile_h, bool)
+            full[place[order]], gone[place] = known[order], False
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * tile_w * tile_h, pa.int32()), pa.array(full, value.type, mask=gone))
+            yield pa.RecordBatch.from_arrays([batch.column("tile_row"), batch.column("tile_col"), lists], names=["tile_row", "tile_col", "values"])
+
+    return found.mapInArrow(run, f"tile_row int, tile_col int, values array<{kind}>")
 
 
 def read_boundaries(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
@@ -66,8 +103,11 @@ def ring_edges(rings: DataFrame) -> DataFrame:
 
 
 def edges_to_half_cells(edges: DataFrame, left: float, top: float, xres: float, yres: float) -> DataFrame:
-    """Edges in degrees as edges in half-cell units; y then runs down, so the ends change places."""
-    x = lambda c: (F.col(c) - left) * (2 / xres)
+    """Edges in degrees as edges in half-cell units; y then runs down, so the ends change places. Polygons must come
+    split at the antimeridian: a longitude beyond 180 degrees either way is an error.
+    """
+    inside = lambda c: F.when(F.abs(c) <= 180, F.col(c)).otherwise(F.raise_error(F.concat(F.lit("longitude out of range: "), F.col(c).cast("string"))).cast("double"))
+    x = lambda c: (inside(c) - left) * (2 / xres)
     y = lambda c: (F.lit(top) - F.col(c)) * (2 / yres)
     return edges.select("zone_id", "parent_id", x("x2").alias("x1"), y("y2").alias("y1"), x("x1").alias("x2"), y("y1").alias("y2"))
 

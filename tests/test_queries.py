@@ -7,7 +7,11 @@ import pytest
 
 from rastermill.jobs import queries as raster
 
-JOBS = [n for n in raster.QUERIES if n not in raster.ORACLE]
+JOBS = [n for n in raster.QUERIES if n.startswith("job_")]
+
+
+def test_every_query_has_sql():
+    assert set(raster.QUERIES) == set(raster.ORACLE)
 
 
 @pytest.fixture(scope="session")

@@ -96,10 +96,67 @@ def test_blocks_at_a_ragged_border(spark):
     assert sum(v for v, _ in blocks.values()) == sum(r.value for r in cells.collect()) and blocks[(1, 2)][1] == 4 * 2
     tiles = so.cells_to_tiles(cells, 10, 10)
     assert {(r.row, r.col): (r.value, r.valid) for r in ce.block_aggregate_tiles(tiles, 10, 10, 5).filter("valid > 0").collect()} == blocks
+    inside = ce.block_aggregate_tiles(tiles, 10, 10, 5, width=W, height=H)
+    assert {(r.row, r.col): (r.value, r.valid) for r in inside.collect()} == blocks
     with pytest.raises(ValueError):
         ce.block_aggregate_tiles(tiles, 10, 10, 3)
 
 
+def test_tiles_with_sentinels_nulls_and_pixels_beyond_the_border(spark):
+    cells = grid_cells(spark, "case when (row + col) % 3 = 0 then -9999.0 when row = 8 then cast('NaN' as double) else cast(row * 100 + col as double) end")
+    masked = {(r.row, r.col): (r.value, r.valid) for r in ce.block_aggregate(ce.mask_nodata(cells, -9999.0), 2).collect()}
+    stored = cells.withColumn("value", F.col("value").cast("float"))
+    tiles = so.cells_to_tiles(stored, 8, 8)
+    assert dict(tiles.dtypes)["values"] == "array<float>"
+    # What lies beyond the grid is filled with ones, which must not count; a tile far out has no list at all.
+    filled = tiles.withColumn("values", F.transform("values", lambda v: F.coalesce(v, F.lit(1.0).cast("float"))))
+    filled = filled.unionByName(spark.createDataFrame([(0, 5, None)], "tile_row int, tile_col int, values array<float>"))
+    got = {(r.row, r.col): (r.value, r.valid) for r in ce.block_aggregate_tiles(filled, 8, 8, 2, -9999.0, W, H).collect()}
+    assert got == masked and (None, 0) in got.values()
+    empty = ce.block_aggregate_tiles(spark.createDataFrame([(0, 0, None)], "tile_row int, tile_col int, values array<float>"), 4, 4, 2)
+    assert [r.valid for r in empty.collect()] == [0] * 4 and ce.block_aggregate_tiles(filled.limit(0), 8, 8, 2).count() == 0
+
+
+def test_tiles_hold_each_cell_once(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 0, 3.0), (0, 0, 2.0), (0, 1, None), (0, 1, 5.0), (1, 3, float("nan")), (3, 0, None)], "row int, col int, value double")
+    got = {(r.tile_row, r.tile_col): r["values"] for r in so.cells_to_tiles(cells, 2, 2).collect()}
+    assert got[(0, 0)] == [3.0, 5.0, None, None] and got[(1, 0)] == [None] * 4
+    assert got[(0, 1)][:3] == [None] * 3 and math.isnan(got[(0, 1)][3])
+    big = spark.range(512 * 512).select(F.expr("cast(id div 512 as int)").alias("row"), F.expr("cast(id % 512 as int)").alias("col"), F.col("id").cast("float").alias("value"))
+    one = so.cells_to_tiles(big, 512, 512).first()
+    assert one["values"] == [float(i) for i in range(512 * 512)]
+
+
+def test_reading_prunes_and_masks(spark, tmp_path, edges):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    meta = spark.createDataFrame([("p", -9999.0)], "dataset_name string, x double").select("dataset_name", F.lit("-9999.0").alias("nodata"), F.lit(W).cast("long").alias("width"), F.lit(H).cast("long").alias("height"), F.expr("named_struct('left', -180.0D, 'top', 75.0D)").alias("bounds"), F.expr("named_struct('x', 1.0D, 'y', 1.0D)").alias("resolution"))
+    cells = grid_cells(spark, "case when col = 4 then -9999.0 else cast(row as double) end")
+    cells.write.parquet(str(tmp_path / "cells"))
+    so.cells_to_tiles(cells, 4, 4).write.parquet(str(tmp_path / "tiles"))
+    extent = zn.span_extent(zn.scanline_spans(edges.filter("zone_id = 'closed'"), W, H))
+    assert (extent.row0, extent.row1, extent.col0, extent.col1) == (1, 3, 1, 3)
+    want = {(i, j): None if j == 4 else float(i) for i in range(1, 4) for j in range(1, 4)}
+    read = so.read_cells(spark, str(tmp_path / "cells"), meta, extent)
+    assert {(r.row, r.col): r.value for r in read.collect()} == want
+    assert "GreaterThanOrEqual(col,1)" in read._jdf.queryExecution().toString()
+    tiles = so.read_tiles(spark, str(tmp_path / "tiles"), 4, 4, meta, extent)
+    assert {(r.row, r.col): r.value for r in tiles.collect()} == want
+    assert "LessThanOrEqual(tile_col,0)" in tiles._jdf.queryExecution().toString()
+    assert {r.value for r in so.read_cells(spark, str(tmp_path / "cells"), meta).filter("col = 4").collect()} == {None}
+
+
+def test_longitudes_out_of_range_are_refused(spark):
+    rings = spark.createDataFrame([("z", None, [(170.0, 0.0), (190.0, 0.0), (190.0, 5.0)])], so.RINGS)
+    with pytest.raises(Exception, match="longitude out of range"):
+        so.edges_to_half_cells(so.ring_edges(rings), -180, 75, 1, 1).collect()
+
+
+def test_weighted_mean(spark):
+    assigned = spark.createDataFrame([("z", 1.0, 1.0), ("z", 4.0, 2.0), ("z", None, 9.0), ("y", None, 1.0)], "zone_id string, value double, w double")
+    got = {r.zone_id: r for r in zo.zonal_stats(assigned, F.col("w")).collect()}
+    assert got["z"]["sum"] == 9.0 and got["z"].mean == 3.0 and math.isclose(got["z"]["std"], math.sqrt(2.0)) and got["y"].mean is None
+
+
 def test_constant_truth_gives_null_correlation(spark):
     pairs = spark.createDataFrame([("a", "1", 1.0, 5.0), ("a", "2", 2.0, 5.0), ("a", "3", None, 5.0), ("b", "1", 1.0, 0.0)], "task string, zone_id string, prediction double, truth double")
     a, b = ag.agreement(pairs).orderBy("task").collect()
@@ -135,6 +192,6 @@ def test_truth_csv_in_another_encoding(spark, tmp_path):
 def test_empty_tables(spark, edges):
     none = grid_cells(spark).limit(0)
     spans = zn.scanline_spans(edges.limit(0), W, H)
-    assert zn.row_limits(spans) is None and zn.assign_zones(none, spans).count() == 0
+    assert zn.span_extent(spans) is None and zn.assign_zones(none, spans).count() == 0
     assert ce.raster_summary(none).first().cells == 0 and ce.duplicate_cells(none, W).count() == 0
     assert ce.missing_cells(none, W, H).count() == W * H
