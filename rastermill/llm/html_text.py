@@ -2,15 +2,20 @@
 
 Pages become blocks of text with the elements they stand in. All text of a host outside marked articles is read as one
 concatenation of token streams, one a page. Its suffix array would put suffixes with the same first tokens side by
-side; a substring of at least `LONG` tokens that repeats is an interval of suffixes which share their first `LONG`.
-Those intervals are found by grouping suffixes on a fingerprint of these tokens, without putting a host's suffixes into
-one sorted list, so that a host with a third of all pages is summed up before any shuffle. Whole blocks, of articles
-too, are grouped in the same way whatever their length.
+side; a maximal repeat of at least `LONG` tokens is a run of intervals of suffixes that share their first `LONG`, one
+interval for each place in it but the last ones, so the union of these places is what the maximal repeats cover. The
+intervals are found by grouping suffixes on a fingerprint of these tokens, without putting a host's suffixes into one
+sorted list, so that a host with a third of all pages is summed up before any shuffle. Whole blocks, of articles too, are
+grouped in the same way whatever their length.
 
 What repeats is boilerplate where enough of the host's distinct pages hold it (`LEAST_PAGES`, `SHARE`); a quotation or
-an ordinary phrase is not. Near-copies of a page count as one page. On a page without a marked article, the uncovered
-runs are its text. Where an article is marked, its blocks are the text, since a passage in it may well occur on other
-pages, but for blocks that stand on most pages of the host (`ARTICLE_LEAST_PAGES`, `ARTICLE_SHARE`).
+an ordinary phrase is not. Near-copies of a page count as one page. On every page, the uncovered runs are its text, in
+page order. Markup does two things besides. It rules out what is no main text even if it stands on one page only, such
+as an advert or a reader's comment. And it protects a marked article: a passage in it may well occur on other pages, so
+its blocks go only if they stand on most pages of the host (`ARTICLE_LEAST_PAGES`, `ARTICLE_SHARE`).
+
+Classes and ids rule out containers, by words; headings, paragraphs, quotations and the like are never ruled out by
+their own class. Of a header element within an article, the headings stay.
 """
 
 from __future__ import annotations
@@ -41,7 +46,6 @@ _ODD = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 _TAGS = re.compile(
     r"""<!--.*?(?:-->|\Z)
-    |<(?P<raw>script|style|noscript|template|svg|textarea|title|iframe|select|object|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
     |<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
     |<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*+)>
     |<[!?/a-zA-Z][^>]*+(?:>|\Z)
@@ -52,9 +56,16 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements and words in class, id or role whose content is not main text.
-ASIDE = frozenset("nav header footer aside form menu head button dialog fieldset label input option audio video canvas map".split())
-ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies dialog disclaimer disqus footer form gdpr header legal masthead menu modal nav navbar navigation newsletter notice notices notification alert pagination paywall popup promo promoted recommended related reply replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary".split())
+ASIDE = frozenset("nav header footer aside form menu head button dialog fieldset label input select option audio video canvas map svg".split())
+#: Elements whose content is no markup; without an end tag, the first two reach to the page's end, the others nowhere.
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
+#: Elements that a class or id does not rule out.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody b i em strong a code figcaption caption html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies dialog disclaimer disqus footer form gdpr legal masthead menu modal nav navbar navigation newsletter notice notices notification alert pagination paywall popup promo promoted recommended related reply replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary".split())
 _NAMED = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: An article's parts are named like this, too, so a header must be the site's.
+_SITE_HEADER = re.compile(r"(?:(?:site|page|global|top|nav)[-_]?)?header", re.IGNORECASE)
 
 
 Blocks = list[tuple[str, bool]]
@@ -87,37 +98,76 @@ def _set_aside(name: str, rest: str) -> bool:
         if key == "style":
             if re.search(r"display\s*:\s*none", value, re.IGNORECASE):
                 return True
-        elif key in ("class", "id", "role"):
+        elif key == "role" and value.lower() in ASIDE_WORDS:
+            return True
+        elif name not in TEXTUAL:
             for token in value.split():
-                if name in ("html", "body", "main", "article"):
-                    words = [token]
-                else:
-                    words = [] if re.match(r"(has|with|no|without)[-_]", token, re.IGNORECASE) else _NAMED.findall(token)
-                if any(w.lower() in ASIDE_WORDS for w in words):
+                named = [] if re.match(r"(has|with|no|without)[-_]", token, re.IGNORECASE) else _NAMED.findall(token)
+                if any(w.lower() in ASIDE_WORDS for w in named) or _SITE_HEADER.fullmatch(token):
                     return True
     return False
 
 
+class _Open:
+    """Elements that are open, with what each does to the text in it, and how many there are of each name."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int]] = []
+        self.names: dict[str, int] = {}
+        self.inside = self.aside = self.headers = 0
+
+    def push(self, name: str, marks: int, out: int) -> None:
+        self.stack.append((name, marks, out))
+        self.names[name] = self.names.get(name, 0) + 1
+        self._count(name, marks, out, 1)
+
+    def pop(self) -> None:
+        name, marks, out = self.stack.pop()
+        self.names[name] -= 1
+        self._count(name, marks, out, -1)
+
+    def _count(self, name: str, marks: int, out: int, by: int) -> None:
+        self.inside += by * marks
+        self.aside += by * out
+        self.headers += by * (name == "header")
+
+    def close(self, name: str) -> None:
+        """An end tag closes what is open within its element; one without an element does nothing."""
+        if self.names.get(name):
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+
+    def last(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+
 def parse(source: str | None) -> Page:
-    """Blocks of a page. Unclosed and stray tags, cut comments and tags at the end, and unknown elements are borne."""
-    page, stack, text = Page(), [], []
-    inside = aside = 0
+    """Blocks of a page. Unclosed and stray tags, cut comments and tags at the end, and unknown elements are borne; time
+    grows with the page's length, whatever its depth.
+    """
+    source = source or ""
+    page, text, open_ = Page(), [], _Open()
+    ends: dict[str, tuple[int, int]] = {}
+    at, size = 0, len(source)
 
     def close_block() -> None:
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                page.blocks.append((line, inside > 0, aside > 0))
-
-    def pop() -> None:
-        nonlocal inside, aside
-        _, was_inside, was_aside = stack.pop()
-        inside -= was_inside
-        aside -= was_aside
-
-    for m in _TAGS.finditer(source or ""):
-        piece = m[0]
+                page.blocks.append((line, open_.inside > 0, open_.aside > 0))
+
+    def raw_end(name: str, start: int) -> int:
+        """Where the content of such an element ends with its end tag; each end tag is looked for once."""
+        if name not in ends or 0 <= ends[name][0] < start:
+            found = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, start)
+            ends[name] = (found.start(), found.end()) if found else (-1, size if name in ("script", "style") else -1)
+        return ends[name][1]
+
+    while at < size:
+        m = _TAGS.match(source, at)
+        piece, at = m[0], m.end()
         if piece[0] != "<" or len(piece) == 1:
             text.append(piece)
             continue
@@ -131,28 +181,31 @@ def parse(source: str | None) -> Page:
         if block:
             close_block()
         if m["end"] or m["end2"]:
-            if any(name == s[0] for s in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+            if open_.names.get(name) and not block:
+                close_block()
+            open_.close(name)
             continue
         rest = m["rest"] or m["rest2"] or ""
+        if name in RAW:
+            at = max(at, raw_end(name, at))
+            continue
         if name in VOID or rest.endswith("/") and not block:
             continue
-        if name in ("p", "li", "dd", "dt", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-            pop()
-        if block and name != "p" and stack and stack[-1][0] == "p":
-            pop()
+        while block and name not in ("option", "optgroup") and open_.last() in ("select", "option", "optgroup"):
+            open_.pop()
+        if name in ("p", "li", "dd", "dt", "td", "th", "tr", "option") and open_.last() == name:
+            open_.pop()
+        if block and name != "p" and open_.last() == "p":
+            open_.pop()
         out = _set_aside(name, rest)
         marks = not out and (name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", rest)))
         if not block and not out and not marks:
             continue
         if out and not block:
             close_block()
-        page.has_article |= marks and not aside
-        stack.append((name, int(marks), int(out)))
-        inside += marks
-        aside += out
+        page.has_article |= marks and not open_.aside
+        kept = name in HEADINGS and open_.inside > 0 and open_.headers == open_.aside == 1
+        open_.push(name, int(marks), -1 if kept else int(out))
     close_block()
     return page
 
@@ -224,8 +277,8 @@ def signatures(windows: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def uncovered_runs(rest: Blocks, at: list[int]) -> tuple[list[str], int]:
-    """(runs of words not covered by repeats, by block, of blocks that are not ruled out; code points covered), from
-    the places of repeated heads: suffixes first, then whole blocks.
+    """(words of each block that no repeat covers, none of one that is ruled out; code points covered), from the places
+    of repeated heads: suffixes first, then whole blocks.
     """
     runs, hidden, first = [], 0, 0
     size = sum(t.count(" ") + 2 for t, _ in rest)
@@ -244,8 +297,7 @@ def uncovered_runs(rest: Blocks, at: list[int]) -> tuple[list[str], int]:
         if here.any():
             hidden += sum(len(w) for w, c in zip(words, here, strict=True) if c)
             words = [w for w, c in zip(words, here, strict=True) if not c]
-        if words and not out:
-            runs.append(" ".join(words))
+        runs.append("" if out else " ".join(words))
     return runs, hidden
 
 
@@ -269,8 +321,10 @@ def near_copies(units: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and repeated_chars (code points of words that the host's repeats cover).
 
-    One row comes out for each row in. Null html has no text, which is given as an empty string; a null url is a host
-    of its own. Copies and near-copies of a page do not count as repeats of it.
+    One row comes out for each row in, repeated rows included; an empty table gives none. Null and empty html have no
+    text, which is given as an empty string; a null url is a host of its own. Copies and near-copies of a page do not
+    count as repeats of it; pages are told apart by 64 bits of their contents. Other columns are not read, whatever
+    their names. Pages are read whole.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     kinds = dict(pages.dtypes)
@@ -312,11 +366,11 @@ def extract(pages: DataFrame) -> DataFrame:
             own = u.heads.view(np.int64)
             outside, inside = (np.flatnonzero(np.isin(x, (y.values if y.is_valid else none).to_numpy(zero_copy_only=False))).tolist() for x, y in ((own[: u.outside], some), (own[u.outside :], most)))
             runs, n = uncovered_runs(u.page.rest(), outside)
-            if u.page.has_article:
-                gone, blocks = set(inside), u.page.main()
-                runs = [t for i, t in enumerate(blocks) if i not in gone]
-                n += sum(len(blocks[i]) - blocks[i].count(" ") for i in gone)
-            texts.append("\n\n".join(runs))
+            gone, blocks = set(inside), u.page.main() if u.page.has_article else []
+            n += sum(len(blocks[i]) - blocks[i].count(" ") for i in gone)
+            own, other = iter("" if i in gone else t for i, t in enumerate(blocks)), iter(runs)
+            in_order = [next(own if u.page.has_article and held and not out else other) for _, held, out in u.page.blocks]
+            texts.append("\n\n".join(t for t in in_order if t))
             hidden.append(n)
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(hidden, pa.int64())], names=["page_id", "url", "text", "n_chars", "repeated_chars"])
 

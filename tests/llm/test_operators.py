@@ -667,6 +667,63 @@ def test_markup():
     assert html_text.parse(None).blocks == [] and html_text.parse("a <b").blocks == [("a", False, False)]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<main><p>a</p><svg/><p>b</p></main>", ["a", "b"]),
+    ("<article><p>a</p><iframe src=x><p>b</p><select><option>q<p>c</p><object><p>d</p></object><p>e <math><mi>x</mi></math></article>", ["a", "b", "c", "d", "e x"]),
+    ("<article><iframe>no</iframe><p>a<textarea>no</textarea> b</p><noscript><p>no</p></noscript><template><p>no</p></template></article>", ["a b"]),
+    ("<article><script>if (a</b>) '<p>no'</article>", []),
+    ('<article><p class="ad hoc">a</p><p id="related-work">b</p><h1 class="article-header">c</h1><div class="article-header"><h2>d</h2></div><li class="promo">e</li></article>', ["a", "b", "c", "d", "e"]),
+    ('<article><header><h1>a</h1><p>by x</p></header><p>b</p><div class="site-header">no</div><div class="postComments">no</div><footer>no</footer></article>', ["a", "b"]),
+    ('<article><p>a</p></article><div class="ad">no</div><p>c</p><nav><header><h1>no</h1></header></nav>', ["a", "c"]),
+])
+def test_markup_takes_nothing_else(page, want):
+    assert [t for t, _, out in html_text.parse(page).blocks if not out] == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</p>" * 60_000, "<iframe>" * 100_000, "<select><p>" * 60_000, "<" * 10**6, "<p x='" * 100_000, "<!--" * 100_000, "</div>" * 200_000, "<article>" + "x " * 10**6, "<title>" * 50_000 + "</title>" * 50_000])
+def test_long_and_deep_pages(page):
+    began = time.perf_counter()
+    html_text.parse(page)
+    assert time.perf_counter() - began < 12
+
+
+def brute_repeats(rows):
+    """Texts of unmarked pages, no two alike, whose blocks are p and div: what stands in enough of the host's pages in runs
+    of `LONG` tokens, counted by comparing all places, or as a whole block, goes."""
+    pages = {i: [["\0", *b.split()] for b in re.findall(r"<(?:p|div)>(.*?)</", page)] for i, _, page in rows}
+    flat = {i: [w for b in blocks for w in b] for i, blocks in pages.items()}
+    n, k, out = len(rows), html_text.LONG, {}
+    windows = {i: {tuple(f[j : j + k]) for j in range(len(f) - k + 1)} for i, f in flat.items()}
+    enough = lambda has: has >= html_text.LEAST_PAGES and has >= html_text.SHARE * n
+    for i, f in flat.items():
+        gone = [False] * len(f)
+        for j in range(len(f) - k + 1):
+            if enough(sum(tuple(f[j : j + k]) in w for w in windows.values())):
+                gone[j : j + k] = [True] * k
+        kept, at = [], 0
+        for b in pages[i]:
+            whole = enough(sum(b in other for other in pages.values()))
+            kept.append(" ".join(w for w, g in zip(b[1:], gone[at + 1 : at + len(b)], strict=True) if not g and not whole))
+            at += len(b)
+        out[i] = "\n\n".join(t for t in kept if t)
+    return out
+
+
+def test_repeats_are_those_of_all_places(spark):
+    rng = random.Random(13)
+    shared = [prose(rng, n) for n in (4, 20, 30, 60, 90)]
+    rows = []
+    for i in range(24):
+        blocks = []
+        for _ in range(8):
+            part = rng.choice(shared).split()
+            a, b = sorted(rng.sample(range(len(part) + 1), 2))
+            blocks.append(rng.choice([prose(rng, 30), " ".join(part), f"{prose(rng, 9)} {' '.join(part[a:b])} {prose(rng, 9)}"]))
+        rows.append((i, f"http://h.example/{i}", "".join(f"<p>{' '.join(b.split())}</p>" if rng.random() < 0.5 else f"<div>{' '.join(b.split())}</div>" for b in [*blocks, prose(rng, 400)])))
+    got = texts_of(spark, rows)
+    assert got == brute_repeats(rows) and sum(len(t) for t in got.values()) < sum(len(h) for _, _, h in rows) - 2000
+
+
 def test_repeats_are_removed_where_no_article_is_marked(spark):
     shared = "Read more stories from our partners every day here"
     rows = [(i, f"http://h.example/{i}", f"<div>{shared}</div><p>W{i} is the own text of w{i} x{i} y{i} z{i}.</p><aside>{shared}</aside>") for i in range(5)]
