@@ -7,50 +7,104 @@ until a new boundary meets an old one, encodes the new pre-tokens only, and upda
 Why that is enough: the pattern decides a pre-token from its own start onwards, so once a boundary behind the edit is
 met again, all that follows is as before; and it looks at most two code points beyond a pre-token's end, or, for white
 space, to the end of the run, so three pre-tokens before the edit are cut again as context.
+
+Trees are kept as a table, one row a document: the text, and the code points and tokens of each of its pre-tokens,
+packed. Sums follow from these without any encoding, so a stored table can be edited, stored and edited again.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 from itertools import accumulate, chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, Codec, codec
-from .common import map_batches, read
+from .common import map_batches, read, shared_dir
 
 LEAF, CONTEXT = 64, 3
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Small numbers as one byte each, after a byte that says so."""
+    return b"\1" + numbers.astype(np.uint8).tobytes() if not len(numbers) or numbers.max() < 256 else b"\4" + numbers.astype("<u4").tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else "<u4", offset=1).astype(np.int64)
+
+
 class CountTree:
-    """One document's pre-tokens and the sums over them."""
+    """One document's pre-tokens and the sums over them. Leaves that no edit has touched are cut out of the text when
+    they are asked for.
+    """
 
-    def __init__(self, text: str, codec: Codec, pieces: list[str] | None = None, counts: list[int] | None = None):
+    def __init__(self, text: str, codec: Codec, chars: np.ndarray | None = None, tokens: np.ndarray | None = None):
         self.codec, self.encoded = codec, 0
-        pieces = codec.pieces(text) if pieces is None else pieces
-        self._build(pieces, codec.counts(pieces) if counts is None else counts)
+        if chars is None or tokens is None:
+            pieces = codec.pieces(text)
+            chars, tokens = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(codec.counts(pieces), np.int64)
+        self._build(text, chars, tokens)
 
-    def _build(self, pieces: list[str], counts: list[int]) -> None:
-        """Leaves are pairs of lists: pre-tokens, and how many tokens each has."""
-        starts = range(0, max(len(pieces), 1), LEAF)
-        self.leaves = [(pieces[i : i + LEAF], counts[i : i + LEAF]) for i in starts]
+    def _build(self, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.source, self.piece_chars, self.piece_tokens = text, chars, tokens
+        starts = np.arange(0, max(len(chars), 1), LEAF)
+        #: Pre-tokens and their tokens, of leaves that were edited; of the others, where they begin in the source.
+        self.leaves: list[tuple[list[str], list[int]] | None] = [None] * len(starts)
         size = 1
-        while size < len(self.leaves):
+        while size < len(starts):
             size *= 2
         self.size = size
-        self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
-        for i, leaf in enumerate(self.leaves, size):
-            self.chars[i], self.tokens[i] = sum(map(len, leaf[0])), sum(leaf[1])
-        for i in range(size - 1, 0, -1):
-            self._sum(i)
+        if not len(chars):
+            self.begin, self.chars, self.tokens = [0], [0] * (2 * size), [0] * (2 * size)
+            return
+        sums = [np.add.reduceat(x, starts) for x in (chars, tokens)]
+        self.begin = (np.cumsum(sums[0]) - sums[0]).tolist()
+        levels = []
+        for own in sums:
+            level = [np.pad(own, (0, size - len(own)))]
+            while len(level[-1]) > 1:
+                level.append(level[-1].reshape(-1, 2).sum(axis=1))
+            levels.append([0, *np.concatenate(level[::-1]).tolist()])
+        self.chars, self.tokens = levels
 
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    def leaf(self, i: int) -> tuple[list[str], list[int]]:
+        """Pre-tokens, and how many tokens each has."""
+        if (own := self.leaves[i]) is not None:
+            return own
+        at, pieces = self.begin[i], []
+        for n in self.piece_chars[i * LEAF : (i + 1) * LEAF].tolist():
+            pieces.append(self.source[at : at + n])
+            at += n
+        return pieces, self.piece_tokens[i * LEAF : (i + 1) * LEAF].tolist()
+
+    def arrays(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """Text, and code points and tokens of each pre-token, for storing."""
+        texts, chars, tokens, i = [], [], [], 0
+        while i < len(self.leaves):
+            if (own := self.leaves[i]) is not None:
+                texts += own[0]
+                chars.append(np.fromiter(map(len, own[0]), np.int64, len(own[0])))
+                tokens.append(np.array(own[1], np.int64))
+                i += 1
+                continue
+            first = i
+            while i < len(self.leaves) and self.leaves[i] is None:
+                i += 1
+            texts.append(self.source[self.begin[first] : self.begin[i] if i < len(self.begin) else len(self.source)])
+            chars.append(self.piece_chars[first * LEAF : i * LEAF])
+            tokens.append(self.piece_tokens[first * LEAF : i * LEAF])
+        return "".join(texts), np.concatenate(chars), np.concatenate(tokens)
+
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
@@ -60,7 +114,7 @@ class CountTree:
         return self.chars[1]
 
     def text(self) -> str:
-        return "".join(chain.from_iterable(leaf[0] for leaf in self.leaves))
+        return self.arrays()[0]
 
     def _find(self, offset: int) -> tuple[int, int]:
         """Leaf that holds the code point at an offset, or the last leaf; and the offset of the leaf's start."""
@@ -88,14 +142,14 @@ class CountTree:
             return
         # Pieces from the context before the edit to the end of the leaf behind it; more leaves join as they are needed.
         first, base = self._find(max(start - 1, 0))
-        place = bisect_right(list(accumulate(map(len, self.leaves[first][0]))), max(start - 1, 0) - base)
+        place = bisect_right(list(accumulate(map(len, self.leaf(first)[0]))), max(start - 1, 0) - base)
         while place < CONTEXT and first > 0:
             first -= 1
-            place += len(self.leaves[first][0])
-            base -= sum(map(len, self.leaves[first][0]))
+            place += len(self.leaf(first)[0])
+            base -= self.chars[self.size + first]
         last = max(first, self._find(end)[0])
-        old = list(chain.from_iterable(leaf[0] for leaf in self.leaves[first : last + 1]))
-        old_counts = list(chain.from_iterable(leaf[1] for leaf in self.leaves[first : last + 1]))
+        held = [self.leaf(i) for i in range(first, last + 1)]
+        old, old_counts = (list(chain.from_iterable(leaf[k] for leaf in held)) for k in (0, 1))
         keep = max(0, min(place, len(old)) - CONTEXT)
         at = base + sum(map(len, old[:keep]))
         head, head_counts, old, old_counts = old[:keep], old_counts[:keep], old[keep:], old_counts[keep:]
@@ -122,7 +176,7 @@ class CountTree:
             if last + 1 >= len(self.leaves):
                 break
             last += 1
-            more, more_counts = self.leaves[last]
+            more, more_counts = self.leaf(last)
             span = len(text)
             edges.update((span + b, len(old) + i + 1) for i, b in enumerate(accumulate(map(len, more))))
             edges[span] = len(old)
@@ -133,8 +187,9 @@ class CountTree:
         self.encoded += sum(map(len, fresh))
         pieces, counts = head + fresh + old[rest:], head_counts + self.codec.counts(fresh) + old_counts[rest:]
         if len(pieces) > 8 * LEAF * (last - first + 1):
-            self.leaves[first : last + 1] = [(pieces, counts)]
-            self._build(*(list(chain.from_iterable(leaf[k] for leaf in self.leaves)) for k in (0, 1)))
+            for k in range(first, last + 1):
+                self.leaves[k] = (pieces, counts) if k == first else ([], [])
+            self._build(*self.arrays())
             return
         share = -(-len(pieces) // (last - first + 1)) or 1
         for k in range(first, last + 1):
@@ -142,33 +197,60 @@ class CountTree:
             self._set(k, pieces[lo:hi], counts[lo:hi])
 
 
-def count_edited(docs: DataFrame, edits: Column, vocabulary: str | None = None) -> DataFrame:
-    """Token counts of every whole text before and after its edits, one row for each row in, in one narrow pass.
+_TREE = "n_tokens bigint, piece_chars binary, piece_tokens binary"
 
-    `edits` is an array of structs (start, length, text) in code points, applied in turn, each to the text as it then
-    is; null edits, and parts beyond the text, do nothing. Null text counts as empty. Gives doc_id, n_tokens,
-    n_tokens_edited, n_chars_edited and reencoded_chars: code points encoded anew over all edits.
+
+def trees(docs: DataFrame, *others: str, vocabulary: str | None = None) -> DataFrame:
+    """The tree of every whole text, to be written as a table: doc_id, text, n_tokens, piece_chars and piece_tokens
+    (packed), and the `others` among the columns. One row for each row in, repeated rows included, in one narrow pass.
+    Null text counts as empty; an empty text has no pre-tokens; an empty table gives none.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    kind = dict(docs.dtypes)["doc_id"]
-    edits = F.transform(edits, lambda e: F.struct(e["start"].cast("long").alias("start"), e["length"].cast("long").alias("length"), e["text"].cast("string").alias("text")))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
-        rows = []
-        cut = [own.pieces(t or "") for t in batch.column("text").to_pylist()]
+        cut = [own.pieces(t) for t in batch.column("text").to_pylist()]
         known = own.known(set(chain.from_iterable(cut)))
-        for pieces, changes in zip(cut, batch.column("changes").to_pylist(), strict=True):
-            tree = CountTree("", own, pieces, own.counts(pieces, known))
-            before = tree.n_tokens
+        chars = [pack(np.fromiter(map(len, p), np.int64, len(p))) for p in cut]
+        tokens = [np.array(own.counts(p, known), np.int64) for p in cut]
+        columns = [*batch.columns, pa.array([int(t.sum()) for t in tokens], pa.int64()), pa.array(chars, pa.binary()), pa.array([pack(t) for t in tokens], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_tokens", "piece_chars", "piece_tokens"])
+
+    return map_batches(docs, each, f"{kinds}, {_TREE}", rows=96, after=lambda: codec(path).forget())
+
+
+def edit_trees(stored: DataFrame, edits: Column, vocabulary: str | None = None, texts: bool = True) -> DataFrame:
+    """Applies edits to stored trees: doc_id, n_tokens_before, n_chars, reencoded_chars (code points encoded anew over
+    all edits), n_tokens and, with `texts`, the edited text and its tree, which can be stored and edited again.
+
+    `edits` is an array of structs (start, length, text) in code points, applied in turn, each to the text as it then
+    is; null edits, and parts beyond the text, do nothing. Rows come out as they come in, in one narrow pass; only
+    touched regions are encoded.
+    """
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    kind = dict(stored.dtypes)["doc_id"]
+    edits = F.transform(edits, lambda e: F.struct(e["start"].cast("long").alias("start"), e["length"].cast("long").alias("length"), e["text"].cast("string").alias("text")))
+    names = ["doc_id", "n_tokens_before", "n_chars", "reencoded_chars", "n_tokens", *["text", "piece_chars", "piece_tokens"][: 3 * texts]]
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, rows = codec(path), []
+        for text, before, chars, tokens, changes in zip(*(batch.column(c).to_pylist() for c in ("text", "n_tokens", "piece_chars", "piece_tokens", "changes")), strict=True):
+            tree = CountTree(text, own, unpack(chars), unpack(tokens))
             for e in changes or []:
                 if e is not None:
                     tree.edit(e["start"] or 0, e["length"] or 0, e["text"] or "")
-            rows.append((before, tree.n_tokens, tree.n_chars, tree.encoded))
-        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "reencoded_chars"])
+            row = before, tree.n_chars, tree.encoded, tree.n_tokens
+            if texts:
+                text, new_chars, new_tokens = tree.arrays()
+                row += text, pack(new_chars), pack(new_tokens)
+            rows.append(row)
+        types = [*[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types[: len(names) - 1]))], names=names)
 
-    return map_batches(docs.select("doc_id", "text", edits.alias("changes")), each, f"doc_id {kind}, n_tokens bigint, n_tokens_edited bigint, n_chars_edited bigint, reencoded_chars bigint", rows=96)
+    schema = f"doc_id {kind}, n_tokens_before bigint, n_chars bigint, reencoded_chars bigint, n_tokens bigint" + ", text string, piece_chars binary, piece_tokens binary" * texts
+    return map_batches(stored.select("doc_id", "text", "n_tokens", "piece_chars", "piece_tokens", edits.alias("changes")), each, schema, rows=96, after=lambda: codec(path).forget())
 
 
 def usual_edits() -> Column:
@@ -182,5 +264,11 @@ def usual_edits() -> Column:
 
 
 def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after edits."""
-    return count_edited(read(spark, sf_dir, "documents"), usual_edits())
+    """Token counts of every document before and after edits, which are applied to stored trees. The table of trees
+    stays in the shared folder, as a later round of edits would need it.
+    """
+    where = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents").withColumn("changes", usual_edits())
+    trees(docs, "changes").write.parquet(where)
+    out = edit_trees(spark.read.parquet(where), F.col("changes"), texts=False)
+    return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), "reencoded_chars")

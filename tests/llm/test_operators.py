@@ -296,11 +296,41 @@ def test_redaction_of_odd_rows(odd, spark):
 # Token counts
 
 
-def test_counts_after_edits(docs, out, ranks):
+def edited(text, changes):
+    for e in changes or []:
+        if e is not None:
+            at = min(max(e["start"] or 0, 0), len(text))
+            text = text[:at] + (e["text"] or "") + text[at + max(e["length"] or 0, 0) :]
+    return text
+
+
+def test_counts_after_edits(spark, sf_dir, docs, out, ranks):
+    """Against a new encoding of every text before and after the edits that the query makes."""
     got = out("op4_edit_counts").set_index("doc_id")
-    for d, text in zip(docs.doc_id, docs.text, strict=True):
-        assert got.loc[d].n_tokens == len(ranks[1].encode_ordinary(text))
-    assert (got.reencoded_chars < 400).all()
+    for r in common.read(spark, sf_dir, "documents").select("doc_id", "text", edit_counts.usual_edits().alias("e")).collect():
+        row, now = got.loc[r.doc_id], edited(r.text, r.e)
+        assert row.n_tokens == len(ranks[1].encode_ordinary(r.text))
+        assert (row.n_tokens_edited, row.n_chars_edited) == (len(ranks[1].encode_ordinary(now)), len(now))
+    assert (got.reencoded_chars < 400).all() and got.reencoded_chars.sum() < 0.2 * docs.text.str.len().sum()
+
+
+def test_stored_trees_are_edited_again_and_again(spark, docs, tmp_path, ranks):
+    rng = random.Random(10)
+    texts = dict(zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True))
+    edit_counts.trees(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).write.parquet(str(tmp_path / "0"))
+    for k in range(3):
+        stored = spark.read.parquet(str(tmp_path / str(k)))
+        changes = [(d, [(rng.randrange(len(t) + 1), rng.choice([0, 3, 40]), rng.choice(["", " new words", "x", "\n\n", "é1" * 300])) for _ in range(rng.randrange(3))]) for d, t in texts.items()]
+        table = spark.createDataFrame(changes, "id long, e array<struct<start: int, length: int, text: string>>")
+        edit_counts.edit_trees(stored.join(table, stored.doc_id == table.id), F.col("e")).write.parquet(str(tmp_path / str(k + 1)))
+        texts = {d: edited(texts[d], [dict(zip(("start", "length", "text"), x, strict=True)) for x in e]) for d, e in changes}
+        rows = spark.read.parquet(str(tmp_path / str(k + 1))).collect()
+        for r in rows:
+            pieces = ranks[0].pieces(texts[r.doc_id])
+            assert r.text == texts[r.doc_id] and r.n_tokens == len(ranks[1].encode_ordinary(r.text))
+            assert edit_counts.unpack(bytes(r.piece_chars)).tolist() == list(map(len, pieces))
+            assert edit_counts.unpack(bytes(r.piece_tokens)).tolist() == ranks[0].counts(pieces)
+            assert r.reencoded_chars <= sum(len(x[2]) + 600 for d, e in changes if d == r.doc_id for x in e)
 
 
 def test_tree_holds_the_same_pieces_as_a_new_one(ranks):
@@ -314,17 +344,18 @@ def test_tree_holds_the_same_pieces_as_a_new_one(ranks):
             at = min(at, len(text))
             text = text[:at] + new + text[at + n :]
             assert tree.text() == text and tree.n_chars == len(text)
-            assert [p for leaf in tree.leaves for p in leaf[0]] == ranks[0].pieces(text)
+            assert [p for i in range(len(tree.leaves)) for p in tree.leaf(i)[0]] == ranks[0].pieces(text)
             assert tree.n_tokens == len(ranks[1].encode_ordinary(text))
 
 
 def test_edits_of_odd_rows(odd, spark):
-    got = edit_counts.count_edited(odd, edit_counts.usual_edits())
+    got = edit_counts.edit_trees(edit_counts.trees(odd.withColumn("n_tokens_", edit_counts.usual_edits()), "n_tokens_"), F.col("n_tokens_"))
     assert got.count() == len(ODD)
     rows = spark.createDataFrame([(1, "hello world", [(0, 5, "bye"), None, (-3, 1, None), (99, 99, "!")]), (2, None, None), (3, None, [(4, 4, "hello")])], "doc_id long, text string, e array<struct<start: int, length: int, text: string>>")
-    counted = {r.doc_id: (r.n_tokens, r.n_chars_edited) for r in edit_counts.count_edited(rows, F.col("e")).collect()}
-    assert counted[1][1] == len("ye world!") and counted[2] == (0, 0) and counted[3] == (0, 5)
-    assert edit_counts.count_edited(odd.limit(0), edit_counts.usual_edits()).count() == 0
+    counted = {r.doc_id: (r.n_tokens_before, r.n_chars, r.text) for r in edit_counts.edit_trees(edit_counts.trees(rows, "e"), F.col("e")).collect()}
+    assert counted[1][2] == "ye world!" and counted[2] == (0, 0, "") and counted[3] == (0, 5, "hello")
+    assert edit_counts.trees(odd.limit(0)).count() == 0
+    assert edit_counts.unpack(edit_counts.pack(np.array([1, 70_000]))).tolist() == [1, 70_000]
 
 
 # Personal data
