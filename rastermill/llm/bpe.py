@@ -149,14 +149,16 @@ class Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [array("I", x).tolist() for x in self.encode_packed(texts)]
 
-    def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        """Ids and, for each, the code points it touches; tokens that split a character share that character."""
-        ids = self.encode([text])[0]
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First code point and the one behind the last that each token touches; tokens that split a character share it."""
         lead = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0 != 0x80
         char_of = np.cumsum(lead) - 1
-        ends = np.cumsum([len(self.tokens[i]) for i in ids], dtype=np.int64)
-        starts = ends - [len(self.tokens[i]) for i in ids] if ids else ends
-        return ids, [(int(char_of[a]), int(char_of[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
+        ends = np.cumsum(self.length[ids])
+        return char_of[ends - self.length[ids]], char_of[ends - 1] + 1
+
+    def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
+        ids = self.encode([text])[0]
+        return ids, list(zip(*(x.tolist() for x in self.offsets(text, np.array(ids, np.int64))), strict=True))
 
     def decode_bytes(self, ids: list[int] | np.ndarray) -> bytes:
         """Joins the printable token strings and reverses the byte table over them."""
@@ -185,19 +187,22 @@ def _strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, with_ids: bool = False, with_offsets: bool = False) -> DataFrame:
     """Ids of every text, and their decoding, as one narrow pass without a shuffle.
 
     Null and empty texts have no tokens; the digests are then those of zero bytes. One row comes out for each row in,
-    repeated rows included; columns other than id and text are not read. With `with_ids` the ids follow as `token_ids`.
+    repeated rows included; columns other than id and text are not read. With `with_ids` the ids follow as `token_ids`;
+    with `with_offsets`, too, the code points that each token touches, as `token_starts` and `token_ends`, the end behind
+    the last one.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kind = dict(docs.dtypes)[id_column]
-    schema = f"{id_column} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>" if with_ids else "")
+    schema = f"{id_column} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids + ", token_starts array<int>, token_ends array<int>" * with_offsets
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
-        packed = own.encode_packed(_strings(batch, text_column))
+        texts = _strings(batch, text_column)
+        packed = own.encode_packed(texts)
         ids = [np.frombuffer(x, dtype=np.uint32) for x in packed]
         columns = [
             batch.column(id_column),
@@ -207,11 +212,29 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
         ]
         if with_ids:
             columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
-        return pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(columns)])
+        if with_offsets:
+            places = [own.offsets(t, x.astype(np.int64)) for t, x in zip(texts, ids, strict=True)]
+            columns += [pa.array([p[k].astype(np.int32) for p in places], pa.list_(pa.int32())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids, *["token_starts", "token_ends"] * with_offsets])
 
     return map_batches(docs.select(id_column, text_column), each, schema, rows=96, after=lambda: codec(path).forget())
 
 
+def decode_documents(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "token_ids", vocabulary: str | None = None) -> DataFrame:
+    """(id, text) of token ids, by the reversed byte table; one row for each row in. Ids may be any part of a text's:
+    bytes of a character that they cut in two become U+FFFD. Null ids give an empty text, ids that the vocabulary lacks
+    are an error.
+    """
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    kind = dict(encoded.dtypes)[id_column]
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = codec(path)
+        return pa.RecordBatch.from_arrays([batch.column(id_column), pa.array([own.decode(x or []) for x in batch.column(ids_column).to_pylist()], pa.string())], names=[id_column, "text"])
+
+    return map_batches(encoded.select(id_column, ids_column), each, f"{id_column} {kind}, text string", rows=96)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document text and their decoding."""
     return encode_documents(read(spark, sf_dir, "documents"))

@@ -477,6 +477,22 @@ def test_offsets_and_split_characters(ranks):
     assert own.decode(ids) == text and "�" in own.decode(own.encode(["\U0001f9ff"])[0][:1])
 
 
+def test_offsets_and_decoding_of_tables(spark, docs, odd, ranks):
+    texts = [*docs.text[:60].tolist(), "naïve \U0001f9ff x", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = bpe.encode_documents(frame, with_ids=True, with_offsets=True)
+    for r in encoded.collect():
+        text = texts[r.doc_id] or ""
+        assert len(r.token_starts) == len(r.token_ends) == r.n_tokens == len(ranks[1].encode_ordinary(text))
+        for a, b, i in zip(r.token_starts, r.token_ends, r.token_ids, strict=True):
+            assert ranks[0].tokens[i] in text[a:b].encode()
+        assert not text or (r.token_starts[0], r.token_ends[-1]) == (0, len(text))
+    assert {r.doc_id: r.text for r in bpe.decode_documents(encoded).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    half = encoded.filter("doc_id = 60").select("doc_id", F.slice("token_ids", 1, 4).alias("token_ids"))
+    assert bpe.decode_documents(half).first().text == ranks[0].decode(ranks[0].encode([texts[60]])[0][:4])
+    assert bpe.decode_documents(encoded.limit(0)).count() == 0
+
+
 def test_encoding_of_odd_rows(odd, ranks):
     got = bpe.encode_documents(odd, with_ids=True).collect()
     assert len(got) == len(ODD)
