@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle, shared_dir
+
 #: A word is a run of code points other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -129,30 +129,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from `spark.checkpoint.dir`. Where the session names none, only a driver
-    that runs everything itself, as in tests, gets a temporary one.
-    """
-    context = spark.sparkContext
-    have = context._jsc.sc().getCheckpointDir()
-    where = spark.conf.get("spark.checkpoint.dir", None) or (have.get() if have.isDefined() else None)
-    if not where:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="checkpoint-")
-    if not have.isDefined():
-        context.setCheckpointDir(where)
-    return where
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Computes a table once and cuts its lineage; the rows lie in the shared folder and outlive executors. Spark
-    removes them with `spark.cleaner.referenceTracking.cleanCheckpoints` once nothing refers to them.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -269,6 +269,6 @@ def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     where = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents").withColumn("changes", usual_edits())
-    trees(docs, "changes").write.parquet(where)
+    trees(docs, "changes").write.option("compression", "zstd").parquet(where)
     out = edit_trees(spark.read.parquet(where), F.col("changes"), texts=False)
     return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), "reencoded_chars")
