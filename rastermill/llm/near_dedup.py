@@ -303,11 +303,10 @@ def similar_components(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> D
 
     comp, tested, leaders, turn = None, [], 1, 0
     while True:
-        # A table of its own, so that a bucket with many members is not tied to one task by its sum.
-        alive = scratch.keep(members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket"))
-        if alive.isEmpty():
+        alive = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
+        state = scratch.keep(members.join(alive, "bucket"))
+        if state.isEmpty():
             return comp
-        state = members.join(alive, "bucket")
         if turn == 2:
             members, turn = _by_shared_windows(state, bags, scratch), 3
             continue
