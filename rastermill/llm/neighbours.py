@@ -28,6 +28,8 @@ PARTS, CODES = 16, 256
 RERANK_LEAST, RERANK_SHARE = 100, 0.2
 #: Entries, and queries, that meet in one task at a time.
 BLOCK, QUERIES = 4096, 2048
+#: Parts that the rows which ask with the same vector are dealt into.
+SALTS = 4096
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -69,7 +71,7 @@ class Index:
     def cell(self, x: np.ndarray) -> np.ndarray:
         return nearest(lift(x, self.radius), self.centres)
 
-    def encode(self, x: np.ndarray, cell: int) -> np.ndarray:
+    def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = pad(lift(x, self.radius) - self.centres[cell])
         width = self.books.shape[2]
         return np.stack([nearest(rest[:, p * width : (p + 1) * width], self.books[p]) for p in range(PARTS)], axis=1).astype(np.uint8)
@@ -146,19 +148,25 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     probes = index.probes_needed(sample, k)
     shared = spark.sparkContext.broadcast(index)
 
-    @F.pandas_udf("int")
-    def cell_of(v: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.cell(_matrix(v)).astype(np.int32)) if len(v) else pd.Series([], dtype=np.int32)
+    @F.pandas_udf("cell int, codes binary")
+    def place_of(v: pd.Series) -> pd.DataFrame:
+        if not len(v):
+            return pd.DataFrame({"cell": pd.Series([], dtype=np.int32), "codes": pd.Series([], dtype=object)})
+        x = _matrix(v)
+        cell = shared.value.cell(x)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "codes": [c.tobytes() for c in shared.value.encode(x, cell)]})
 
     @F.pandas_udf("array<int>")
     def cells_of(v: pd.Series) -> pd.Series:
         return pd.Series(list(shared.value.probes(_matrix(v), probes).astype(np.int32))) if len(v) else pd.Series([], dtype=object)
 
-    placed = settle(entries.withColumn("cell", cell_of("v")))
+    placed = settle(entries.withColumn("place", place_of("v")).select("h", "v", "ids", "place.cell", "place.codes"))
     blocks = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # Equal queries are asked once, for one more than `k`, and each then leaves its own row out.
-    askers = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("asker"), "h", "v")
-    distinct = settle(askers.groupBy("h", "v").agg(F.min("asker").alias("query_id")))
+    # Their answers go to the parts they are dealt into, so that a vector which many rows ask with is no task of its own.
+    askers = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("asker"), "h", "v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt"))
+    parts = askers.groupBy("h", "v", "salt").agg(F.min("asker").alias("least"))
+    distinct = settle(parts.groupBy("h", "v").agg(F.min("least").alias("query_id"), F.collect_list("salt").alias("salts")))
     asked = distinct.select("query_id", F.col("v").alias("q")).withColumn("cell", F.explode(cells_of("q")))
     crowd = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / QUERIES).cast("int").alias("crowds"))
     # At most as many rows as there are cells.
@@ -172,7 +180,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
             return empty
         own, x, q = shared.value, _matrix(cell["v"]), _matrix(queries["q"])
         best = min(len(x), max(RERANK_LEAST, k + 1, int(RERANK_SHARE * len(x))))
-        codes = own.encode(x, int(key[0]))
+        codes = np.frombuffer(b"".join(cell["codes"]), np.uint8).reshape(len(x), PARTS)
         ids = [np.asarray(i) for i in cell["ids"]]
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         for lo in range(0, len(q), 256):
@@ -189,10 +197,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
                     out["query_id"].append(np.full(len(ids[at[j]]), queries["query_id"].iat[lo + i]))
         return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
 
-    found = left.select("cell", "block", "crowd", "v", "ids").groupBy("cell", "block", "crowd").cogroup(right.select("cell", "block", "crowd", "query_id", "q").groupBy("cell", "block", "crowd")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = left.select("cell", "block", "crowd", "v", "ids", "codes").groupBy("cell", "block", "crowd").cogroup(right.select("cell", "block", "crowd", "query_id", "q").groupBy("cell", "block", "crowd")).applyInPandas(meet, "query_id long, vec_id long, score double")
     nearest_first = [F.desc("score"), F.asc("vec_id")]
     found = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(*nearest_first))).filter(F.col("n") <= k + 1)
-    each = askers.join(distinct, ["h", "v"]).select("asker", "query_id").join(found, "query_id").filter("asker != vec_id")
+    named = askers.join(distinct.select("h", "v", "query_id", F.explode("salts").alias("salt")), ["h", "v", "salt"]).select("asker", "query_id", "salt")
+    answers = found.drop("n").join(distinct.select("query_id", F.explode("salts").alias("salt")), "query_id")
+    each = named.join(answers, ["query_id", "salt"]).filter("asker != vec_id")
     each = each.withColumn("rank", F.row_number().over(W.partitionBy("asker").orderBy(*nearest_first))).filter(F.col("rank") <= k)
     return each.select(F.col("asker").alias("query_id"), "rank", "vec_id", "score")
 

@@ -683,6 +683,32 @@ def test_equal_and_unusable_vectors(spark):
     assert hits >= 0.9 * len(got) and (got.groupby("query_id").size() == 20).all()
 
 
+def test_codes_rank_within_cells():
+    """Of the vectors of a cell that codes put into the share which is reranked, hardly any of the 20 nearest is missed."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32)) + 2 * rng.normal(size=(40, 32))[rng.integers(0, 40, 6000)]
+    index = neighbours.Index.fit(x, float(np.linalg.norm(x, axis=1).max()), 12)
+    cell = index.cell(x)
+    codes, hit, wanted = index.encode(x, cell), 0, 0
+    for c in range(12):
+        own = np.flatnonzero(cell == c)
+        assert (index.encode(x[own], np.full(len(own), c)) == codes[own]).all()
+        best, q = int(len(own) * neighbours.RERANK_SHARE), x[own[:10]]
+        some = np.argsort(-index.estimate(q, codes[own]), axis=1)[:, :best]
+        near = np.argsort(-(q @ x[own].T), axis=1)[:, : min(20, best)]
+        hit += sum(len(set(a) & set(b)) for a, b in zip(some.tolist(), near.tolist(), strict=True))
+        wanted += near.size
+    assert hit >= 0.95 * wanted
+
+
+def test_many_ask_with_one_vector(spark):
+    rows = [(20 * i, [1.0, 2.0]) for i in range(300)] + [(1, [3.0, 1.25]), (3, [1.0, 2.5])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    for q, g in got.groupby("query_id"):
+        assert g.sort_values("rank").vec_id.tolist() == [3, 1, *[20 * i for i in range(300) if 20 * i != q][:18]]
+    assert len(got) == 300 * 20
+
+
 def test_few_or_no_vectors(spark):
     kind = "vec_id long, embedding array<double>"
     assert neighbours.search(spark.createDataFrame([], kind)).count() == 0
