@@ -25,7 +25,7 @@ SAMPLE = 20_000
 CELLS, WANTED, TRIALS, PROBE_LEAST = (8, 1024), 0.975, 200, 8
 #: Sub-vectors and codes each. Entries a cell reranks exactly for one query: at least so many, and this share of it.
 PARTS, CODES = 16, 256
-RERANK_LEAST, RERANK_SHARE = 100, 0.2
+RERANK_LEAST, RERANK_SHARE = 40, 0.2
 #: Entries, and queries, that meet in one task at a time.
 BLOCK, QUERIES = 4096, 2048
 #: Parts that the rows which ask with the same vector are dealt into.
