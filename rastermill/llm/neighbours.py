@@ -26,8 +26,8 @@ CELLS, WANTED, TRIALS, PROBE_LEAST = (8, 1024), 0.975, 200, 8
 #: Sub-vectors and codes each. Entries a cell reranks exactly for one query: at least so many, and this share of it.
 PARTS, CODES = 16, 256
 RERANK_LEAST, RERANK_SHARE = 40, 0.2
-#: Entries, and queries, that meet in one task at a time.
-BLOCK, QUERIES = 4096, 2048
+#: Entries, and queries, that meet in one task at a time, and pairs of them reranked at a time.
+BLOCK, QUERIES, RERANKED = 4096, 2048, 16_384
 #: Parts that the rows which ask with the same vector are dealt into.
 SALTS = 4096
 
@@ -181,21 +181,22 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         own, x, q = shared.value, _matrix(cell["v"]), _matrix(queries["q"])
         best = min(len(x), max(RERANK_LEAST, k + 1, int(RERANK_SHARE * len(x))))
         codes = np.frombuffer(b"".join(cell["codes"]), np.uint8).reshape(len(x), PARTS)
-        ids = [np.asarray(i) for i in cell["ids"]]
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        for lo in range(0, len(q), 256):
-            part = q[lo : lo + 256]
-            about = own.estimate(part, codes)
-            some = np.argpartition(-about, best - 1, axis=1)[:, :best]
-            for i, at in enumerate(some):
-                score = (x[at] * part[i]).sum(axis=1)
-                order = np.lexsort((at, -score))[: k + 1]
-                floor = score[order[-1]]
-                for j in np.flatnonzero(score >= floor):
-                    out["vec_id"].append(ids[at[j]])
-                    out["score"].append(np.full(len(ids[at[j]]), score[j]))
-                    out["query_id"].append(np.full(len(ids[at[j]]), queries["query_id"].iat[lo + i]))
-        return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
+        held = cell["ids"].str.len().to_numpy()
+        ids, first = np.concatenate(cell["ids"].to_list()), np.cumsum(held) - held
+        asked, out = queries["query_id"].to_numpy(), []
+        step = max(1, RERANKED // best)
+        for lo in range(0, len(q), step):
+            part = q[lo : lo + step]
+            some = np.argpartition(-own.estimate(part, codes), best - 1, axis=1)[:, :best]
+            score = (x[some] * part[:, None]).sum(axis=2)
+            # All that are as near as the last one asked for, since ids decide between them.
+            floor = np.partition(score, max(0, best - k - 1), axis=1)[:, max(0, best - k - 1)]
+            i, j = np.nonzero(score >= floor[:, None])
+            at = some[i, j]
+            each = np.repeat(np.arange(len(at)), held[at])
+            place = np.arange(len(each)) - np.repeat(np.cumsum(held[at]) - held[at], held[at])
+            out.append(pd.DataFrame({"query_id": asked[lo + i[each]], "vec_id": ids[first[at][each] + place], "score": score[i, j][each]}))
+        return pd.concat(out)
 
     found = left.select("cell", "block", "crowd", "v", "ids", "codes").groupBy("cell", "block", "crowd").cogroup(right.select("cell", "block", "crowd", "query_id", "q").groupBy("cell", "block", "crowd")).applyInPandas(meet, "query_id long, vec_id long, score double")
     nearest_first = [F.desc("score"), F.asc("vec_id")]
