@@ -21,10 +21,9 @@ import base64
 import hashlib
 import unicodedata
 from array import array
-from bisect import bisect_right
 from collections import defaultdict
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -73,6 +72,7 @@ class Codec:
         vocab = {show(t): i for t, i in ranks.items()}
         self.pieces, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.memo: dict[str, bytes | None] = {}
+        self.passing: list[str] = []
         self.missed = 0
         self.tokenizer = Tokenizer(models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
         self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -92,36 +92,36 @@ class Codec:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes | None]:
         """Encodes new pieces in one call; what needs another way is looked for in all of them at once."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        ends = list(accumulate(map(len, ids), initial=0))
-        flat = array("I", chain.from_iterable(ids)).tobytes()
-        out: dict[str, bytes | None] = {p: flat[4 * a : 4 * b] for p, a, b in zip(pieces, ends, ends[1:], strict=False)}
-        joined = "\0".join(pieces)
+        joined = "".join(pieces)
+        data = joined.encode("utf-8", "surrogatepass")
+        # Tokens never reach over a piece's end, so bytes passed tell which tokens are whose.
+        lead = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)
+        ends = np.append(lead, len(data))[np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))]
+        ids = np.array(self.tokenizer.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        cuts = (4 * np.searchsorted(np.cumsum(self.length[ids]), ends, "right")).tolist()
+        flat = ids.tobytes()
+        out: dict[str, bytes | None] = {p: flat[a:b] for p, a, b in zip(pieces, [0, *cuts], cuts, strict=False)}
         if self.risky:
-            starts = list(accumulate((len(p.encode("utf-8", "surrogatepass")) + 1 for p in pieces), initial=0))
-            bytewise = joined.encode("utf-8", "surrogatepass").decode("latin-1")
-            for k in {bisect_right(starts, end) - 1 for end, _ in self.finder.iter(bytewise)}:
+            for k in set(np.searchsorted(ends, [end for end, _ in self.finder.iter(data.decode("latin-1"))], "right").tolist()):
                 out[pieces[k]] = array("I", self.by_rank.encode_ordinary(pieces[k])).tobytes()
         if odd := {c for c in set(joined) if unicodedata.category(c) == "Cn"}:
             out.update((p, None) for p in pieces if not odd.isdisjoint(p))
         return out
 
     def known(self, pieces: set[str]) -> dict[str, bytes | None]:
-        """Packed ids of each piece, little-endian; None for one with a code point this Python does not know."""
-        new = [p for p in pieces if p not in self.memo]
-        if not new:
-            return self.memo
-        learnt = self._learn(new)
-        self.missed += len(new)
-        if len(self.memo) + len(new) <= MEMO and max(map(len, new)) <= MEMO_CHARS:
-            self.memo.update(learnt)
-            return self.memo
-        own = {p: learnt[p] if p in learnt else self.memo[p] for p in pieces}
+        """Packed ids of each piece (and of others), little-endian; None for one with a code point this Python does not
+        know. Good until the next call, which drops what is not kept.
+        """
+        for p in self.passing:
+            del self.memo[p]
+        self.passing = []
         if self.missed > 4 * MEMO:
             self.memo, self.missed = {}, 0
-        if len(self.memo) + len(new) <= MEMO:
-            self.memo.update((p, i) for p, i in learnt.items() if len(p) <= MEMO_CHARS)
-        return own
+        if new := list(pieces.difference(self.memo)):
+            self.memo.update(self._learn(new))
+            self.missed += len(new)
+            self.passing = new if len(self.memo) > MEMO else [p for p in new if len(p) > MEMO_CHARS]
+        return self.memo
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers in the machine's order (little-endian is assumed)."""
@@ -136,7 +136,7 @@ class Codec:
 
     def forget(self) -> None:
         """Frees what was learnt from texts; the vocabulary stays."""
-        self.memo, self.missed = {}, 0
+        self.memo, self.passing, self.missed = {}, [], 0
 
     def counts(self, pieces: list[str], known: dict[str, bytes | None] | None = None) -> list[int]:
         """Tokens of each piece alone."""

@@ -467,6 +467,18 @@ def test_hard_strings(ranks):
     assert own.encode(texts) == [other.encode_ordinary(t) for t in texts]
 
 
+def test_ids_do_not_depend_on_what_is_kept(ranks, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    own, other = ranks
+    own.forget()
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = ["".join(rng.choices("abcdeé漢 \n=͸", k=rng.randint(0, 90))) + rng.choice(["", "x" * 70, "==" * 5]) for _ in range(4)]
+        assert own.encode(texts) == [other.encode_ordinary(t) for t in texts]
+        assert len(own.memo) - len(own.passing) <= 40
+    own.forget()
+
+
 def test_offsets_and_split_characters(ranks):
     own, _ = ranks
     text = "naïve \U0001f9ff x"
