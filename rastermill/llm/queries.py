@@ -11,16 +11,19 @@ from .bpe import op6_byte_bpe
 from .chat import op2_chat_format
 from .edit_counts import op4_edit_counts
 from .html_text import op10_html_text
+from .merkle import op11_merkle_manifest
 from .mixing import op8_mixing
 from .near_dedup import op1_near_dedup
 from .neighbours import op9_neighbours
 from .personal_data import op5_personal_data
 from .quality import op7_quality_rules
+from .resample import op12_resample
 from .secrets import op3_secret_scan
+from .toxicity import op13_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_secret_scan, op4_edit_counts, op5_personal_data, op6_byte_bpe, op7_quality_rules, op8_mixing, op9_neighbours, op10_html_text)} | {"pipeline": pipeline.run}
+    return {f.__name__: f for f in (op1_near_dedup, op2_chat_format, op3_secret_scan, op4_edit_counts, op5_personal_data, op6_byte_bpe, op7_quality_rules, op8_mixing, op9_neighbours, op10_html_text, op11_merkle_manifest, op12_resample, op13_toxicity)} | {"pipeline": pipeline.run}
 
 
 _ESCAPED = r"length(regexp_replace({0}, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\2\\\3', 'g'))"
@@ -72,5 +75,70 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, do
 """
 
 
+#: CRC-32 of a decimal number: the table of a byte's eight steps, then the digits.
+_CRC = """crc AS (SELECT list(list_reduce(list_concat([b::UBIGINT], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY b) AS t FROM range(256) r(b))"""
+_CRC_OF = "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split({0}, ''), lambda x: ord(x)::UBIGINT)), lambda c, x: xor(c >> 8, crc.t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT)"
+_FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+#: Levels of eight that the text spells out: enough for two million documents a language, and for 4,096 languages.
+_LEVELS, _TOPS = 7, 4
+
+
+def _merkle_levels(name: str, nodes: str, levels: int) -> str:
+    """Level k of `name`: a node's index, its tree's size there, its preimage (null where a tree has ended), digest."""
+    parts, before = [], nodes
+    for k in range(1, levels + 1):
+        parts.append(f"{name}{k} AS (SELECT tree, idx // 8 AS idx, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN string_agg(digest, '' ORDER BY idx) END AS pre, CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY idx)) ELSE any_value(digest) END AS digest FROM {before} GROUP BY tree, idx // 8, n)")
+        before = f"{name}{k}"
+    return ", ".join(parts)
+
+
+def _merkle_walk(name: str, start: str, levels: int) -> str:
+    """Siblings and folded digest (p, f) of `start`'s rows (tree, idx, p, f), level by level."""
+    parts, before = [], start
+    for k in range(1, levels + 1):
+        slot = "64 * CAST(w.idx % 8 AS BIGINT)"
+        head, rest = f"left(l.pre, {slot})", f"substr(l.pre, {slot} + 65)"
+        parts.append(f"{name}{k} AS (SELECT w.* REPLACE (w.idx // 8 AS idx, CASE WHEN l.pre IS NULL THEN p ELSE p || {head} || {rest} END AS p, CASE WHEN l.pre IS NULL THEN f ELSE sha256({head} || f || {rest}) END AS f) FROM {before} w JOIN {'up' if name == 'w' else 'top'}{k} l ON l.tree = w.tree AND l.idx = w.idx // 8)")
+        before = f"{name}{k}"
+    return ", ".join(parts)
+
+
+_RECORD = " || ".join(_FIELD(c) for c in ("doc_id", "source", "lang", "n_chars"))
+MERKLE = f"""
+WITH {_CRC},
+d AS (SELECT doc_id, lang, sha256({_RECORD} || {_FIELD("text")}) AS digest, sha256({_RECORD} || {_FIELD("CASE WHEN " + _CRC_OF.format("CAST(doc_id AS VARCHAR)") + " % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS f FROM documents, crc),
+leaves AS (SELECT doc_id, digest, digest AS leaf, f, '' AS p, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_merkle_levels("up", "leaves", _LEVELS)},
+roots AS (SELECT tree, digest AS subroot FROM up{_LEVELS}),
+nodes AS (SELECT 0 AS tree, tree AS idx, subroot AS digest, count(*) OVER () AS n FROM roots),
+{_merkle_levels("top", "nodes", _TOPS)},
+{_merkle_walk("w", "leaves", _LEVELS)},
+whole AS (SELECT w.doc_id, w.leaf, r.subroot, w.p, w.f, 0 AS tree, w.tree AS idx FROM w{_LEVELS} w JOIN roots r ON r.tree = w.tree),
+{_merkle_walk("v", "whole", _TOPS)}
+SELECT doc_id, leaf, subroot, (SELECT digest FROM top{_TOPS}) AS root, sha256(p) AS proof_sha256, f AS folded_root, f = (SELECT digest FROM top{_TOPS}) AS verified FROM v{_TOPS}
+"""
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RUNS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda x: CAST(CAST('0x' || x AS INTEGER) AS UBIGINT))"
+_CRC_BYTES = f"xor(list_reduce(list_concat([4294967295::UBIGINT], {_BYTES}), lambda c, x: xor(c >> 8, crc.t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT)"
+RESAMPLE = f"""
+WITH {_CRC},
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+f AS MATERIALIZED (SELECT r, unnest({_RUNS}) AS f FROM d),
+g AS MATERIALIZED (SELECT unnest({_RUNS}) AS f FROM (SELECT {_WORDS} AS w FROM benchmark)),
+b AS MATERIALIZED (SELECT f, CAST({_CRC_BYTES.format("f")} % 10000 AS INTEGER) AS b FROM (SELECT DISTINCT f FROM (SELECT f FROM f UNION ALL SELECT f FROM g)), crc),
+n AS MATERIALIZED (SELECT r, b, count(*) AS n FROM f JOIN b USING (f) GROUP BY ALL),
+s AS (SELECT b, CAST(sum(n) AS DOUBLE) AS s FROM n GROUP BY b),
+t AS (SELECT b, CAST(count(*) AS DOUBLE) AS t FROM g JOIN b USING (f) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b)),
+v AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM n JOIN gain USING (b) GROUP BY r),
+x AS (SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN v USING (r)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, 5 * count(*) OVER (PARTITION BY able) // 100 AS take FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= take THEN place END AS rank FROM z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": CLASSES, "op2_chat_format": CHAT, "op8_mixing": MIX}
+    return {"op1_near_dedup": CLASSES, "op2_chat_format": CHAT, "op8_mixing": MIX, "op11_merkle_manifest": MERKLE, "op12_resample": RESAMPLE}
