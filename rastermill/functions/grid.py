@@ -7,8 +7,10 @@ x to the right and y down from the grid's left top corner. Degrees are for outpu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,49 @@ def grids_aligned(meta: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("product_a", "product_b", F.coalesce(F.col("a_crs") == F.col("b_crs"), F.lit(False)).alias("same_crs"), bounds.alias("same_bounds"), (whole[0] & whole[1]).alias("whole_ratio"), F.round(ratio("x"), 6).alias("ratio"))
 
 
+@dataclass(frozen=True)
+class Nesting:
+    """How a fine grid lies in a coarse one: columns and rows of a block, and which of the two products is the fine one."""
+
+    kx: int
+    ky: int
+    fine: str
+
+
+def nesting_of(a: DataFrame, b: DataFrame) -> Nesting:
+    """How one product's grid nests in another's, from their metadata. Grids of other bounds or reference systems, and
+    those whose resolutions are in no whole-number ratio, the same way round on both axes, are an error.
+    """
+    names = ["dataset_name", "crs", "width", "height", "bounds", "resolution"]
+    left, right = (m.select(*names).limit(2).collect() for m in (a, b))
+    if len(left) != 1 or len(right) != 1:
+        raise ValueError("metadata of one product each is needed")
+    m, n = left[0], right[0]
+    if m.crs is None or m.crs != n.crs:
+        raise ValueError(f"reference systems differ: {m.crs} and {n.crs}")
+    if any(not abs(m.bounds[c] - n.bounds[c]) < TOLERANCE for c in ("left", "bottom", "right", "top")):
+        raise ValueError("bounds differ")
+    down, across = (n.resolution[c] / m.resolution[c] for c in ("y", "x"))
+    fine, kx, ky = (m, across, down) if across >= 1 and down >= 1 else (n, 1 / across, 1 / down)
+    if any(k < 1 - TOLERANCE or abs(k - round(k)) >= TOLERANCE for k in (kx, ky)):
+        raise ValueError(f"grids do not nest: ratios {across} and {down}")
+    coarse = n if fine is m else m
+    kx, ky = round(kx), round(ky)
+    if fine.width != coarse.width * kx or fine.height != coarse.height * ky:
+        raise ValueError("declared sizes do not nest")
+    return Nesting(kx, ky, "a" if fine is m else "b")
+
+
+def row_area(grid: GridSpec) -> Callable[[np.ndarray], np.ndarray]:
+    """Area of a cell in square km by its row, as `cell_area` has it."""
+
+    def area(row: np.ndarray) -> np.ndarray:
+        edge = lambda k: np.sin(np.radians(grid.top - (row + k) * grid.yres))
+        return EARTH_KM**2 * math.radians(grid.xres) * (edge(0) - edge(1))
+
+    return area
+
+
 def cell_area(cells: DataFrame, grid: GridSpec) -> DataFrame:
     """Adds area_km2, which falls towards the poles; for values that are densities rather than amounts."""
     edge = lambda k: F.sin(F.radians(F.lit(grid.top) - (F.col("row") + k) * F.lit(grid.yres)))

@@ -17,6 +17,8 @@ from ..operators import cells as ce
 from ..operators import truth as tr
 from ..operators import zonal as zo
 from ..operators import zones as zn
+from ..operators.tiles import Tiles, block_aggregate_any, zonal_sums_of_tiles
+from ..sources import geojson as so_geo
 from ..sources import products as so
 from ..sources.shared import shared_dir
 from . import stand_ins as st
@@ -410,3 +412,196 @@ def job_across_grids(spark: SparkSession, d: str) -> DataFrame:
 def job_product_test(spark: SparkSession, d: str) -> DataFrame:
     own, path = product(spark, d, None)
     return _report(va.run_product_test(spark, own, f"{path}/report", arcsec=900.0))
+
+
+# Totals from tiles, exact totals, cells in place, overlaps and what lies outside, other grids, GeoJSON.
+
+UNITS = "SELECT {0}, count(*) AS cells, count(value) AS valid, CAST(coalesce(sum(CAST(floor(value * 1048576 + 0.5) AS HUGEINT)), 0) AS DOUBLE) / CAST(1048576 AS DOUBLE) AS s, CAST(coalesce(sum(CAST(floor(value * value * 4096 + 0.5) AS HUGEINT)), 0) AS DOUBLE) / CAST(4096 AS DOUBLE) AS q, min(value) AS low, max(value) AS high FROM assigned GROUP BY {0}"
+EXACT_STATS = f'{BY_REGION}, u AS ({UNITS.format("zone_id")}) SELECT zone_id, cells, valid, CASE WHEN valid > 0 THEN s END AS "sum", CASE WHEN valid > 0 THEN s / valid END AS mean, low AS "min", high AS "max", CASE WHEN valid > 1 THEN sqrt(greatest(q - s * (s / valid), 0) / (valid - 1)) END AS std FROM u'
+
+
+def raw_tiles(spark: SparkSession, d: str, tile_w: int = 64, tile_h: int = 7) -> Tiles:
+    """The raster with its sentinels, in tiles that do not divide the grid."""
+    return Tiles(so.cells_to_tiles(st.demand_cells(spark, d), tile_w, tile_h), tile_w, tile_h)
+
+
+def region_spans(spark: SparkSession, d: str) -> DataFrame:
+    return zn.row_spans(region_edges(spark, d), st.WIDTH, st.height(spark, d))
+
+
+@query(EXACT_STATS)
+def g1_exact_stats(spark: SparkSession, d: str) -> DataFrame:
+    return zo.exact_zonal_stats(in_regions(spark, d).repartition(7))
+
+
+@query(EXACT_STATS)
+def g1_tile_stats(spark: SparkSession, d: str) -> DataFrame:
+    return zo.zonal_stats_of_tiles(raw_tiles(spark, d), region_spans(spark, d), st.NODATA)
+
+
+@query(f'{BY_REGION}, u AS ({UNITS.format("zone_id, parent_id")}) SELECT CAST(0 AS INTEGER) AS level, parent_id, zone_id, s AS "sum" FROM u UNION ALL SELECT 1, parent_id, NULL, sum(s) FROM u GROUP BY parent_id UNION ALL SELECT 2, NULL, NULL, sum(s) FROM u')
+def g7_exact_rollup(spark: SparkSession, d: str) -> DataFrame:
+    sums = zonal_sums_of_tiles(raw_tiles(spark, d), region_spans(spark, d), st.NODATA)
+    parents = st.region_rings(spark, d).select("zone_id", "parent_id").distinct()
+    return zo.exact_rollup(sums.join(parents, "zone_id"))
+
+
+@query(f'{BY_REGION} SELECT zone_id, round(sum(value * 6371.0088 * 6371.0088 * radians(0.25) * (sin(radians(75 - "row" * CAST(0.125 AS DOUBLE))) - sin(radians(75 - ("row" + 1) * CAST(0.125 AS DOUBLE))))), 0) AS "sum", count(value) AS valid FROM assigned GROUP BY zone_id')
+def c1_area_weighted_tiles(spark: SparkSession, d: str) -> DataFrame:
+    found = zo.zonal_stats_of_tiles(raw_tiles(spark, d), region_spans(spark, d), st.NODATA, row_weight=gr.row_area(grid_of(spark, d)))
+    return found.select("zone_id", F.round("sum", 0).alias("sum"), "valid")
+
+
+@query(f"WITH {CELLS} SELECT * FROM cells")
+def r2_read_tiles(spark: SparkSession, d: str) -> DataFrame:
+    path = shared(spark)
+    raw_tiles(spark, d).frame.write.parquet(f"{path}/tiles")
+    st.own_metadata(spark, d, st.NODATA).write.text(f"{path}/meta")
+    return so.read_tiles(spark, f"{path}/tiles", 64, 7, so.read_product_metadata(spark, f"{path}/meta"))
+
+
+@query(f'{BY_REGION} SELECT zone_id, "row", col, value FROM assigned')
+def j2_assign_zones_by_row(spark: SparkSession, d: str) -> DataFrame:
+    path = shared(spark)
+    cells = zn.write_cells_by_row(masked(spark, d), f"cells_{uuid.uuid4().hex}", path, 8)
+    return zn.assign_zones_by_row(cells, region_spans(spark, d))
+
+
+#: Regions moved 20 half cells to the right, so that the last ones are cut off, and countries where they are.
+SHIFTED = f"""{REGIONS.replace("corners AS", "moved AS").replace("60.0 * n_regionkey AS xl, 60.0 * n_regionkey + 60 AS xr", "60.0 * n_regionkey + 20 AS xl, 60.0 * n_regionkey + 80 AS xr")}, {COUNTRIES.replace("corners AS", "lands AS")}, corners AS (SELECT * FROM moved UNION ALL SELECT 'c' || zone_id, * EXCLUDE (zone_id) FROM lands)"""
+BY_SHIFTED = f"WITH {CELLS}, {SHIFTED}, {EDGES}, {CAST_RAYS}"
+DEPTH = 'depth AS (SELECT "row", col, count(*) AS zones FROM assigned GROUP BY "row", col)'
+
+
+def shifted_rings(spark: SparkSession, d: str) -> DataFrame:
+    moved = st.region_rings(spark, d).withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] + 20).alias("x"), p["y"].alias("y"))))
+    return moved.unionByName(st.country_rings(spark, d).withColumn("zone_id", F.concat(F.lit("c"), F.col("zone_id"))))
+
+
+def shifted_spans(spark: SparkSession, d: str) -> DataFrame:
+    return zn.row_spans(so.ring_edges(shifted_rings(spark, d)), st.WIDTH, st.height(spark, d))
+
+
+@query(f'{BY_SHIFTED}, {DEPTH}, flags AS (SELECT *, coalesce(col = lag(col) OVER w + 1 AND zones = lag(zones) OVER w, false) AS goes_on FROM depth WHERE zones > 1 WINDOW w AS (PARTITION BY "row" ORDER BY col)), runs AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY "row" ORDER BY col) AS run FROM flags) SELECT "row", CAST(min(col) AS INTEGER) AS c0, CAST(max(col) + 1 AS INTEGER) AS c1, any_value(zones) AS zones FROM runs GROUP BY "row", run')
+def c4_overlap_runs(spark: SparkSession, d: str) -> DataFrame:
+    return zn.overlap_runs(shifted_spans(spark, d))
+
+
+@query(f'{BY_SHIFTED}, {DEPTH} SELECT zone_id, count(*) AS shared FROM assigned JOIN depth USING ("row", col) WHERE zones > 1 GROUP BY zone_id')
+def c4_shared_cells(spark: SparkSession, d: str) -> DataFrame:
+    spans = shifted_spans(spark, d)
+    return zn.overlap_by_zone(spans, zn.overlap_runs(spans))
+
+
+#: Area of what lies between a zone's upper and lower line, both held between the grid's borders, from column to column.
+_HELD = "(greatest(least({0}, m), 0) * greatest(least({0}, m), 0) / 2 + greatest({0} - m, 0) * m)"
+_UNDER = f"CASE WHEN abs({{1}} - {{0}}) < 1e-9 THEN greatest(least({{0}}, m), 0) ELSE ({_HELD.format('{1}')} - {_HELD.format('{0}')}) / ({{1}} - {{0}}) END * (x1 - x0)"
+OUTSIDE = f"""shape AS (SELECT zone_id, CAST(2 * h AS DOUBLE) AS m, CAST(xl AS DOUBLE) AS x0, CAST(least(xr, 300) AS DOUBLE) AS x1, CAST(tl AS DOUBLE) AS t0, CAST(tl + (tr - tl) * (least(xr, 300) - xl) / (xr - xl) AS DOUBLE) AS t1, CAST(bl AS DOUBLE) AS b0, CAST(bl + (br - bl) * (least(xr, 300) - xl) / (xr - xl) AS DOUBLE) AS b1, CAST((xr - xl) * ((bl - tl) + (br - tr)) / 2 AS DOUBLE) AS whole FROM corners, size),
+outside AS (SELECT zone_id, whole / 4 AS area, (({_UNDER.format("b0", "b1")}) - ({_UNDER.format("t0", "t1")})) / 4 AS inside FROM shape)"""
+
+
+@query(f"WITH {CELLS}, {SHIFTED.replace('AS tl,', '+ 7 AS tl,').replace('END AS tr', 'END + 7 AS tr').replace('AS bl,', '+ 7 AS bl,').replace('END AS br', 'END + 7 AS br').replace('0.0 AS tr', '7.0 AS tr').replace('2.0 * h AS br', '2.0 * h + 7 AS br')}, {OUTSIDE} SELECT zone_id, round(area, 6) AS area, round(inside, 6) + 0.0 AS inside, round(1 - inside / area, 6) + 0.0 AS outside FROM outside")
+def c5_outside_share(spark: SparkSession, d: str) -> DataFrame:
+    lower = shifted_rings(spark, d).withColumn("ring", F.transform("ring", lambda p: F.struct(p["x"].alias("x"), (p["y"] + 7).alias("y"))))
+    found = zn.outside_share(lower, st.WIDTH, st.height(spark, d))
+    return found.select("zone_id", *[r(c).alias(c) for c in ("area", "inside", "outside")])
+
+
+@query(f'WITH {CELLS}, b AS (SELECT CAST("row" // 7 AS INTEGER) AS "row", CAST(col // 7 AS INTEGER) AS col, CAST(sum(CAST(floor(value * 1048576 + 0.5) AS HUGEINT)) AS DOUBLE) / CAST(1048576 AS DOUBLE) AS value, count(value) AS valid FROM cells GROUP BY 1, 2) SELECT "row", col, value, value / valid AS mean, valid FROM b')
+def g8_blocks_across_tiles(spark: SparkSession, d: str) -> DataFrame:
+    return block_aggregate_any(raw_tiles(spark, d, 50, 10), 7, st.NODATA, st.WIDTH, st.height(spark, d))
+
+
+#: Features from nations: an outline, a hole in every other, a second part in every third, and some that are no good.
+GEO = "geo AS (SELECT n_nationkey AS k, CAST(n_nationkey AS VARCHAR) AS zone_id, CAST(n_regionkey AS VARCHAR) AS parent_id FROM nation WHERE n_nationkey % 7 != 3 AND n_nationkey % 11 != 5)"
+
+
+@query(f"WITH {GEO} SELECT zone_id, parent_id, CAST(part AS INTEGER) AS part, hole, CAST(n AS INTEGER) AS points, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (SELECT *, 0 AS part, false AS hole, 4 AS n, 4 * k + 2 AS x, 10 AS y FROM geo UNION ALL SELECT *, 0, true, 3, 3 * k + 1, 6 FROM geo WHERE k % 2 = 0 UNION ALL SELECT *, 1, false, 3, 3 * k + 1, -20 FROM geo WHERE k % 3 = 0)")
+def r4_geojson_rings(spark: SparkSession, d: str) -> DataFrame:
+    rings, _ = so_geo.read_geojson(spark, st.nation_features(spark, d, shared(spark)), "iso", "adm0")
+    total = lambda c: F.aggregate(F.transform("ring", lambda p: p[c]), F.lit(0.0), lambda a, v: a + v)
+    return rings.select("zone_id", "parent_id", "part", "hole", F.size("ring").alias("points"), total("x").alias("x"), total("y").alias("y"))
+
+
+@query("SELECT CASE WHEN n_nationkey % 7 = 3 THEN 'no polygon' ELSE 'bad ring' END AS fault, count(*) AS features FROM nation WHERE n_nationkey % 7 = 3 OR n_nationkey % 11 = 5 GROUP BY 1")
+def r4_geojson_faults(spark: SparkSession, d: str) -> DataFrame:
+    return so_geo.read_geojson(spark, st.nation_features(spark, d, shared(spark)), "iso", "adm0")[1]
+
+
+def region_features(spark: SparkSession, d: str, path: str) -> str:
+    """The first-level regions as a GeoJSON file."""
+    return st.write_features(st.in_degrees(st.region_rings(spark, d)).select("zone_id", "parent_id", F.array("ring").alias("rings")), path)
+
+
+CORRECTED = f"{BY_REGION}, truth AS (SELECT 'region' AS task, CAST(c_nationkey AS VARCHAR) AS zone_id, sum(c_acctbal) AS truth FROM customer GROUP BY ALL), totals AS (SELECT 'region' AS task, zone_id, sum(value) AS prediction FROM assigned WHERE parent_id = '2' GROUP BY zone_id), pairs AS (SELECT task, zone_id, prediction, truth FROM totals FULL JOIN (SELECT * FROM truth WHERE zone_id IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 2) UNION ALL SELECT 'region', 'zz', 1.0) USING (task, zone_id))"
+
+
+def old_codes(spark: SparkSession, d: str, path: str) -> tuple[str, DataFrame]:
+    """Truth of regions as CSV, every other one under an old code, and one under a code that no region has; and the map
+    of codes.
+    """
+    old = F.when(F.col("zone_id").cast("int") % 2 == 0, F.concat(F.lit("old-"), F.col("zone_id"))).otherwise(F.col("zone_id"))
+    truth = st.region_truth(spark, d).select(old.alias("code"), F.col("truth").alias("amount"))
+    truth.unionByName(spark.createDataFrame([("zz", 1.0)], "code string, amount double")).write.option("header", True).csv(path)
+    return path, st.table(spark, d, "nation").select(F.concat(F.lit("old-"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_nationkey").cast("string").alias("corrected"))
+
+
+@query(f"{CORRECTED}, {RANKED}, {WIDE}, {LONG} SELECT task, 'zones' AS subject, measure, round(CAST(value AS DOUBLE), 4) AS value FROM long")
+def job_province_code_map(spark: SparkSession, d: str) -> DataFrame:
+    own, path = product(spark, d, st.NODATA)
+    truth, codes = old_codes(spark, d, f"{path}/truth")
+    bounds = va.Boundaries({1: region_features(spark, d, f"{path}/regions.json")}, "geojson", "iso", "adm0")
+    return _report(va.run_consistency(spark, own, bounds, truth, {"zone_id": "code", "truth": "amount"}, "region", f"{path}/report", parent_id="2", code_map=codes))
+
+
+@query(f"{BY_COUNTRY}, truth AS (SELECT 'country' AS task, 'x' || CAST(n_regionkey AS VARCHAR) AS zone_id, sum(c_acctbal) AS truth FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT 'country' AS task, 'zones' AS subject, unnest(['n', 'bias', 'mae', 'rmse', 'relative_error', 'pearson', 'r2', 'slope', 'spearman', 'zones_without_truth', 'truth_without_zone']) AS measure, unnest([0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, (SELECT count(DISTINCT zone_id) FROM assigned), (SELECT count(*) FROM truth)])::DOUBLE AS value")
+def job_nothing_matches(spark: SparkSession, d: str) -> DataFrame:
+    truth = st.country_truth(spark, d).withColumn("zone_id", F.concat(F.lit("x"), F.col("zone_id")))
+    return _report(va.consistency(st.demand_cells(spark, d), country_edges(spark, d), truth, st.WIDTH, st.height(spark, d), "country", st.NODATA))
+
+
+DETAILS = f"""{BY_SHIFTED}, {DEPTH}, {REGION_TRUTH}, {OUTSIDE}, totals AS (SELECT 'region' AS task, zone_id, sum(value) AS prediction FROM assigned GROUP BY zone_id), pairs AS (SELECT task, zone_id, prediction, truth FROM totals FULL JOIN truth USING (task, zone_id)), {RANKED}, {WIDE}, {LONG},
+e AS (SELECT zone_id, abs(prediction - truth) / nullif(abs(truth), 0) AS e FROM pairs), worst AS (SELECT *, rank() OVER (ORDER BY e DESC) AS place FROM e WHERE e IS NOT NULL)
+SELECT task, 'zones' AS subject, measure, round(CAST(value AS DOUBLE), 4) AS value FROM long UNION ALL SELECT 'region', zone_id, 'worst_relative_error', round(e, 4) FROM worst WHERE place <= 3
+UNION ALL SELECT 'region', zone_id, 'share_outside', round(1 - inside / area, 4) FROM outside WHERE 1 - inside / area > 1e-9
+UNION ALL SELECT 'region', zone_id, 'shared_cells', count(*) FROM assigned JOIN depth USING ("row", col) WHERE zones > 1 GROUP BY zone_id"""
+
+
+@query(DETAILS)
+def job_zone_details(spark: SparkSession, d: str) -> DataFrame:
+    """Zones named by the report, from a product in tiles."""
+    _, path = product(spark, d, st.NODATA)
+    raw_tiles(spark, d).frame.write.parquet(f"{path}/tiles")
+    own = va.Product(f"{path}/meta", tiles=f"{path}/tiles", tile_w=64, tile_h=7)
+    st.in_degrees(shifted_rings(spark, d)).write.parquet(f"{path}/zones")
+    st.region_truth(spark, d).select(F.col("zone_id").alias("code"), F.col("truth").alias("amount")).write.option("header", True).csv(f"{path}/truth")
+    bounds = va.Boundaries({1: f"{path}/zones"})
+    return _report(va.run_consistency(spark, own, bounds, f"{path}/truth", {"zone_id": "code", "truth": "amount"}, "region", f"{path}/report", worst=3, faults=True))
+
+
+@query(f"{BY_REGION}, {COARSE.replace('// 2', '// 7').replace('/ 2', '/ 7')}, two AS (SELECT p, t FROM (SELECT zone_id, sum(value) AS p FROM assigned GROUP BY zone_id) FULL JOIN (SELECT zone_id, sum(value) AS t FROM hit GROUP BY zone_id) USING (zone_id) WHERE p IS NOT NULL AND t IS NOT NULL) SELECT 'grids' AS task, 'zones' AS subject, measure, value FROM ({MEASURED})")
+def job_across_grids_tiles(spark: SparkSession, d: str) -> DataFrame:
+    _, path = product(spark, d, st.NODATA)
+    raw_tiles(spark, d, 50, 10).frame.write.parquet(f"{path}/tiles")
+    st.in_degrees(st.region_rings(spark, d)).write.parquet(f"{path}/regions")
+    own = va.Product(f"{path}/meta", tiles=f"{path}/tiles", tile_w=50, tile_h=10)
+    return _report(va.run_across_grids(spark, own, f"{path}/regions", f"{path}/report", k=7))
+
+
+#: A second product on a grid of half the resolution: NaN where the order is finished.
+SECOND = """fine AS (SELECT "row" // 2 AS "row", col // 2 AS col, avg(value) AS p, count(value) AS v FROM cells GROUP BY 1, 2), second AS (SELECT o_orderkey // 150 // 2 AS "row", o_orderkey % 150 // 2 AS col, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_totalprice / 2 END AS t FROM orders WHERE o_orderkey // 150 % 2 = 0 AND o_orderkey % 150 % 2 = 0), both_ AS (SELECT p, t FROM fine FULL JOIN second USING ("row", col)), two AS (SELECT p, t FROM both_ WHERE p IS NOT NULL AND t IS NOT NULL)"""
+
+
+@query(f"WITH {CELLS}, {SECOND} SELECT 'products' AS task, 'cells' AS subject, measure, value FROM ({MEASURED}) UNION ALL SELECT 'products', 'cells', unnest(['columns_per_cell', 'rows_per_cell', 'valid_a', 'valid_b']), unnest([2, 2, count(p), count(t)])::DOUBLE FROM both_")
+def job_across_products(spark: SparkSession, d: str) -> DataFrame:
+    own, path = product(spark, d, st.NODATA)
+    st.second_metadata(spark, d).write.text(f"{path}/meta2")
+    st.second_cells(spark, d).write.parquet(f"{path}/cells2")
+    return _report(va.run_across_products(spark, own, va.Product(f"{path}/meta2", f"{path}/cells2"), f"{path}/report"))
+
+
+@query(f"WITH {CELLS} SELECT 'product' AS task, subject, measure, value FROM (SELECT 'raster' AS subject, unnest(['width_ok', 'height_ok', 'as_declared', 'shape_as_declared', 'cells', 'valid', 'nodata', 'min', 'max', 'mean', 'duplicate_cells', 'missing_cells']) AS measure, round(CAST(unnest([1, 1, 0, CAST(count(*) = 150 * any_value(h) AS INTEGER), count(*), count(value), count(*) - count(value), min(value), max(value), avg(value), count(*) - count(DISTINCT (\"row\", col)), 150 * any_value(h) - count(DISTINCT (\"row\", col))]) AS DOUBLE), 4) AS value FROM cells, size) UNION ALL SELECT 'product', 'second', unnest(['same_crs', 'same_bounds', 'whole_ratio', 'ratio']), unnest([1.0, 1.0, 1.0, 2.0])::DOUBLE")
+def job_product_alignment(spark: SparkSession, d: str) -> DataFrame:
+    own, path = product(spark, d, None)
+    st.second_metadata(spark, d).write.text(f"{path}/meta2")
+    return _report(va.run_product_test(spark, own, f"{path}/report", arcsec=900.0, other=f"{path}/meta2"))

@@ -106,3 +106,55 @@ def own_metadata(spark: SparkSession, sf_dir: str, nodata: float | None) -> Data
 def in_degrees(rings: DataFrame) -> DataFrame:
     """Rings in half-cell units as a boundary file would have them."""
     return rings.withColumn("ring", F.transform("ring", lambda p: F.struct((F.lit(LEFT) + p["x"] * (XRES / 2)).alias("x"), (F.lit(TOP) - p["y"] * (YRES / 2)).alias("y"))))
+
+
+def second_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second product's declaration: the same bounds at half the resolution."""
+    top = table(spark, sf_dir, "orders").agg(F.expr(f"max(o_orderkey) div {WIDTH} + 1").alias("h"))
+    meta = F.struct(
+        F.lit("second").alias("dataset_name"), F.lit("EPSG:4326").alias("crs"), F.lit(WIDTH // 2).alias("width"), F.expr("h div 2").alias("height"), F.lit(1).alias("band_count"), F.lit("NaN").alias("nodata"),
+        F.struct(F.lit(LEFT).alias("left"), (F.lit(TOP) - F.col("h") * YRES).alias("bottom"), F.lit(LEFT + WIDTH * XRES).alias("right"), F.lit(TOP).alias("top")).alias("bounds"), F.struct(F.lit(2 * XRES).alias("x"), F.lit(2 * YRES).alias("y")).alias("resolution"),
+    )
+    return top.select(F.to_json(meta, {"pretty": "true"}).alias("value"))
+
+
+def second_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the second product: every second order of every second row; NaN where the order is finished."""
+    row, col = F.expr(f"o_orderkey div {WIDTH}"), F.col("o_orderkey") % WIDTH
+    value = F.when(F.col("o_orderstatus") == "F", F.lit(float("nan"))).otherwise(F.col("o_totalprice") / 2)
+    return table(spark, sf_dir, "orders").filter((row % 2 == 0) & (col % 2 == 0)).select(F.expr(f"cast(o_orderkey div {WIDTH} div 2 as int)").alias("row"), F.expr(f"cast(o_orderkey % {WIDTH} div 2 as int)").alias("col"), value.alias("value"))
+
+
+def _feature(kind: object, coordinates: object, zone: str = "zone_id", parent: str = "parent_id") -> object:
+    """One feature as JSON text, from the JSON text of its coordinates."""
+    return F.concat(F.lit('{"type": "Feature", "properties": {"iso": "'), F.col(zone), F.lit('", "adm0": "'), F.col(parent), F.lit('"}, "geometry": {"type": "'), kind, F.lit('", "coordinates": '), coordinates, F.lit("}}"))
+
+
+def _collection(features: DataFrame, path: str) -> str:
+    whole = features.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": [\n'), F.array_join(F.collect_list("feature"), ",\n"), F.lit("]}")).alias("value"))
+    whole.write.text(path)
+    return path
+
+
+def write_features(polygons: DataFrame, path: str) -> str:
+    """Polygons (zone_id, parent_id, rings) as a GeoJSON file of features."""
+    pair = lambda p: F.array(p["x"], p["y"])
+    closed = F.transform("rings", lambda r: F.concat(F.transform(r, pair), F.array(pair(r[0]))))
+    return _collection(polygons.select(_feature(F.lit("Polygon"), F.to_json(closed)).alias("feature")), path)
+
+
+def nation_features(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """A GeoJSON file with a feature a nation: an outline, a hole in every other, a second part in every third; some are
+    lines and some are not closed.
+    """
+    k = F.col("n_nationkey").cast("double")
+    ring = lambda *points: F.array(*[F.array((k + x), F.lit(float(y))) for x, y in points])
+    outline = F.when(F.col("n_nationkey") % 11 == 5, ring((0, 0), (1, 0), (1, 5), (0, 5))).otherwise(ring((0, 0), (1, 0), (1, 5), (0, 5), (0, 0)))
+    hole = ring((0.25, 1), (0.5, 1), (0.25, 4), (0.25, 1))
+    first = F.when(F.col("n_nationkey") % 2 == 0, F.array(outline, hole)).otherwise(F.array(outline))
+    second = F.array(ring((0, -10), (1, -10), (0, 0), (0, -10)))
+    several = F.col("n_nationkey") % 3 == 0
+    text = F.when(several, F.to_json(F.array(first, second))).otherwise(F.to_json(first))
+    kind = F.when(F.col("n_nationkey") % 7 == 3, "LineString").when(several, "MultiPolygon").otherwise("Polygon")
+    named = table(spark, sf_dir, "nation").withColumns({"zone_id": F.col("n_nationkey").cast("string"), "parent_id": F.col("n_regionkey").cast("string")})
+    return _collection(named.select(_feature(kind, text).alias("feature")), path)

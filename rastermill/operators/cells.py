@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -30,36 +30,124 @@ def observed_shape(cells: DataFrame, meta: DataFrame) -> DataFrame:
     return both.withColumn("as_declared", inside & (F.col("cells") == F.col("width") * F.col("height")))
 
 
-def bad_rows(cells: DataFrame, width: int) -> DataFrame:
-    """Rows of the grid that have some cells, but not each column once. Only bitmaps and counts of a row are moved, so
-    a whole grid is checked without moving its cells.
+#: Columns of a word of a row's bitmap.
+WORD = 64
+
+
+def _word_parts(cells: DataFrame) -> DataFrame:
+    """(row, word, n, seen, twice, outside) of each Arrow batch: `n` cells of 64 columns of a row, bitmaps of the columns
+    that occur and of those that occur again. Cells with a null or negative position make one row that counts them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, col = (batch.column(c).cast(pa.int64()) for c in ("row", "col"))
+            known = np.asarray(row.is_valid().to_numpy(zero_copy_only=False) & col.is_valid().to_numpy(zero_copy_only=False))
+            r, c = (x.fill_null(-1).to_numpy(zero_copy_only=False) for x in (row, col))
+            known &= (r >= 0) & (c >= 0)
+            outside = int((~known).sum())
+            r, c = r[known], c[known]
+            order = np.lexsort((c, r))
+            r, c = r[order], c[order]
+            same = (np.diff(r, prepend=-1) == 0) & (np.diff(c, prepend=-1) == 0)
+            bit = np.left_shift(np.uint64(1), (c % WORD).astype(np.uint64))
+            start = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(c // WORD, prepend=-1) != 0))
+            n = np.diff(start, append=len(r))
+            seen, twice = (np.bitwise_or.reduceat(x, start) if len(start) else np.zeros(0, np.uint64) for x in (bit, np.where(same, bit, np.uint64(0))))
+            columns = [r[start], c[start] // WORD, n, seen.view(np.int64), twice.view(np.int64), np.zeros(len(start), np.int64)]
+            if outside:
+                columns = [np.append(x, v) for x, v in zip(columns, (-1, -1, 0, 0, 0, outside), strict=True)]
+            kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["row", "word", "n", "seen", "twice", "outside"])
+
+    return cells.select("row", "col").mapInArrow(run, "row int, word int, n bigint, seen bigint, twice bigint, outside bigint")
+
+
+def grid_words(cells: DataFrame) -> DataFrame:
+    """(row, word, n, seen, twice) of each 64 columns of a row that has some: how many cells, a bitmap of the columns that
+    occur, and one of those that occur more than once. One scan; a task sends a word for 64 cells at best. Cells without
+    a place on any grid (a null or negative row or column) are all in word -1 of row -1.
     """
-    col = F.col("col") + 1
-    parts = cells.groupBy("row", F.bitmap_bucket_number(col).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(col))).alias("distinct"))
-    sums = parts.groupBy("row").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"))
-    return sums.filter((F.col("n") != width) | (F.col("distinct") != width)).select("row")
+    parts = _word_parts(cells).groupBy("row", "word").agg((F.sum("n") + F.sum("outside")).alias("n"), F.collect_list("seen").alias("parts"), F.bit_or("twice").alias("twice"))
+    # A column that two parts have seen occurs twice, too.
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.col("twice").alias("twice"))
+    both = F.aggregate("parts", start, lambda a, x: F.struct(a["seen"].bitwiseOR(x).alias("seen"), a["twice"].bitwiseOR(a["seen"].bitwiseAND(x)).alias("twice")))
+    return parts.select("row", "word", "n", both.alias("b")).select("row", "word", "n", "b.seen", "b.twice")
 
 
-def duplicate_cells(cells: DataFrame, width: int) -> DataFrame:
-    """Positions that occur more than once, and how often; single cells are counted in bad rows only."""
-    bad = cells.select("row", "col").join(bad_rows(cells, width), "row", "left_semi")
+def _columns_of(bitmap: Column) -> Column:
+    """Places of a word's bits that are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda k: F.expr("1L") == F.call_function("shiftrightunsigned", bitmap, k).bitwiseAND(F.lit(1).cast("bigint")))
+
+
+def _on_grid(words: DataFrame, width: int, height: int) -> DataFrame:
+    """Words of the grid itself, their bits beyond its last column cut off; `full` has the bits that a whole word has."""
+    left = F.lit(width) - F.col("word") * WORD
+    full = F.when(left >= WORD, F.lit(-1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.least(left, F.lit(WORD - 1)), F.lit(0)).cast("int")) - 1)
+    held = words.filter((F.col("row") >= 0) & (F.col("row") < height) & (F.col("word") >= 0) & (left > 0)).withColumn("full", full)
+    return held.withColumns({"seen": F.col("seen").bitwiseAND(F.col("full")), "twice": F.col("twice").bitwiseAND(F.col("full"))})
+
+
+def completeness(words: DataFrame, width: int, height: int) -> DataFrame:
+    """One row: cells in words of the grid, duplicate_cells (positions of the grid that occur more than once) and missing_cells
+    (positions without a cell), from the words alone.
+    """
+    held = _on_grid(words, width, height).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), *[F.coalesce(F.sum(F.bit_count(c)), F.lit(0)).alias(c) for c in ("seen", "twice")])
+    return held.select("cells", F.col("twice").alias("duplicate_cells"), (F.lit(width * height) - F.col("seen")).alias("missing_cells"))
+
+
+def duplicate_cells(cells: DataFrame, width: int, words: DataFrame | None = None) -> DataFrame:
+    """Positions that occur more than once, and how often; single cells are counted in words with repeats only. Give
+    `grid_words` where they are known.
+    """
+    words = grid_words(cells) if words is None else words
+    at = words.filter((F.col("twice") != 0) & (F.col("word") * WORD < width)).select("row", "word")
+    bad = cells.select("row", "col", F.expr(f"col div {WORD}").cast("int").alias("word")).filter(F.col("col").between(0, width - 1)).join(at, ["row", "word"], "left_semi")
     return bad.groupBy("row", "col").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
 
 
-def missing_cells(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """Positions of the grid without a row; positions are listed for bad or absent rows only."""
-    spark = cells.sparkSession
-    rows = spark.range(height).select(F.col("id").cast("int").alias("row"))
-    absent = rows.join(cells.select("row").distinct(), "row", "left_anti")
-    every = F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("col")
-    bad = bad_rows(cells, width).select(F.col("row").cast("int").alias("row"))
-    there = cells.select("row", "col").join(bad, "row", "left_semi")
-    return bad.select("row", every).join(there, ["row", "col"], "left_anti").unionByName(absent.select("row", every))
+def missing_cells(cells: DataFrame, width: int, height: int, words: DataFrame | None = None) -> DataFrame:
+    """Positions of the grid without a row, read off the complement of the bitmaps; cells are scanned once, and not at
+    all where `words`, their `grid_words`, are given.
+    """
+    held = _on_grid(grid_words(cells) if words is None else words, width, height)
+    found = held.select("row", "word", F.col("full").bitwiseAND(F.bitwise_not("seen")).alias("gaps"))
+    # What each row has of its words; words that no row has are listed from the grid's own count.
+    per_row = -(-width // WORD)
+    grid = cells.sparkSession.range(height * per_row).select(F.expr(f"cast(id div {per_row} as int)").alias("row"), F.expr(f"cast(id % {per_row} as int)").alias("word"))
+    absent = _on_grid(grid.join(held.select("row", "word"), ["row", "word"], "left_anti").withColumns({"seen": F.lit(0).cast("bigint"), "twice": F.lit(0).cast("bigint")}), width, height)
+    gaps = found.filter("gaps != 0").unionByName(absent.select("row", "word", F.col("full").alias("gaps")))
+    return gaps.select("row", F.explode(_columns_of(F.col("gaps"))).alias("k"), "word").select("row", (F.col("word") * WORD + F.col("k")).cast("int").alias("col"))
+
+
+MEASURES = ("cells", "valid", "min", "max", "sum", "min_row", "max_row", "min_col", "max_col")
 
 
-def block_aggregate(cells: DataFrame, k: int) -> DataFrame:
-    """k x k blocks as one coarse cell: sum, mean and number of valid values; null where none is valid."""
-    return cells.groupBy(F.expr(f"row div {k}").cast("int").alias("row"), F.expr(f"col div {k}").cast("int").alias("col")).agg(F.sum("value").alias("value"), F.avg("value").alias("mean"), F.count("value").alias("valid"))
+def _measures() -> list[Column]:
+    value = F.col("value")
+    return [F.count(F.lit(1)).alias("cells"), F.count(value).alias("valid"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("sum"), *[f(c).alias(f"{n}_{c}") for c in ("row", "col") for n, f in (("min", F.min), ("max", F.max))]]
+
+
+def examined(cells: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, dict]:
+    """`grid_words`, computed once by `keep` (such as `settle`), and `MEASURES` of the same scan.
+
+    A stage that is run again after a lost executor may report its metrics twice. The words are exact in any case, so
+    where the two counts differ, cells are measured by a scan of their own.
+    """
+    seen = Observation()
+    words = keep(grid_words(cells.observe(seen, *_measures())))
+    there = words.agg(F.sum("n").alias("n")).first().n
+    found = seen.get if there else None  # nothing is observed of a table that Spark knows to be empty
+    if not found or found["cells"] != there:
+        found = cells.agg(*_measures()).first().asDict()
+    return words, {c: found[c] for c in MEASURES}
+
+
+def block_aggregate(cells: DataFrame, k: int, ky: int | None = None) -> DataFrame:
+    """Blocks of k columns and ky rows (k, if not given) as one coarse cell: sum, mean and number of valid values; null
+    where none is valid.
+    """
+    return cells.groupBy(F.expr(f"row div {ky or k}").cast("int").alias("row"), F.expr(f"col div {k}").cast("int").alias("col")).agg(F.sum("value").alias("value"), F.avg("value").alias("mean"), F.count("value").alias("valid"))
 
 
 def block_aggregate_tiles(tiles: DataFrame, tile_w: int, tile_h: int, k: int, nodata: float | None = None, width: int | None = None, height: int | None = None) -> DataFrame:

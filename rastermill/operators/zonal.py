@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.fixed import Fixed, exact_sums, measures
+from .tiles import Tiles, zonal_sums_of_tiles
+
 
 def zonal_stats(assigned: DataFrame, weight: Column | None = None) -> DataFrame:
     """Per zone: cells, valid, sum, mean, min, max, std (of the sample). With a weight, sum and mean are weighted, and std
@@ -25,6 +31,34 @@ def zonal_stats(assigned: DataFrame, weight: Column | None = None) -> DataFrame:
     return sums.select("zone_id", "cells", "valid", "sum", mean.alias("mean"), "min", "max", F.sqrt(F.greatest(F.try_divide("squares", "w") - mean * mean, F.lit(0.0))).alias("std"))
 
 
+def exact_zonal_stats(assigned: DataFrame, fixed: Fixed | None = None) -> DataFrame:
+    """The same measures from sums of whole numbers, so that they do not depend on the order of the rows."""
+    fixed = fixed or Fixed()
+    return measures(exact_sums(assigned, fixed, "zone_id"), fixed, "zone_id")
+
+
+def zonal_stats_of_tiles(tiles: Tiles, spans: DataFrame, nodata: float | None = None, fixed: Fixed | None = None, row_weight: Callable[[np.ndarray], np.ndarray] | None = None, count: int | None = None) -> DataFrame:
+    """The same measures straight from tiles: no pixel becomes a row. With `row_weight`, the weight of a cell by its row,
+    sum and mean are weighted, and std is as in `zonal_stats`.
+    """
+    fixed = fixed or Fixed()
+    sums = zonal_sums_of_tiles(tiles, spans, nodata, fixed, row_weight, count)
+    if row_weight is None:
+        return measures(sums, fixed, "zone_id")
+    mean, some = F.try_divide("weighted", "weight"), F.col("valid") > 0
+    std = F.sqrt(F.greatest(F.try_divide("weighted_squares", "weight") - mean * mean, F.lit(0.0)))
+    return sums.select("zone_id", "cells", "valid", F.when(some, F.col("weighted")).alias("sum"), mean.alias("mean"), "min", "max", std.alias("std"))
+
+
+def exact_rollup(region_sums: DataFrame, fixed: Fixed | None = None) -> DataFrame:
+    """`rollup_totals` of (parent_id, zone_id, units) as exact sums: regions add up to countries and these to the world
+    without a difference in the last bit.
+    """
+    fixed = fixed or Fixed()
+    up = region_sums.rollup("parent_id", "zone_id").agg(F.sum("units").cast("decimal(38,0)").alias("units"), F.grouping_id().alias("g"))
+    return up.select(F.when(F.col("g") == 3, 2).otherwise(F.col("g")).cast("int").alias("level"), "parent_id", "zone_id", (F.col("units").cast("double") / float(2**fixed.bits)).alias("sum"))
+
+
 def zonal_coverage(assigned: DataFrame) -> DataFrame:
     """Per zone: cells, valid cells and their share."""
     return assigned.groupBy("zone_id").agg(F.count(F.lit(1)).alias("cells"), F.count("value").alias("valid"), (F.count("value") / F.count(F.lit(1))).alias("share"))

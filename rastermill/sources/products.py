@@ -112,6 +112,11 @@ def edges_to_half_cells(edges: DataFrame, left: float, top: float, xres: float,
     return edges.select("zone_id", "parent_id", x("x2").alias("x1"), y("y2").alias("y1"), x("x1").alias("x2"), y("y1").alias("y2"))
 
 
+def rings_to_half_cells(rings: DataFrame, left: float, top: float, xres: float, yres: float) -> DataFrame:
+    """Rings in degrees as rings in half-cell units; their other columns stay."""
+    return rings.withColumn("ring", F.transform("ring", lambda p: F.struct(((p["x"] - left) * (2 / xres)).alias("x"), ((F.lit(top) - p["y"]) * (2 / yres)).alias("y"))))
+
+
 def read_truth(spark: SparkSession, path: str, task: str, mapping: dict[str, str], encoding: str = "UTF-8") -> DataFrame:
     """(task, zone_id, truth) from CSV with a header. `mapping` names the file's columns for zone_id and truth; which
     they are differs by file and is never guessed.
