@@ -118,7 +118,8 @@ def across_products(a: DataFrame, meta_a: DataFrame, b: DataFrame, meta_b: DataF
 def product_test(cells: DataFrame, meta: DataFrame, width: int, height: int, nodata: float | None = None, arcsec: float = 60.0, other: DataFrame | None = None) -> DataFrame:
     """A finished raster against its own declaration: geometry, resolution, shape, values, repeated and missing cells; and
     with another product's metadata, whether their grids are aligned. Cells are scanned once: bitmaps by row say what is
-    repeated and missing, and everything else is measured while they are made.
+    missing and whether anything repeats, and everything else is measured while they are made. Only if something repeats
+    are its positions looked for in a second scan.
     """
     words, seen = ce.examined(ce.mask_nodata(cells, nodata), settle)
     one = F.lit("product").alias("task")
@@ -126,8 +127,10 @@ def product_test(cells: DataFrame, meta: DataFrame, width: int, height: int, nod
     as_declared = seen["cells"] == width * height and (seen["min_row"], seen["max_row"], seen["min_col"], seen["max_col"]) == (0, height - 1, 0, width - 1)
     mean = None if not seen["valid"] else seen["sum"] / seen["valid"]
     known = {"shape_as_declared": float(as_declared), "cells": seen["cells"], "valid": seen["valid"], "nodata": seen["cells"] - seen["valid"], "min": seen["min"], "max": seen["max"], "mean": mean}
-    whole = ce.completeness(words, width, height).select(one, *[F.lit(v).cast("double").alias(k) for k, v in known.items()], "duplicate_cells", "missing_cells")
-    out = ag.as_report(geometry, "raster", ["width_ok", "height_ok", "as_declared"]).unionByName(ag.as_report(whole, "raster", [*known, "duplicate_cells", "missing_cells"]))
+    found = ce.completeness(words, width, height).first()
+    known |= {"duplicate_cells": ce.duplicate_cells(cells, width, words).filter(F.col("row").between(0, height - 1)).count() if found.repeats else 0, "missing_cells": found.missing_cells}
+    whole = geometry.select("task", *[F.lit(v).cast("double").alias(k) for k, v in known.items()])
+    out = ag.as_report(geometry, "raster", ["width_ok", "height_ok", "as_declared"]).unionByName(ag.as_report(whole, "raster", list(known)))
     if other is None:
         return out
     both = meta.unionByName(other)

@@ -34,45 +34,15 @@ def observed_shape(cells: DataFrame, meta: DataFrame) -> DataFrame:
 WORD = 64
 
 
-def _word_parts(cells: DataFrame) -> DataFrame:
-    """(row, word, n, seen, twice, outside) of each Arrow batch: `n` cells of 64 columns of a row, bitmaps of the columns
-    that occur and of those that occur again. Cells with a null or negative position make one row that counts them.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, col = (batch.column(c).cast(pa.int64()) for c in ("row", "col"))
-            known = np.asarray(row.is_valid().to_numpy(zero_copy_only=False) & col.is_valid().to_numpy(zero_copy_only=False))
-            r, c = (x.fill_null(-1).to_numpy(zero_copy_only=False) for x in (row, col))
-            known &= (r >= 0) & (c >= 0)
-            outside = int((~known).sum())
-            r, c = r[known], c[known]
-            order = np.lexsort((c, r))
-            r, c = r[order], c[order]
-            same = (np.diff(r, prepend=-1) == 0) & (np.diff(c, prepend=-1) == 0)
-            bit = np.left_shift(np.uint64(1), (c % WORD).astype(np.uint64))
-            start = np.flatnonzero((np.diff(r, prepend=-1) != 0) | (np.diff(c // WORD, prepend=-1) != 0))
-            n = np.diff(start, append=len(r))
-            seen, twice = (np.bitwise_or.reduceat(x, start) if len(start) else np.zeros(0, np.uint64) for x in (bit, np.where(same, bit, np.uint64(0))))
-            columns = [r[start], c[start] // WORD, n, seen.view(np.int64), twice.view(np.int64), np.zeros(len(start), np.int64)]
-            if outside:
-                columns = [np.append(x, v) for x, v in zip(columns, (-1, -1, 0, 0, 0, outside), strict=True)]
-            kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["row", "word", "n", "seen", "twice", "outside"])
-
-    return cells.select("row", "col").mapInArrow(run, "row int, word int, n bigint, seen bigint, twice bigint, outside bigint")
-
-
 def grid_words(cells: DataFrame) -> DataFrame:
-    """(row, word, n, seen, twice) of each 64 columns of a row that has some: how many cells, a bitmap of the columns that
-    occur, and one of those that occur more than once. One scan; a task sends a word for 64 cells at best. Cells without
-    a place on any grid (a null or negative row or column) are all in word -1 of row -1.
+    """(row, word, n, seen) of each 64 columns of a row that has some: how many cells, and a bitmap of the columns that
+    occur. One scan and one aggregate; a task sends a word for 64 cells at best. Columns repeat where n is more than the
+    bits that are set. Cells without a place on any grid (a null or negative row or column) are in word -1 of row -1.
     """
-    parts = _word_parts(cells).groupBy("row", "word").agg((F.sum("n") + F.sum("outside")).alias("n"), F.collect_list("seen").alias("parts"), F.bit_or("twice").alias("twice"))
-    # A column that two parts have seen occurs twice, too.
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.col("twice").alias("twice"))
-    both = F.aggregate("parts", start, lambda a, x: F.struct(a["seen"].bitwiseOR(x).alias("seen"), a["twice"].bitwiseOR(a["seen"].bitwiseAND(x)).alias("twice")))
-    return parts.select("row", "word", "n", both.alias("b")).select("row", "word", "n", "b.seen", "b.twice")
+    placed = F.coalesce((F.col("row") >= 0) & (F.col("col") >= 0), F.lit(False))
+    row, word = F.when(placed, F.col("row")).otherwise(-1), F.when(placed, F.expr(f"col div {WORD}")).otherwise(-1)
+    bit = F.when(placed, F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("col") % WORD).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    return cells.groupBy(row.cast("int").alias("row"), word.cast("int").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("seen"))
 
 
 def _columns_of(bitmap: Column) -> Column:
@@ -85,23 +55,25 @@ def _on_grid(words: DataFrame, width: int, height: int) -> DataFrame:
     left = F.lit(width) - F.col("word") * WORD
     full = F.when(left >= WORD, F.lit(-1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.least(left, F.lit(WORD - 1)), F.lit(0)).cast("int")) - 1)
     held = words.filter((F.col("row") >= 0) & (F.col("row") < height) & (F.col("word") >= 0) & (left > 0)).withColumn("full", full)
-    return held.withColumns({"seen": F.col("seen").bitwiseAND(F.col("full")), "twice": F.col("twice").bitwiseAND(F.col("full"))})
+    return held.withColumn("seen", F.col("seen").bitwiseAND(F.col("full")))
 
 
 def completeness(words: DataFrame, width: int, height: int) -> DataFrame:
-    """One row: cells in words of the grid, duplicate_cells (positions of the grid that occur more than once) and missing_cells
-    (positions without a cell), from the words alone.
+    """One row, from the words alone: `missing_cells`, positions of the grid without a cell, and `repeats`, cells beyond
+    the first at their position, wherever that is.
     """
-    held = _on_grid(words, width, height).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), *[F.coalesce(F.sum(F.bit_count(c)), F.lit(0)).alias(c) for c in ("seen", "twice")])
-    return held.select("cells", F.col("twice").alias("duplicate_cells"), (F.lit(width * height) - F.col("seen")).alias("missing_cells"))
+    there = _on_grid(words, width, height).agg(F.coalesce(F.sum(F.bit_count("seen")), F.lit(0)).alias("there"))
+    repeats = words.filter("row >= 0").agg(F.coalesce(F.sum(F.col("n") - F.bit_count("seen")), F.lit(0)).alias("repeats"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(there).join(one(repeats), "one").select((F.lit(width * height) - F.col("there")).alias("missing_cells"), "repeats")
 
 
 def duplicate_cells(cells: DataFrame, width: int, words: DataFrame | None = None) -> DataFrame:
-    """Positions that occur more than once, and how often; single cells are counted in words with repeats only. Give
-    `grid_words` where they are known.
+    """Positions that occur more than once, and how often; single cells are counted in words with repeats only, which one
+    semi-join finds. Give `grid_words` where they are known.
     """
     words = grid_words(cells) if words is None else words
-    at = words.filter((F.col("twice") != 0) & (F.col("word") * WORD < width)).select("row", "word")
+    at = words.filter((F.col("row") >= 0) & (F.col("n") > F.bit_count("seen")) & (F.col("word") * WORD < width)).select("row", "word")
     bad = cells.select("row", "col", F.expr(f"col div {WORD}").cast("int").alias("word")).filter(F.col("col").between(0, width - 1)).join(at, ["row", "word"], "left_semi")
     return bad.groupBy("row", "col").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
 
@@ -115,7 +87,7 @@ def missing_cells(cells: DataFrame, width: int, height: int, words: DataFrame |
     # What each row has of its words; words that no row has are listed from the grid's own count.
     per_row = -(-width // WORD)
     grid = cells.sparkSession.range(height * per_row).select(F.expr(f"cast(id div {per_row} as int)").alias("row"), F.expr(f"cast(id % {per_row} as int)").alias("word"))
-    absent = _on_grid(grid.join(held.select("row", "word"), ["row", "word"], "left_anti").withColumns({"seen": F.lit(0).cast("bigint"), "twice": F.lit(0).cast("bigint")}), width, height)
+    absent = _on_grid(grid.join(held.select("row", "word"), ["row", "word"], "left_anti").withColumn("seen", F.lit(0).cast("bigint")), width, height)
     gaps = found.filter("gaps != 0").unionByName(absent.select("row", "word", F.col("full").alias("gaps")))
     return gaps.select("row", F.explode(_columns_of(F.col("gaps"))).alias("k"), "word").select("row", (F.col("word") * WORD + F.col("k")).cast("int").alias("col"))
 

@@ -130,10 +130,10 @@ def test_bitmaps_of_messy_cells(spark, parts, batch):
         cells = messy(spark).repartition(parts)
         gone = {(0, 0), (1, 63), (1, 64), (4, 149), *((2, j) for j in range(150))}
         assert {tuple(r) for r in ce.missing_cells(cells, 150, 5).collect()} == gone
-        assert {tuple(r) for r in ce.duplicate_cells(cells, 150).collect()} == {(0, 5, 4), (3, 149, 3), (4, 127, 2)}
+        assert {tuple(r) for r in ce.duplicate_cells(cells, 150).collect()} == {(0, 5, 4), (3, 149, 3), (4, 127, 2)} and ce.duplicate_cells(cells, 151).count() == 4
         words, seen = ce.examined(cells, lambda df: df.checkpoint())
         whole = ce.completeness(words, 150, 5).first()
-        assert whole.missing_cells == len(gone) and whole.duplicate_cells == 3
+        assert whole.missing_cells == len(gone) and whole.repeats == 3 + 2 + 1 + 1
         assert seen["cells"] == cells.count() == seen["valid"] and (seen["min_row"], seen["max_row"], seen["min_col"], seen["max_col"]) == (-1, 7, -2, 150)
         assert {tuple(r) for r in ce.missing_cells(cells, 150, 5, words).collect()} == gone
     finally:
