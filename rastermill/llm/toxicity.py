@@ -279,7 +279,8 @@ def _calibrated(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, floa
         found = [lexicon.evidence(fold(t)[0]) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), batch.column("toxic")], names=["a", "b", "toxic"])
 
-    rows = map_batches(sample.select("text", "toxic"), each, "a double, b double, toxic int").orderBy("a", "b", "toxic").toPandas()  # SAMPLE_DOCS rows at most
+    rows = map_batches(sample.select("text", "toxic"), each, "a double, b double, toxic int").toPandas()  # SAMPLE_DOCS rows at most
+    rows = rows.sort_values(["a", "b", "toxic"])  # so that the sums do not depend on the rows' order
     x = np.column_stack([np.ones(len(rows)), rows[["a", "b"]].to_numpy(float)])
     y = rows["toxic"].to_numpy(float)
     start = np.array(Lexicon({}).scale)
