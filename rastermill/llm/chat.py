@@ -96,41 +96,125 @@ class Incremental:
         return span, lo, max(lo, len(span) - tail), same < len(before), same
 
 
-def format_turns(conversations: DataFrame, template: Template = turn_template, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+#: Turns that are rendered before a new one to see what it adds, and turns after which all are rendered for the first time.
+WINDOW, FIRST_CHECK = 4, 8
+
+#: Span, where the text starts and ends in it, whether history was rewritten, characters that stay from before.
+Found = tuple[str, int, int, bool, int]
+
+
+class Growing:
+    """The same for templates whose outputs grow, in time that grows with the conversation: a turn is rendered after the
+    last `WINDOW` ones only, and what they add up to is held against a full rendering after `FIRST_CHECK` turns, after
+    twice as many, and so on, and at the end. Where they differ, or a turn changes the ones before it, all turns since the
+    last agreement are done anew by whole prefixes, and so is the rest. Results come out once they have been checked.
+    """
+
+    def __init__(self, template: Template):
+        self.template, self.whole = template, Incremental(template)
+        self.restart()
+
+    def restart(self) -> None:
+        self.messages: Messages = []
+        self.parts = [self.template([])]
+        self.length, self.checked, self.next = len(self.parts[0]), 0, FIRST_CHECK
+        self.waiting: list[tuple[object, Found]] = []
+        self.grows = True
+
+    def add(self, role: str, text: str, name: object) -> list[tuple[object, Found]]:
+        """Takes a turn; gives (name, found) of turns that are certain now."""
+        if not self.grows:
+            return [(name, self.whole.add(role, text))]
+        window = self.messages[-WINDOW:]
+        before = self.template(window)
+        one, two, now = (self.template([*window, (role, t)]) for t in ("qqqqq", "zzzz", text))
+        same = common(before, now)
+        head = common(one, two)
+        tail = common(one[head:][::-1], two[head:][::-1])
+        span = now[same:]
+        lo = min(max(head - same, 0), len(span))
+        self.messages.append((role, text))
+        self.waiting.append((name, (span, lo, max(lo, len(span) - tail), False, self.length)))
+        if same < len(before):
+            return self._anew()
+        self.parts.append(span)
+        self.length += len(span)
+        return self.check() if len(self.messages) == self.next else []
+
+    def check(self) -> list[tuple[object, Found]]:
+        """Renders all turns, at the end of a conversation, too."""
+        if not self.waiting:
+            return []
+        whole = self.template(self.messages)
+        if whole != "".join(self.parts):
+            return self._anew()
+        done, self.waiting, self.parts, self.checked, self.next = self.waiting, [], [whole], len(self.messages), 2 * len(self.messages)
+        return done
+
+    def _anew(self) -> list[tuple[object, Found]]:
+        self.grows = False
+        self.whole.messages = self.messages[: self.checked]
+        self.whole.before = self.template(self.whole.messages)
+        turns, names, self.waiting = self.messages[self.checked :], [n for n, _ in self.waiting], []
+        return [(n, self.whole.add(role, text)) for n, (role, text) in zip(names, turns, strict=True)]
+
+
+class _Every(Incremental):
+    """`Incremental` in the same form."""
+
+    def add(self, role: str, text: str, name: object) -> list[tuple[object, Found]]:
+        return [(name, super().add(role, text))]
+
+    def check(self) -> list[tuple[object, Found]]:
+        return []
+
+
+def format_turns(conversations: DataFrame, template: Template = turn_template, learn: tuple[str, ...] = ("assistant",), every_prefix: bool = False) -> DataFrame:
     """One row a turn, in order within its conversation: conv_id, turn, role, span, span_start, text_start, text_end
     (code points in the formatted conversation), in_loss, rewrites.
 
-    Rows are dealt by conversation and sorted by turn, then role and text (repeated turns stay), and pass as a stream;
-    a worker holds one conversation, and renders it three times a turn. Null text and null role count as empty; rows with a null conv_id are one
-    conversation. Other columns are not read.
+    Rows are dealt by conversation and sorted by turn, then role and text (repeated turns stay), and pass as a stream; a
+    worker holds one conversation. Where a template's output only grows, time grows with the conversation (`Growing`); a
+    template that rewrites history is found when a turn changes one of the last few, or where whole renderings at doubling
+    numbers of turns and at the end differ. One that rewrites and restores all in between is found with `every_prefix`
+    only, which renders each whole prefix. Null text and null role count as empty; rows with a null conv_id are one
+    conversation. An empty table gives no rows. Other columns are not read.
     """
     kinds = dict(conversations.dtypes)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = conversations.select("conv_id", "turn", empty("role").alias("role"), empty("text").alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    names = ["conv_id", "turn", "role", "span", "span_start", "text_start", "text_end", "in_loss", "rewrites"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, current = Incremental(template), object()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                batch = whole.slice(lo, 1024)
-                out = []
-                for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                    if conv != current:
-                        state.restart()
-                        current = conv
-                    span, a, b, rewritten, start = state.add(role, text)
-                    out.append((span, start, start + a, start + b, role in learn, rewritten))
-                columns = list(zip(*out, strict=True))
-                kinds_ = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("role"), *(pa.array(c, k) for c, k in zip(columns, kinds_, strict=True))], names=["conv_id", "turn", "role", "span", "span_start", "text_start", "text_end", "in_loss", "rewrites"])
+        state, current, ready, types = (_Every if every_prefix else Growing)(template), object(), [], None
+
+        def packed(found: list[tuple[object, Found]]) -> pa.RecordBatch:
+            out = [(*name, span, start, start + a, start + b, name[2] in learn, rewritten) for name, (span, a, b, rewritten, start) in found]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+        for batch in batches:
+            types = (batch.schema.field("conv_id").type, batch.schema.field("turn").type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            for conv, turn, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "role", "text")), strict=True):
+                if conv != current:
+                    ready += state.check()
+                    state.restart()
+                    current = conv
+                ready += state.add(role, text, (conv, turn, role))
+                while len(ready) >= 1024:
+                    yield packed(ready[:1024])
+                    ready = ready[1024:]
+        ready += state.check()
+        for lo in range(0, len(ready), 1024):
+            yield packed(ready[lo : lo + 1024])
 
     return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, span string, span_start bigint, text_start bigint, text_end bigint, in_loss boolean, rewrites boolean")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
     """One row a conversation, from what `format_turns` gives with `turn_template`: counts, and digests of the texts
-    read out of the spans. The rows must come as that function leaves them; they are not dealt again.
+    read out of the spans. The rows must come as that function leaves them; they are not dealt again. Without rows there
+    is none.
     """
     kind = dict(turns.dtypes)["conv_id"]
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"]

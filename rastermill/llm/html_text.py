@@ -14,8 +14,9 @@ page order. Markup does two things besides. It rules out what is no main text ev
 as an advert or a reader's comment. And it protects a marked article: a passage in it may well occur on other pages, so
 its blocks go only if they stand on most pages of the host (`ARTICLE_LEAST_PAGES`, `ARTICLE_SHARE`).
 
-Classes and ids rule out containers, by words; headings, paragraphs, quotations and the like are never ruled out by
-their own class. Of a header element within an article, the headings stay.
+Outside articles, classes and ids rule out containers by words in them; within a marked article only element kinds, roles
+and a few whole names do. Headings, paragraphs, quotations and the like are never ruled out by their own class, and a
+header within an article is part of it.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ ARTICLE_LEAST_PAGES, ARTICLE_SHARE = 5, 0.5
 SHINGLE, BANDS, ROWS, ALIKE = 5, 12, 5, 0.7
 #: Repeats of all hosts that go to every executor, at most; more are joined by a shuffle.
 BROADCAST = 2_000_000
+#: Copies of a repeat, and parts of the pages that meet them, in that shuffle.
+SPREAD = 16
 _ODD = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 _TAGS = re.compile(
@@ -52,7 +55,8 @@ _TAGS = re.compile(
     |[^<]++|<""",
     re.VERBOSE | re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: One attribute after another, so that nothing in a value passes for a name.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements and words in class, id or role whose content is not main text.
@@ -64,6 +68,11 @@ TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies dialog disclaimer disqus footer form gdpr legal masthead menu modal nav navbar navigation newsletter notice notices notification alert pagination paywall popup promo promoted recommended related reply replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary".split())
 _NAMED = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: Roles whose content is not main text.
+ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Within a marked article a class or id rules out by its whole name only (words joined by hyphens), since an article's own
+#: sections are named after what they are about, such as market-share.
+PARTS = frozenset("ad ads ad-slot advert adverts advertisement advertising sponsored comment comments comment-list comments-list comment-section commentlist disqus-thread post-comments reader-comments user-comments respond replies sidebar newsletter newsletter-signup subscribe notice cookie-notice cookie-banner paywall popup breadcrumb breadcrumbs navbar navigation pagination related related-articles related-posts share sharing social social-share share-buttons site-header site-footer skip-link toolbar widget".split())
 #: An article's parts are named like this, too, so a header must be the site's.
 _SITE_HEADER = re.compile(r"(?:(?:site|page|global|top|nav)[-_]?)?header", re.IGNORECASE)
 
@@ -86,25 +95,33 @@ class Page:
         return [(t, out) for t, inside, out in self.blocks if not (self.has_article and inside and not out)]
 
 
-def _set_aside(name: str, rest: str) -> bool:
-    if name in ASIDE:
+def _attributes(rest: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; of a repeated one the first counts, as in browsers."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        out.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))
+    return out
+
+
+def _set_aside(name: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether an element's content is no main text; `inside` says that a marked article holds it."""
+    if name in ASIDE and not (inside and name == "header"):
         return True
-    if not rest or "=" not in rest and "hidden" not in rest:
+    if not attributes:
         return False
-    for m in _ATTRIBUTE.finditer(rest):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none", value, re.IGNORECASE):
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in ASIDE_ROLES:
+        return True
+    if "style" in attributes and re.search(r"(?:^|;)\s*display\s*:\s*none", attributes["style"], re.IGNORECASE):
+        return True
+    if name in TEXTUAL:
+        return False
+    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [w.lower() for w in _NAMED.findall(token)]
+        if inside:
+            if "-".join(words) in PARTS:
                 return True
-        elif key == "role" and value.lower() in ASIDE_WORDS:
+        elif not re.match(r"(has|with|no|without)[-_]", token, re.IGNORECASE) and any(w in ASIDE_WORDS for w in words) or _SITE_HEADER.fullmatch(token):
             return True
-        elif name not in TEXTUAL:
-            for token in value.split():
-                named = [] if re.match(r"(has|with|no|without)[-_]", token, re.IGNORECASE) else _NAMED.findall(token)
-                if any(w.lower() in ASIDE_WORDS for w in named) or _SITE_HEADER.fullmatch(token):
-                    return True
     return False
 
 
@@ -165,6 +182,15 @@ def parse(source: str | None) -> Page:
             ends[name] = (found.start(), found.end()) if found else (-1, size if name in ("script", "style") else -1)
         return ends[name][1]
 
+    def closes(name: str, start: int) -> bool:
+        """Whether an end tag of such an element follows; the last one is looked for once."""
+        if name not in ASIDE:
+            return True
+        if name not in last:
+            last[name] = max((m.start() for m in re.finditer(f"</{name}", source, re.IGNORECASE)), default=-1)
+        return last[name] >= start
+
+    last: dict[str, int] = {}
     while at < size:
         m = _TAGS.match(source, at)
         piece, at = m[0], m.end()
@@ -197,15 +223,16 @@ def parse(source: str | None) -> Page:
             open_.pop()
         if block and name != "p" and open_.last() == "p":
             open_.pop()
-        out = _set_aside(name, rest)
-        marks = not out and (name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", rest)))
+        attributes = _attributes(rest) if "=" in rest or "hidden" in rest.lower() else {}
+        # One that is never closed rules out nothing, since its end would be a guess.
+        out = _set_aside(name, attributes, open_.inside > 0) and closes(name, at)
+        marks = not out and (name in ("article", "main") or attributes.get("role", "").lower() == "main")
         if not block and not out and not marks:
             continue
         if out and not block:
             close_block()
         page.has_article |= marks and not open_.aside
-        kept = name in HEADINGS and open_.inside > 0 and open_.headers == open_.aside == 1
-        open_.push(name, int(marks), -1 if kept else int(out))
+        open_.push(name, int(marks), int(out))
     close_block()
     return page
 
@@ -318,6 +345,20 @@ def near_copies(units: DataFrame) -> DataFrame:
     return alike.union(leaders).groupBy("row").agg(F.min("page").alias("page"))
 
 
+def repeats_by_page(units: DataFrame, repeated: DataFrame) -> DataFrame:
+    """row, repeats, most: what each page holds of its host's repeats, for tables with too many to send to all. Heads are
+    met one by one, and the repeats are copied to `SPREAD` parts, so that a head on a third of all pages is many keys.
+    Pages then go by their own number, not by host.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part")
+    some = repeated.select("host_id", F.explode("repeats").alias("head")).select("host_id", "head", F.lit(False).alias("is_most"), copies)
+    most = repeated.select("host_id", F.explode("most").alias("head")).select("host_id", "head", F.lit(True).alias("is_most"), copies)
+    held = units.select("row", F.col("host").alias("host_id"), F.pmod(F.col("row"), F.lit(SPREAD)).cast("int").alias("part"), F.explode(F.array_distinct("heads")).alias("head")).distinct()
+    met = held.join(some.unionByName(most), ["host_id", "head", "part"])
+    of = lambda flag: F.collect_set(F.when(F.col("is_most") == flag, F.col("head")))
+    return met.groupBy("row").agg(of(False).alias("repeats"), of(True).alias("most"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and repeated_chars (code points of words that the host's repeats cover).
 
@@ -356,8 +397,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     repeated = settle(repeated.withColumnRenamed("host", "host_id"))
     total = repeated.agg(F.sum(F.size("repeats") + F.size("most"))).first()[0] or 0
+    asked = rows.select("page_id", "url", "html", "host", "host_id", "row")
     if total <= BROADCAST:  # then no page is moved
-        repeated = F.broadcast(repeated)
+        asked = asked.join(F.broadcast(repeated), "host_id", "left")
+    else:
+        asked = asked.join(settle(repeats_by_page(units, repeated)), "row", "left")
 
     def text(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, hidden = [], []
@@ -374,7 +418,7 @@ def extract(pages: DataFrame) -> DataFrame:
             hidden.append(n)
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(hidden, pa.int64())], names=["page_id", "url", "text", "n_chars", "repeated_chars"])
 
-    return map_batches(rows.join(repeated, "host_id", "left").select("page_id", "url", "html", "host", "repeats", "most"), text, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint, repeated_chars bigint")
+    return map_batches(asked.select("page_id", "url", "html", "host", "repeats", "most"), text, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint, repeated_chars bigint")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,11 +230,40 @@ def numbered_template(messages):
     return "".join(f"{i} of {'many' if i > 12 else 'few'} {r}: {t}\n" for i, (r, t) in enumerate(messages))
 
 
+def headed_template(messages):
+    return f"<begin>{''.join(f'[{r}] {t};' for r, t in messages)}"
+
+
+def brief_template(messages):
+    """Only the last assistant's text stays whole, as where reasoning is left out later."""
+    last = max((i for i, (r, _) in enumerate(messages) if r == "assistant"), default=-1)
+    return "".join(f"{r}: {t if r != 'assistant' or i == last else t[:1]}\n" for i, (r, t) in enumerate(messages))
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 40])
+@pytest.mark.parametrize("template", [chat.turn_template, chat.moving_system_template, numbered_template, headed_template, brief_template])
+def test_growing_gives_what_whole_prefixes_give(template, n):
+    rng = random.Random(n)
+    turns = [(rng.choice(["user", "assistant", "system", ""]), rng.choice(["", "a", "hello there", "[INST] </s>"])) for _ in range(n)]
+    grown, every, got = chat.Growing(template), chat.Incremental(template), []
+    for _ in range(2):  # the second conversation starts afresh
+        grown.restart()
+        every.restart()
+        got = [f for i, (r, t) in enumerate(turns) for f in grown.add(r, t, i)] + grown.check()
+        assert [k for k, _ in got] == list(range(n)) and [f for _, f in got] == [every.add(r, t) for r, t in turns]
+
+
+def test_time_of_a_long_conversation_grows_with_its_turns(spark):
+    state, began = chat.Growing(chat.turn_template), time.perf_counter()
+    done = sum(len(state.add("user", f"text {i}", i)) for i in range(100_000)) + len(state.check())
+    assert done == 100_000 and time.perf_counter() - began < 60
+
+
 @pytest.mark.parametrize("template", [chat.moving_system_template, numbered_template])
 def test_templates_that_depend_on_far_turns(spark, template):
     turns = [("system", "S"), ("user", "u1"), *[(("assistant", "tool")[i % 2], f"x{i}") for i in range(20)], ("user", "u2"), ("assistant", "end")]
     frame = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
-    for r in chat.format_turns(frame, template).collect():
+    for r in chat.format_turns(frame, template).collect() + chat.format_turns(frame, template, every_prefix=True).collect():
         before, now = template(turns[: r.turn]), template(turns[: r.turn + 1])
         assert r.rewrites == (not now.startswith(before)) and now[: r.span_start] == before[: r.span_start] and now[r.span_start :] == r.span
         if r.role != "system":
@@ -758,7 +787,13 @@ def test_markup():
     ("<article><iframe>no</iframe><p>a<textarea>no</textarea> b</p><noscript><p>no</p></noscript><template><p>no</p></template></article>", ["a b"]),
     ("<article><script>if (a</b>) '<p>no'</article>", []),
     ('<article><p class="ad hoc">a</p><p id="related-work">b</p><h1 class="article-header">c</h1><div class="article-header"><h2>d</h2></div><li class="promo">e</li></article>', ["a", "b", "c", "d", "e"]),
-    ('<article><header><h1>a</h1><p>by x</p></header><p>b</p><div class="site-header">no</div><div class="postComments">no</div><footer>no</footer></article>', ["a", "b"]),
+    ('<article><header><h1>a</h1><p>by x</p><nav>no</nav></header><p>b</p><div class="site-header">no</div><div class="postComments">no</div><footer>no</footer></article>', ["a", "by x", "b"]),
+    ('<article data-hidden="false"><p title="A hidden gem">a</p><div data-url="/x?id=comments">b</div><div data-class="ad" title="role=banner style=display:none">c</div></article>', ["a", "b", "c"]),
+    ('<article><section id="market-share">a</section><section id="search-algorithms">b</section><div class="legal-history">c</div><div class="text-widget">d</div><div class="social-policy">e</div><div class="share-of-income">f</div><table class="menu-prices"><tr><td>g</table></article>', ["a", "b", "c", "d", "e", "f", "g"]),
+    ('<article><div class="comments">no</div><section id="commentList">no</section><div role="complementary">no</div><div hidden>no</div><div aria-hidden="false">a</div><div style="color:red; DISPLAY: none">no</div><div class=ad>no</div></article>', ["a"]),
+    ("<article><form><p>a</p><p>b</p></article><p>c</p>", ["a", "b", "c"]),
+    ("<article><p>a</p><form><p>no</p></form><p>b</p></article>", ["a", "b"]),
+    ('<div class="text-widget">no</div><p>a</p><div id="market-share">no</div><div hidden="">no</div><div role=main><p class="x" class="ad">b</p></div>', ["a", "b"]),
     ('<article><p>a</p></article><div class="ad">no</div><p>c</p><nav><header><h1>no</h1></header></nav>', ["a", "c"]),
 ])
 def test_markup_takes_nothing_else(page, want):
@@ -843,6 +878,18 @@ def test_near_copies_and_quotations_are_no_repeats(spark):
         assert got[i].split("\n\n") == want
 
 
+def test_many_repeats_move_no_page_by_host(spark, monkeypatch):
+    rng = random.Random(14)
+    shared = [prose(rng, 40) for _ in range(3)]
+    rows = [(i, f"http://h{i % 2}.example/{i}", f"<p>{prose(rng, 30)}</p><div>{rng.choice(shared)}</div><article><p>{prose(rng, 20)}</p><p>Sign up now</p></article>" if i % 5 else f"<p>{prose(rng, 30)}</p><div>{shared[0]}</div>") for i in range(40)]
+    rows += [rows[0], (99, None, None)]
+    want = sorted(texts_of(spark, rows).items())
+    monkeypatch.setattr(html_text, "BROADCAST", -1)
+    assert sorted(texts_of(spark, rows).items()) == want and not any("Sign up" in t for _, t in want)
+    frame = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert "hashpartitioning(host" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_phrases_of_a_large_host_stay(spark):
     rng = random.Random(6)
     phrases = [prose(rng, 7) for _ in range(30)]
