@@ -18,6 +18,9 @@ With common weight c, a similar text then shares at least k = 4n/5 - c of its sh
 the same for all texts, one of the first ones, up to a rest below k, is among those of the other text, too (prefix
 filter). Texts are therefore looked for in groups with such a window, of which none is large; only texts whose common
 windows alone make up 4n/5 stay in their old buckets. No pair is lost by this, whatever the sizes of texts and groups.
+
+Before two bags are met, the signatures are: pairs that agree in too few components are dropped. Texts that are made of
+common passages share many buckets, and this keeps their bags, which are as long as the texts, where they are.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ WIDTH, SIMILAR = 5, 0.8
 #: A pair at 0.8 shares one of 20 bands of 5 components with a probability of 0.9996; one at 0.3 with 0.05.
 BANDS, ROWS = 20, 5
 
+#: Components in which the signatures of two texts must agree before their bags are met. Of pairs at 0.8, one in 100,000
+#: agrees in fewer; of pairs at 0.5, one in 100 in as many.
+AGREE = 62
 #: Texts that a window is in at most, if it is not a common one.
 COMMON = 32
 #: Kinds of windows go to all executors as two bitmaps of up to 2 ** `SLOT_BITS` hash slots (8 MB each), with at least
@@ -96,9 +102,16 @@ def signature(keys: np.ndarray, weights: np.ndarray, size: int = BANDS * ROWS) -
 
 def bands(text_bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """One 64-bit key a band, or none for a text without words."""
-    if not len(text_bag[0]):
-        return np.zeros(0, np.int64)
-    rows = signature(*text_bag).view(np.uint64).reshape(BANDS, ROWS)
+    return _bands_of(signature(*text_bag)) if len(text_bag[0]) else np.zeros(0, np.int64)
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """A signature's components in 16 bits each; by chance two agree in one of 65,536."""
+    return mix64(own.view(np.uint64)).astype(np.uint16).tobytes()
+
+
+def _bands_of(own: np.ndarray) -> np.ndarray:
+    rows = own.view(np.uint64).reshape(BANDS, ROWS)
     key = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP)
     for k in range(ROWS):
         key = mix64(key * _OTHER + rows[:, k])
@@ -106,24 +119,28 @@ def bands(text_bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of the text, `words` (a digest of its words in order), windows, and band keys; a narrow pass."""
+    """doc_id, a hash of the text, `words` (a digest of its words in order), windows, band keys and the signature's sketch
+    (empty without words); a narrow pass.
+    """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, windows, keys, known = [], [], [], {}
+        node, windows, keys, sketches, known = [], [], [], [], {}
         for text in batch.column("text").to_pylist():
             words = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
             name = hashlib.blake2b(words, digest_size=16).hexdigest()
             if name not in known:
                 b = bag(text)
-                known[name] = int(b[1].sum()), bands(b)
+                own = signature(*b) if len(b[0]) else None
+                known[name] = int(b[1].sum()), np.zeros(0, np.int64) if own is None else _bands_of(own), b"" if own is None else sketch(own)
             node.append(name)
             windows.append(known[name][0])
             keys.append(known[name][1])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.string()), pa.array(windows, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "words", "windows", "bands"])
+            sketches.append(known[name][2])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node, pa.string()), pa.array(windows, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "words", "windows", "bands", "sketch"])
 
-    return map_batches(rows, each, f"doc_id {kind}, text_hash bigint, words string, windows bigint, bands array<bigint>", rows=512)
+    return map_batches(rows, each, f"doc_id {kind}, text_hash bigint, words string, windows bigint, bands array<bigint>, sketch binary", rows=512)
 
 
 def _stored(texts: DataFrame) -> DataFrame:
@@ -157,6 +174,17 @@ def _overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _promising(pairs: DataFrame) -> DataFrame:
+    """(a, b) and the sketches of both to (a, b) of those whose signatures agree in `AGREE` components or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, BANDS * ROWS) for c in ("sketch_a", "sketch_b"))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array((one == two).sum(axis=1) >= AGREE, pa.bool_()))
+
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the least node reachable over (a, b) links. Labels spread to neighbours and are then followed to
     their own label, so long chains shrink by halves; every step is a table of its own.
@@ -292,7 +320,7 @@ def _could_join() -> Column:
 def similar_components(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
     """(node, comp) of the nodes that similar candidates join; None if none are joined.
 
-    `nodes`: node, doc_id, text_hash, windows, bands; one row a node, the document being one that has its words.
+    `nodes`: node, doc_id, text_hash, windows, bands, sketch; one row a node, the document being one that has its words.
     """
     rows = nodes.select("node", "windows", F.explode("bands").alias("bucket"))
     many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
@@ -322,8 +350,11 @@ def similar_components(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> D
         tested.append(pairs)
         rest = state.join(lead.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         if not pairs.isEmpty():
+            # Signatures first: a bag is as long as its text, and texts made of common passages meet many they are not like.
+            small = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+            close = scratch.keep(_promising(pairs.join(small("b"), "b").join(small("a"), "a")))
             side = lambda c: bags.select(F.col("node").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("counts").alias(f"counts_{c}"))
-            met = pairs.join(side("b"), "b").join(side("a"), "a")
+            met = close.join(side("b"), "b").join(side("a"), "a")
             found = scratch.keep(_overlaps(met))
             if not found.isEmpty():
                 comp, step = _joined(comp, found, scratch)
@@ -367,9 +398,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, class_id, class_size, kept) by row, and the (doc_id, text_hash) of repeated rows."""
     with Scratch(docs.sparkSession) as scratch:
         signed = scratch.keep(sign(docs))
-        nodes = signed.groupBy("words").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("windows").alias("windows"), F.first("bands").alias("bands"))
+        nodes = signed.groupBy("words").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.count(F.lit(1)).alias("rows"), F.first("windows").alias("windows"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         # Once written, a node's number stays.
-        nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "words", "rows", "least.doc_id", "least.text_hash", "windows", "bands"))
+        nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("node"), "words", "rows", "least.doc_id", "least.text_hash", "windows", "bands", "sketch"))
         comp = similar_components(nodes, docs, scratch)
         of = nodes.select("node", "words", "rows", "doc_id", "text_hash")
         of = of.withColumn("comp", F.col("node")) if comp is None else of.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
