@@ -3,6 +3,11 @@
 Nearness is the inner product. Vectors get one more component that makes all of them equally long, after which the
 largest inner product is the least distance, so cells and codes serve vectors of any length. Equal vectors are one
 entry with their least ids, as many as an answer can hold; so a vector that a third of all rows share costs one entry.
+
+Cells grow with the root of the number of vectors: up to `FLAT` have a centroid of their own, and beyond that each is split
+by further centroids that all share, so the sample need not grow. Cells near to each other form a shelf. A query goes to a
+shelf once, with the cells it looks into there, and only those are estimated; one selection over all of them goes on to
+exact reranking, and the best of the shelf leave the task.
 """
 
 from __future__ import annotations
@@ -20,14 +25,17 @@ from .common import read, settle
 
 #: Vectors the index is fitted on at most: those with the least hash of their components.
 SAMPLE = 20_000
-#: Cells: about `2 * sqrt(vectors)`, within bounds. Each query looks into as many as hold this share of the nearest
-#: rows of `TRIALS` sample rows within the sample, and at least so many. Unstructured vectors need most cells.
-CELLS, WANTED, TRIALS, PROBE_LEAST = (8, 1024), 0.975, 200, 8
-#: Sub-vectors and codes each. Entries a cell reranks exactly for one query: at least so many, and this share of it.
+#: Cells: `PER_ROOT * sqrt(vectors)`, at least `LEAST`. Each query looks into as many as hold this share of the nearest
+#: rows of `TRIALS` sample rows within the sample, and at least so many.
+PER_ROOT, LEAST, FLAT, WANTED, TRIALS, PROBE_LEAST = 8, 8, 4096, 0.95, 200, 8
+#: Centroids in a shelf, about.
+SHELF = 32
+#: Sub-vectors and codes each. Entries of a shelf reranked exactly for one query: at least so many, and this share of those
+#: looked at.
 PARTS, CODES = 16, 256
-RERANK_LEAST, RERANK_SHARE = 40, 0.2
-#: Entries, and queries, that meet in one task at a time, and pairs of them reranked at a time.
-BLOCK, QUERIES, RERANKED = 4096, 2048, 16_384
+RERANK_LEAST, RERANK_SHARE = 120, 0.2
+#: Entries, and queries, that meet in one task at a time, queries estimated at a time, and pairs of them reranked.
+BLOCK, QUERIES, ASKED, RERANKED = 4096, 2048, 256, 16_384
 #: Parts that the rows which ask with the same vector are dealt into.
 SALTS = 4096
 
@@ -53,53 +61,90 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Coarse centroids and residual codebooks; its size is bounded by `CELLS`, `CODES` and the dimension."""
+    """Coarse centroids, the centroids that split them, shelves and residual codebooks; its size is bounded by the sample,
+    but for the number of splits, which grows with the root of the number of vectors.
+    """
 
     radius: float
     centres: np.ndarray
+    splits: np.ndarray
+    shelves: np.ndarray
     books: np.ndarray
 
     @classmethod
     def fit(cls, sample: np.ndarray, radius: float, cells: int) -> Index:
         x = lift(sample, radius)
-        centres = k_means(x, cells)
-        rest = pad(x - centres[nearest(x, centres)])
+        centres = k_means(x, min(cells, FLAT, len(x)))
+        rest = x - centres[nearest(x, centres)]
+        parts = -(-cells // len(centres)) if cells > FLAT else 1
+        splits = k_means(rest, min(parts, len(rest)), seed=6) if parts > 1 else np.zeros((1, x.shape[1]))
+        shelves = nearest(centres, k_means(centres, -(-len(centres) // SHELF), seed=7))
+        rest = pad(rest - splits[nearest(rest, splits)])
         width = rest.shape[1] // PARTS
         books = np.stack([k_means(rest[:, p * width : (p + 1) * width], CODES, rounds=8, seed=p) for p in range(PARTS)])
-        return cls(radius, centres, books)
+        return cls(radius, centres, splits, shelves, books)
+
+    @property
+    def cells(self) -> int:
+        return len(self.centres) * len(self.splits)
+
+    def centre(self, cell: np.ndarray) -> np.ndarray:
+        return self.centres[cell // len(self.splits)] + self.splits[cell % len(self.splits)]
+
+    def shelf(self, cell: np.ndarray) -> np.ndarray:
+        return self.shelves[cell // len(self.splits)]
 
     def cell(self, x: np.ndarray) -> np.ndarray:
-        return nearest(lift(x, self.radius), self.centres)
+        x = lift(x, self.radius)
+        first = nearest(x, self.centres)
+        return first * len(self.splits) + nearest(x - self.centres[first], self.splits)
 
     def encode(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        rest = pad(lift(x, self.radius) - self.centres[cell])
+        rest = pad(lift(x, self.radius) - self.centre(cell))
         width = self.books.shape[2]
         return np.stack([nearest(rest[:, p * width : (p + 1) * width], self.books[p]) for p in range(PARTS)], axis=1).astype(np.uint8)
 
     def probes(self, q: np.ndarray, n: int, ordered: bool = False) -> np.ndarray:
         """Cells nearest to each query, whose own last component is zero; scaled to the common length."""
         scale = self.radius / np.linalg.norm(q, axis=1, keepdims=True)
-        x = np.hstack([q * scale, np.zeros((len(q), 1))])
-        score = x @ self.centres.T - 0.5 * (self.centres**2).sum(1)
-        n = min(n, score.shape[1])
-        return np.argsort(-score, axis=1)[:, :n] if ordered else np.argpartition(-score, n - 1, axis=1)[:, :n]
+        x, n = np.hstack([q * scale, np.zeros((len(q), 1))]), min(n, self.cells)
+        half = 0.5 * ((self.centres**2).sum(1)[:, None] + (self.splits**2).sum(1)) + self.centres @ self.splits.T
+        out, step = [], max(1, (1 << 22) // self.cells)
+        for lo in range(0, len(x), step):
+            part = x[lo : lo + step]
+            score = ((part @ self.centres.T)[:, :, None] + (part @ self.splits.T)[:, None, :] - half).reshape(len(part), -1)
+            out.append(np.argsort(-score, axis=1)[:, :n] if ordered else np.argpartition(-score, n - 1, axis=1)[:, :n])
+        return np.concatenate(out)
 
     def probes_needed(self, sample: np.ndarray, k: int) -> int:
         """Cells to look into, measured by brute force between some sample rows and the whole sample."""
         q = sample[(np.linalg.norm(sample, axis=1) > 0)][:TRIALS]
-        place = np.argsort(self.probes(q, len(self.centres), ordered=True), axis=1)
+        place = np.argsort(self.probes(q, self.cells, ordered=True), axis=1)
         cell, most = self.cell(sample), min(k + 1, len(sample))
         near = np.argpartition(-(q @ sample.T), most - 1, axis=1)[:, :most]
         ranks = np.sort(np.take_along_axis(place, cell[near], axis=1).ravel())
         return max(PROBE_LEAST, int(ranks[min(len(ranks) - 1, int(WANTED * len(ranks)))]) + 1)
 
-    def estimate(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries with the coded residuals, from a table by query, part and code."""
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """[query, part, code]: inner products of queries with what each code stands for."""
         x = pad(np.hstack([q, np.zeros((len(q), 1))]))
         width = self.books.shape[2]
-        out = np.zeros((len(q), len(codes)), np.float32)
-        for p in range(PARTS):
-            out += (x[:, p * width : (p + 1) * width] @ self.books[p].T).astype(np.float32)[:, codes[:, p]]
+        return np.stack([(x[:, p * width : (p + 1) * width] @ self.books[p].T).astype(np.float32) for p in range(PARTS)], axis=1)
+
+    def estimate(self, q: np.ndarray, cell: np.ndarray, codes: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """[query, entry]: estimated inner products, where `asked` [query, cell in order] says a query looks; entries are in
+        order of their cell. Elsewhere minus infinity.
+        """
+        tables, out = self.tables(q), np.full((len(q), len(cell)), -np.inf, np.float32)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        near = np.hstack([q, np.zeros((len(q), 1))]) @ self.centre(cell[first]).T
+        for j, (a, b) in enumerate(zip(first, [*first[1:], len(cell)], strict=True)):
+            rows = np.flatnonzero(asked[:, j])
+            if len(rows):
+                own = np.repeat(near[rows, j, None].astype(np.float32), b - a, axis=1)
+                for p in range(PARTS):
+                    own += tables[rows, p][:, codes[a:b, p]]
+                out[rows, a:b] = own
         return out
 
 
@@ -143,62 +188,75 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     entries = settle(ids.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = entries.count()
     sample = _matrix(entries.orderBy("h", "ids").limit(SAMPLE).select("v").toPandas()["v"])
-    cells = int(np.clip(2 * np.sqrt(n), CELLS[0], CELLS[1]))
-    index = Index.fit(sample, radius, min(cells, len(sample)))
+    index = Index.fit(sample, radius, max(LEAST, int(PER_ROOT * np.sqrt(n))))
     probes = index.probes_needed(sample, k)
     shared = spark.sparkContext.broadcast(index)
 
-    @F.pandas_udf("cell int, codes binary")
+    @F.pandas_udf("shelf int, cell long, codes binary")
     def place_of(v: pd.Series) -> pd.DataFrame:
         if not len(v):
-            return pd.DataFrame({"cell": pd.Series([], dtype=np.int32), "codes": pd.Series([], dtype=object)})
+            return pd.DataFrame({"shelf": pd.Series([], dtype=np.int32), "cell": pd.Series([], dtype=np.int64), "codes": pd.Series([], dtype=object)})
         x = _matrix(v)
         cell = shared.value.cell(x)
-        return pd.DataFrame({"cell": cell.astype(np.int32), "codes": [c.tobytes() for c in shared.value.encode(x, cell)]})
-
-    @F.pandas_udf("array<int>")
-    def cells_of(v: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.probes(_matrix(v), probes).astype(np.int32))) if len(v) else pd.Series([], dtype=object)
-
-    placed = settle(entries.withColumn("place", place_of("v")).select("h", "v", "ids", "place.cell", "place.codes"))
-    blocks = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        return pd.DataFrame({"shelf": shared.value.shelf(cell).astype(np.int32), "cell": cell.astype(np.int64), "codes": [c.tobytes() for c in shared.value.encode(x, cell)]})
+
+    @F.pandas_udf("array<binary>")
+    def shelves_of(v: pd.Series) -> pd.Series:
+        """For each shelf that a query goes to, its number (four bytes) and the cells it looks into there (eight each)."""
+        out = []
+        for cells in shared.value.probes(_matrix(v), probes) if len(v) else ():
+            shelf = shared.value.shelf(cells)
+            order = np.argsort(shelf, kind="stable")
+            first = np.flatnonzero(np.diff(shelf[order], prepend=-1))
+            out.append([int(shelf[own[0]]).to_bytes(4, "big") + np.sort(cells[own]).astype(np.int64).tobytes() for own in np.split(order, first[1:])])
+        return pd.Series(out, dtype=object)
+
+    placed = settle(entries.withColumn("place", place_of("v")).select("h", "v", "ids", "place.shelf", "place.cell", "place.codes"))
+    blocks = placed.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).select("shelf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # Equal queries are asked once, for one more than `k`, and each then leaves its own row out.
     # Their answers go to the parts they are dealt into, so that a vector which many rows ask with is no task of its own.
     askers = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("asker"), "h", "v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt"))
     parts = askers.groupBy("h", "v", "salt").agg(F.min("asker").alias("least"))
     distinct = settle(parts.groupBy("h", "v").agg(F.min("least").alias("query_id"), F.collect_list("salt").alias("salts")))
-    asked = distinct.select("query_id", F.col("v").alias("q")).withColumn("cell", F.explode(cells_of("q")))
-    crowd = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / QUERIES).cast("int").alias("crowds"))
-    # At most as many rows as there are cells.
-    grid = F.broadcast(settle(blocks.join(crowd, "cell")))
-    left = placed.join(grid, "cell").withColumn("block", F.pmod(F.col("h"), F.col("blocks")).cast("int")).withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)))
-    right = asked.join(grid, "cell").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def meet(key: tuple, cell: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    asked = distinct.select("query_id", F.col("v").alias("q"), F.explode(shelves_of("v")).alias("pack"))
+    asked = asked.withColumn("shelf", F.conv(F.hex(F.substring("pack", 1, 4)), 16, 10).cast("int"))
+    crowd = asked.groupBy("shelf").agg(F.count(F.lit(1)).alias("n")).select("shelf", F.ceil(F.col("n") / QUERIES).cast("int").alias("crowds"))
+    # At most as many rows as there are shelves, FLAT / SHELF.
+    grid = F.broadcast(settle(blocks.join(crowd, "shelf")))
+    left = placed.join(grid, "shelf").withColumn("block", F.pmod(F.col("h"), F.col("blocks")).cast("int")).withColumn("crowd", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)))
+    right = asked.join(grid, "shelf").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def meet(key: tuple, held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(cell) or not len(queries):
+        if not len(held) or not len(queries):
             return empty
-        own, x, q = shared.value, _matrix(cell["v"]), _matrix(queries["q"])
-        best = min(len(x), max(RERANK_LEAST, k + 1, int(RERANK_SHARE * len(x))))
-        codes = np.frombuffer(b"".join(cell["codes"]), np.uint8).reshape(len(x), PARTS)
-        held = cell["ids"].str.len().to_numpy()
-        ids, first = np.concatenate(cell["ids"].to_list()), np.cumsum(held) - held
-        asked, out = queries["query_id"].to_numpy(), []
-        step = max(1, RERANKED // best)
-        for lo in range(0, len(q), step):
-            part = q[lo : lo + step]
-            some = np.argpartition(-own.estimate(part, codes), best - 1, axis=1)[:, :best]
-            score = (x[some] * part[:, None]).sum(axis=2)
-            # All that are as near as the last one asked for, since ids decide between them.
-            floor = np.partition(score, max(0, best - k - 1), axis=1)[:, max(0, best - k - 1)]
-            i, j = np.nonzero(score >= floor[:, None])
-            at = some[i, j]
-            each = np.repeat(np.arange(len(at)), held[at])
-            place = np.arange(len(each)) - np.repeat(np.cumsum(held[at]) - held[at], held[at])
-            out.append(pd.DataFrame({"query_id": asked[lo + i[each]], "vec_id": ids[first[at][each] + place], "score": score[i, j][each]}))
+        held = held.sort_values("cell", kind="stable")
+        own, x, q, cell = shared.value, _matrix(held["v"]), _matrix(queries["q"]), held["cell"].to_numpy()
+        codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(x), PARTS)
+        many = held["ids"].str.len().to_numpy()
+        ids, first = np.concatenate(held["ids"].to_list()), np.cumsum(many) - many
+        here, packs, asker, out = np.unique(cell), queries["pack"].to_list(), queries["query_id"].to_numpy(), [empty]
+        for lo in range(0, len(q), ASKED):
+            looks = np.stack([np.isin(here, np.frombuffer(p[4:], np.int64), assume_unique=True) for p in packs[lo : lo + ASKED]])
+            near = own.estimate(q[lo : lo + ASKED], cell, codes, looks)
+            seen = np.isfinite(near).sum(axis=1)
+            best = min(len(x), max(RERANK_LEAST, k + 1, int(RERANK_SHARE * seen.max())))
+            for at in range(0, len(near), max(1, RERANKED // best)):
+                part, guess = q[lo + at : lo + at + max(1, RERANKED // best)], near[at : at + max(1, RERANKED // best)]
+                some = np.argpartition(-guess, best - 1, axis=1)[:, :best]
+                score = (x[some] * part[: len(guess), None]).sum(axis=2)
+                score[~np.isfinite(np.take_along_axis(guess, some, axis=1))] = -np.inf
+                # All that are as near as the last one asked for, since ids decide between them.
+                floor = np.partition(score, max(0, best - k - 1), axis=1)[:, max(0, best - k - 1)]
+                i, j = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+                entry = some[i, j]
+                each = np.repeat(np.arange(len(entry)), many[entry])
+                place = np.arange(len(each)) - np.repeat(np.cumsum(many[entry]) - many[entry], many[entry])
+                out.append(pd.DataFrame({"query_id": asker[lo + at + i[each]], "vec_id": ids[first[entry][each] + place], "score": score[i, j][each]}))
         return pd.concat(out)
 
-    found = left.select("cell", "block", "crowd", "v", "ids", "codes").groupBy("cell", "block", "crowd").cogroup(right.select("cell", "block", "crowd", "query_id", "q").groupBy("cell", "block", "crowd")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    by = ["shelf", "block", "crowd"]
+    found = left.select(*by, "cell", "v", "ids", "codes").groupBy(*by).cogroup(right.select(*by, "query_id", "q", "pack").groupBy(*by)).applyInPandas(meet, "query_id long, vec_id long, score double")
     nearest_first = [F.desc("score"), F.asc("vec_id")]
     found = found.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(*nearest_first))).filter(F.col("n") <= k + 1)
     named = askers.join(distinct.select("h", "v", "query_id", F.explode("salts").alias("salt")), ["h", "v", "salt"]).select("asker", "query_id", "salt")
