@@ -14,7 +14,6 @@ packed. Sums follow from these without any encoding, so a stored table can be ed
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_right
 from itertools import accumulate, chain
 
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, Codec, codec
-from .common import map_batches, read, shared_dir
+from .common import Scratch, map_batches, read, settle
 
 LEAF, CONTEXT = 64, 3
 
@@ -203,8 +202,11 @@ _TREE = "n_tokens bigint, piece_chars binary, piece_tokens binary"
 def trees(docs: DataFrame, *others: str, vocabulary: str | None = None) -> DataFrame:
     """The tree of every whole text, to be written as a table: doc_id, text, n_tokens, piece_chars and piece_tokens
     (packed), and the `others` among the columns. One row for each row in, repeated rows included, in one narrow pass.
-    Null text counts as empty; an empty text has no pre-tokens; an empty table gives none.
+    Null text counts as empty; an empty text has no pre-tokens; an empty table gives none. `others` named like the tree's
+    own columns are an error.
     """
+    if clash := {c.lower() for c in others} & {"doc_id", "text", "n_tokens", "piece_chars", "piece_tokens"}:
+        raise ValueError(f"columns of the tree cannot be carried beside it: {sorted(clash)}")
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *others)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
@@ -264,11 +266,12 @@ def usual_edits() -> Column:
 
 
 def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after edits, which are applied to stored trees. The table of trees
-    stays in the shared folder, as a later round of edits would need it.
+    """Token counts of every document before and after edits, which are applied to stored trees. A later round of edits
+    would keep the table of trees; here it goes once the counts are written.
     """
-    where = f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents").withColumn("changes", usual_edits())
-    trees(docs, "changes").write.option("compression", "zstd").parquet(where)
-    out = edit_trees(spark.read.parquet(where), F.col("changes"), texts=False)
-    return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), "reencoded_chars")
+    with Scratch(spark) as scratch:
+        where = f"{scratch.folder}/trees"
+        trees(docs, "changes").write.option("compression", "zstd").parquet(where)
+        out = edit_trees(spark.read.parquet(where), F.col("changes"), texts=False)
+        return settle(out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), "reencoded_chars"))
