@@ -61,6 +61,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements and words in class, id or role whose content is not main text.
 ASIDE = frozenset("nav header footer aside form menu head button dialog fieldset label input select option audio video canvas map svg".split())
+#: Of these, what may be wrapped around text by mistake.
+WRAPPERS = frozenset("form fieldset dialog".split())
 #: Elements whose content is no markup; without an end tag, the first two reach to the page's end, the others nowhere.
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 #: Elements that a class or id does not rule out.
@@ -183,8 +185,8 @@ def parse(source: str | None) -> Page:
         return ends[name][1]
 
     def closes(name: str, start: int) -> bool:
-        """Whether an end tag of such an element follows; the last one is looked for once."""
-        if name not in ASIDE:
+        """Whether an end tag of a form or the like follows; the last one is looked for once."""
+        if name not in WRAPPERS:
             return True
         if name not in last:
             last[name] = max((m.start() for m in re.finditer(f"</{name}", source, re.IGNORECASE)), default=-1)
@@ -224,7 +226,7 @@ def parse(source: str | None) -> Page:
         if block and name != "p" and open_.last() == "p":
             open_.pop()
         attributes = _attributes(rest) if "=" in rest or "hidden" in rest.lower() else {}
-        # One that is never closed rules out nothing, since its end would be a guess.
+        # A form that is never closed rules out nothing, since its end would be a guess.
         out = _set_aside(name, attributes, open_.inside > 0) and closes(name, at)
         marks = not out and (name in ("article", "main") or attributes.get("role", "").lower() == "main")
         if not block and not out and not marks:

@@ -141,9 +141,9 @@ def _counts(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.log(first / first.sum()), np.log(pair / pair.sum(axis=1, keepdims=True))
 
 
-def drawn_strings(each: int = 1500) -> list[str]:
-    """Strings over the alphabets keys are made of, from a fixed seed."""
-    rng = np.random.default_rng(7)
+def drawn_strings(each: int = 1500, seed: int = 7) -> list[str]:
+    """Strings over the alphabets keys are made of; the models are fitted on those of the default seed."""
+    rng = np.random.default_rng(seed)
     kinds = ("0123456789abcdef", ALPHABET[:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62], ALPHABET[:64], ALPHABET[:62] + "_-")
     return ["".join(rng.choice(list(k), size=int(rng.integers(20, 44)))) for k in kinds for _ in range(each)]
 
