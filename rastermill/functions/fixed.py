@@ -27,11 +27,12 @@ class Fixed:
         return F.when(value.isNotNull(), F.floor(fits + 0.5)).cast("decimal(20,0)")
 
     def halves(self, values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Upper and lower halves of the same numbers; what is NaN is 0."""
-        scaled = np.nan_to_num(values.astype(np.float64), nan=0.0, posinf=np.inf, neginf=-np.inf) * float(2**bits)
-        if scaled.size and not np.abs(scaled).max() < LIMIT:
+        """Upper and lower halves of the same numbers. NaN, like what is too large, is an error."""
+        scaled = values.astype(np.float64) * float(2**bits)
+        if scaled.size and not max(scaled.max(), -scaled.min()) < LIMIT:
             raise ValueError("value too large for fixed point")
-        whole = np.floor(scaled + 0.5).astype(np.int64)
+        scaled += 0.5
+        whole = np.floor(scaled, out=scaled).astype(np.int64)
         return whole >> HALF, whole & ((1 << HALF) - 1)
 
 

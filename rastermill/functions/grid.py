@@ -37,6 +37,8 @@ def grid_of_product(meta: DataFrame) -> tuple[GridSpec, float | None]:
     if len(rows) != 1:
         raise ValueError("metadata of one product is needed")
     m = rows[0]
+    if any(v is None for k, v in m.asDict().items() if k != "nodata") or m.width < 1 or m.height < 1 or not (m.x > 0 and m.y > 0):
+        raise ValueError(f"metadata is malformed or incomplete: {m}")
     return GridSpec(m.width, m.height, m.left, m.top, m.x, m.y), m.nodata
 
 

@@ -564,7 +564,7 @@ DETAILS = f"""{BY_SHIFTED}, {DEPTH}, {REGION_TRUTH}, {OUTSIDE}, totals AS (SELEC
 e AS (SELECT zone_id, abs(prediction - truth) / nullif(abs(truth), 0) AS e FROM pairs), worst AS (SELECT *, rank() OVER (ORDER BY e DESC) AS place FROM e WHERE e IS NOT NULL)
 SELECT task, 'zones' AS subject, measure, round(CAST(value AS DOUBLE), 4) AS value FROM long UNION ALL SELECT 'region', zone_id, 'worst_relative_error', round(e, 4) FROM worst WHERE place <= 3
 UNION ALL SELECT 'region', zone_id, 'share_outside', round(1 - inside / area, 4) FROM outside WHERE 1 - inside / area > 1e-9
-UNION ALL SELECT 'region', zone_id, 'shared_cells', count(*) FROM assigned JOIN depth USING ("row", col) WHERE zones > 1 GROUP BY zone_id"""
+UNION ALL SELECT 'region', zone_id, 'shared_cells', count(*) FROM assigned JOIN depth USING ("row", col) WHERE zones > 1 GROUP BY zone_id UNION ALL SELECT 'region', 'truth', 'unreadable_amounts', 0"""
 
 
 @query(DETAILS)

@@ -27,10 +27,10 @@ MEASURES = ["n", "bias", "mae", "rmse", "relative_error", "pearson", "r2", "slop
 TASK_LEVELS = {"country": 0, "province": 1, "region": 1, "levels": 1, "grids": 1, "usability": 1}
 
 
-def zone_totals(cells: DataFrame | Tiles, edges: DataFrame, width: int, height: int, task: str, nodata: float | None = None, area_of: GridSpec | None = None, spans: DataFrame | None = None) -> DataFrame:
+def zone_totals(cells: DataFrame | Tiles | zn.RowCells, edges: DataFrame, width: int, height: int, task: str, nodata: float | None = None, area_of: GridSpec | None = None, spans: DataFrame | None = None) -> DataFrame:
     """(task, zone_id, cells, valid, sum, ...) of every zone that has cells, from cells or from tiles, whose pixels then
-    never become rows. Spans are computed once, and only rows and columns that they touch are read. Given a grid, cells
-    weigh by their area there.
+    never become rows. Spans are computed once, and only rows and columns that they touch are read; where they are too many
+    to send to all, cells laid out by row stay where they are. Given a grid, cells weigh by their area there.
     """
     spans = settle(zn.row_spans(edges, width, height)) if spans is None else spans
     extent = zn.span_extent(spans)
@@ -39,15 +39,17 @@ def zone_totals(cells: DataFrame | Tiles, edges: DataFrame, width: int, height:
         frame = zn.tiles_within(cells.frame, extent, cells.width, cells.height) if extent else cells.frame
         found = zo.zonal_stats_of_tiles(Tiles(frame, cells.width, cells.height), spans, nodata, row_weight=row_area(area_of) if area_of else None, count=count)
         return found.withColumn("task", F.lit(task))
+    by_row, cells = isinstance(cells, zn.RowCells), cells.frame if isinstance(cells, zn.RowCells) else cells
     if extent:
         cells = zn.cells_within(cells, extent)
-    assigned = zn.assign_zones(ce.mask_nodata(cells, nodata), zn.in_bins(spans), count=count)
+    masked = ce.mask_nodata(cells, nodata)
+    assigned = zn.assign_zones_by_row(masked, spans) if by_row and count > zn.SMALL_SPANS else zn.assign_zones(masked, zn.in_bins(spans), count=count)
     if area_of is None:
         return zo.zonal_stats(assigned).withColumn("task", F.lit(task))
     return zo.zonal_stats(cell_area(assigned, area_of), F.col("area_km2")).withColumn("task", F.lit(task))
 
 
-def consistency(cells: DataFrame | Tiles, edges: DataFrame, truth: DataFrame, width: int, height: int, task: str, nodata: float | None = None, code_map: DataFrame | None = None, area_of: GridSpec | None = None, worst: int = 0, rings: DataFrame | None = None) -> DataFrame:
+def consistency(cells: DataFrame | Tiles | zn.RowCells, edges: DataFrame, truth: DataFrame, width: int, height: int, task: str, nodata: float | None = None, code_map: DataFrame | None = None, area_of: GridSpec | None = None, worst: int = 0, rings: DataFrame | None = None) -> DataFrame:
     """Totals by zone against truth: agreement, and how many zones have no counterpart. For countries, and with the
     edges of one country's regions for its provinces. Where nothing matches, n is 0 and measures are null.
 
@@ -74,7 +76,7 @@ def zone_faults(spans: DataFrame, rings: DataFrame, width: int, height: int, tas
     return cut.unionByName(shared.select(F.lit(task).alias("task"), F.col("zone_id").alias("subject"), F.lit("shared_cells").alias("measure"), F.col("shared").cast("double").alias("value")))
 
 
-def across_levels(cells: DataFrame | Tiles, region_edges: DataFrame, country_edges: DataFrame, width: int, height: int, nodata: float | None = None) -> DataFrame:
+def across_levels(cells: DataFrame | Tiles | zn.RowCells, region_edges: DataFrame, country_edges: DataFrame, width: int, height: int, nodata: float | None = None) -> DataFrame:
     """Countries' totals against the sums of their regions, and each region's share and valid share. Regions and
     countries are one set of spans, so cells are read once for both.
     """
@@ -144,21 +146,24 @@ ALIGNMENT = ("same_crs", "same_bounds", "whole_ratio", "ratio")
 
 @dataclass(frozen=True)
 class Product:
-    """Where one product lies: its metadata (a JSON object, over several lines or not), and its cells, or its tiles and
-    their size.
+    """Where one product lies: its metadata (a JSON object, over several lines or not), and its cells, its tiles and
+    their size, or the name of a table of cells laid out by row.
     """
 
     metadata: str
     cells: str | None = None
     tiles: str | None = None
+    table: str | None = None
     tile_w: int = 512
     tile_h: int = 512
 
-    def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame | Tiles, GridSpec, float | None]:
+    def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame | Tiles | zn.RowCells, GridSpec, float | None]:
         """Metadata, cells or tiles as stored, grid and no-data value."""
-        if (self.cells is None) == (self.tiles is None):
-            raise ValueError("give either cells or tiles")
+        if sum(x is not None for x in (self.cells, self.tiles, self.table)) != 1:
+            raise ValueError("give cells, tiles or a table")
         meta = so.read_product_metadata(spark, self.metadata)
+        if self.table is not None:
+            return meta, zn.RowCells(spark.table(self.table).select("row", "col", "value")), *grid_of_product(meta)
         if self.tiles is not None:
             return meta, Tiles(spark.read.parquet(self.tiles).select("tile_row", "tile_col", "values"), self.tile_w, self.tile_h), *grid_of_product(meta)
         return meta, spark.read.parquet(self.cells).select("row", "col", "value"), *grid_of_product(meta)
@@ -166,7 +171,9 @@ class Product:
     def read_cells(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, GridSpec, float | None]:
         """The same with tiles unpacked, for what looks at single cells."""
         meta, own, grid, nodata = self.read(spark)
-        return meta, so.tiles_to_cells(own.frame, own.width, own.height, grid.width, grid.height) if isinstance(own, Tiles) else own, grid, nodata
+        if isinstance(own, Tiles):
+            return meta, so.tiles_to_cells(own.frame, own.width, own.height, grid.width, grid.height), grid, nodata
+        return meta, own.frame if isinstance(own, zn.RowCells) else own, grid, nodata
 
 
 @dataclass(frozen=True)
@@ -214,17 +221,23 @@ def _written(spark: SparkSession, report: DataFrame, path: str) -> DataFrame:
 def run_consistency(spark: SparkSession, product: Product, boundaries: str | Boundaries, truth: str, mapping: dict[str, str], task: str, report: str, parent_id: str | None = None, code_map: DataFrame | None = None, encoding: str = "UTF-8", by_area: bool = False, worst: int = 0, faults: bool = False) -> DataFrame:
     """Zones against the statistics of a CSV file, for countries or, given a parent, for its first-level regions. Codes
     are corrected first; truth of zones with another parent then does not count, while codes that no zone of these
-    boundaries has do, as truth without a zone. `by_area` takes values for densities; `worst` and `faults` name zones.
+    boundaries has do, as truth without a zone. `by_area` takes values for densities; `worst` and `faults` name zones, and
+    `faults` counts rows of truth whose amount is no number.
     """
     _, cells, grid, nodata = product.read(spark)
     rings = _rings(spark, boundaries, task, parent_id)
     table = so.read_truth(spark, truth, task, mapping, encoding)
     table = tr.correct_codes(table, code_map) if code_map is not None else table
+    unread, table = table.filter(F.col("truth").isNull()), table.filter(F.col("truth").isNotNull())
     if parent_id is not None:
         elsewhere = _rings(spark, boundaries, task).filter(~F.col("parent_id").eqNullSafe(parent_id)).select("zone_id").distinct()
         table = table.join(elsewhere, "zone_id", "left_anti")
     half = so.rings_to_half_cells(rings, grid.left, grid.top, grid.xres, grid.yres) if faults else None
-    return _written(spark, consistency(cells, _edges(rings, grid), table, grid.width, grid.height, task, nodata, None, grid if by_area else None, worst, half), report)
+    found = consistency(cells, _edges(rings, grid), table, grid.width, grid.height, task, nodata, None, grid if by_area else None, worst, half)
+    if faults:
+        blank = unread.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(task).alias("task"), F.lit("truth").alias("subject"), F.lit("unreadable_amounts").alias("measure"), "value")
+        found = found.unionByName(blank)
+    return _written(spark, found, report)
 
 
 def run_across_levels(spark: SparkSession, product: Product, regions: str | Boundaries, countries: str | Boundaries | None, report: str) -> DataFrame:
@@ -235,7 +248,7 @@ def run_across_levels(spark: SparkSession, product: Product, regions: str | Boun
 
 
 def run_across_grids(spark: SparkSession, product: Product, boundaries: str | Boundaries, report: str, k: int = 2) -> DataFrame:
-    _, cells, grid, nodata = product.read(spark)
+    _, cells, grid, nodata = product.read(spark) if product.tiles else product.read_cells(spark)
     return _written(spark, across_grids(cells, _edges(_rings(spark, boundaries, "grids"), grid), grid.width, grid.height, k, nodata), report)
 
 

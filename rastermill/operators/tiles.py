@@ -46,25 +46,39 @@ def spans_by_tile(spans: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     return at.groupBy(F.expr(f"row div {tile_h}").cast("int").alias("tile_row"), F.col("t").cast("int").alias("tile_col")).agg(F.collect_list(part).alias("spans"))
 
 
+#: Columns whose extremes are taken together.
+GROUP = 16
+
+
 class _Extremes:
-    """Minimum and maximum over any run of a row in two look-ups: level k holds those of the 2 ** k pixels from each."""
+    """Minimum and maximum over any run of a row: those of `GROUP` columns each make a table whose level k holds those of
+    2 ** k groups, so the whole groups of a run take two look-ups, and what is left at its ends is looked at itself.
+    """
 
     def __init__(self, values: np.ndarray, ok: np.ndarray):
-        self.low, self.high = [np.where(ok, values, np.inf)], [np.where(ok, values, -np.inf)]
+        wide = -values.shape[1] % GROUP
+        self.plain = [np.pad(np.where(ok, values, none), ((0, 0), (0, wide + GROUP)), constant_values=none) for none in (np.inf, -np.inf)]
+        self.tables = [[choose.reduce(x.reshape(len(x), -1, GROUP), axis=2)] for x, choose in zip(self.plain, (np.minimum, np.maximum), strict=True)]
 
     def of(self, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        level = np.frexp((b - a).astype(np.float64))[1] - 1
-        for k in range(len(self.low), int(level.max(initial=0)) + 1):
-            half = 1 << (k - 1)
-            for table, choose in ((self.low, np.minimum), (self.high, np.maximum)):
+        first, last = -(-a // GROUP), b // GROUP
+        whole = np.flatnonzero(first < last)
+        level = np.frexp((last - first)[whole].astype(np.float64))[1] - 1
+        out = []
+        for plain, table, choose, none in zip(self.plain, self.tables, (np.minimum, np.maximum), (np.inf, -np.inf), strict=True):
+            for k in range(len(table), int(level.max(initial=0)) + 1):
+                half = 1 << (k - 1)
                 table.append(choose(table[-1][:, :-half], table[-1][:, half:]))
-        low, high = np.empty(len(row)), np.empty(len(row))
-        for k in np.unique(level).tolist():
-            at = np.flatnonzero(level == k)
-            r, first, last = row[at], a[at], b[at] - (1 << k)
-            low[at] = np.minimum(self.low[k][r, first], self.low[k][r, last])
-            high[at] = np.maximum(self.high[k][r, first], self.high[k][r, last])
-        return low, high
+            found = np.full(len(row), none)
+            for k in np.unique(level).tolist():
+                at = whole[level == k]
+                found[at] = choose(table[k][row[at], first[at]], table[k][row[at], last[at] - (1 << k)])
+            for lo, hi in ((a, np.minimum(b, first * GROUP)), (np.maximum(a, last * GROUP), b)):
+                column = lo[:, None] + np.arange(GROUP)
+                ends = np.where(column < hi[:, None], plain[row[:, None], column], none)
+                found = choose(found, choose.reduce(ends, axis=1))
+            out.append(found)
+        return out[0], out[1]
 
 
 def _tile_sums(values: np.ndarray, zone: np.ndarray, zones: int, row: np.ndarray, a: np.ndarray, b: np.ndarray, fixed: Fixed, weight: np.ndarray | None) -> dict[str, np.ndarray]:
@@ -85,7 +99,7 @@ def _tile_sums(values: np.ndarray, zone: np.ndarray, zones: int, row: np.ndarray
     known = np.where(ok, values, 0.0)
     for name, numbers, bits in (("units", known, fixed.bits), ("squares", known * known, fixed.square_bits)):
         for half, part in zip(("upper", "lower"), fixed.halves(numbers, bits), strict=True):
-            out[f"{name}_{half}"] = by_zone(of_spans(part))
+            out[f"{name}_{half}"] = by_zone(of_spans(part)) if part.any() else np.zeros(zones, np.int64)
     low, high = _Extremes(values, ok).of(row, a, b)
     least, most = np.full(zones, np.inf), np.full(zones, -np.inf)
     np.minimum.at(least, zone, low)

@@ -100,6 +100,13 @@ def assign_zones(cells: DataFrame, spans: DataFrame, bin: int = BIN, count: int
     return joined.select("zone_id", "row", "col", "value")
 
 
+@dataclass(frozen=True)
+class RowCells:
+    """Cells that `write_cells_by_row` has laid out."""
+
+    frame: DataFrame
+
+
 def write_cells_by_row(cells: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """Cells (row, col, value) as a table whose files are stripes of rows: all of a row lies in one bucket, in order. Made
     once for a product; every later join by row then reads the cells where they are.

@@ -49,11 +49,12 @@ def test_tiles_joined_by_shuffle_and_float_pixels(spark, edges, monkeypatch):  #
         zo.zonal_stats_of_tiles(ti.Tiles(tiles.frame, 5, 5), spans).collect()
 
 
-def test_extremes_of_all_runs():
+@pytest.mark.parametrize("n", [1, 15, 16, 37, 150])
+def test_extremes_of_all_runs(n):
     rng = np.random.default_rng(1)
-    values = rng.normal(size=(3, 37))
-    ok = rng.random((3, 37)) < 0.7
-    runs = [(r, a, b) for r in range(3) for a in range(37) for b in range(a + 1, 38)]
+    values = rng.normal(size=(3, n))
+    ok = rng.random((3, n)) < 0.7
+    runs = [(r, a, b) for r in range(3) for a in range(n) for b in range(a + 1, n + 1)]
     low, high = ti._Extremes(values, ok).of(*(np.array(x) for x in zip(*runs, strict=True)))
     for (r, a, b), lo, hi in zip(runs, low, high, strict=True):
         known = values[r, a:b][ok[r, a:b]]
@@ -78,9 +79,11 @@ def test_exact_totals_are_equal_to_the_last_bit(spark):
 
 
 def test_halves_are_the_same_numbers(spark):
-    values = np.array([0.0, -0.5, 1.25, -3.7, 2.0**40 + 0.3, -(2.0**41), np.nan])
+    values = np.array([0.0, -0.5, 1.25, -3.7, 2.0**40 + 0.3, -(2.0**41)])
+    with pytest.raises(ValueError, match="too large"):
+        fx.Fixed().halves(np.array([1.0, np.nan]), 20)
     upper, lower = fx.Fixed().halves(values, 20)
-    want = [int(r.u) if r.u is not None else 0 for r in spark.createDataFrame([(None if math.isnan(v) else v,) for v in values.tolist()], "value double").select(fx.Fixed().units(F.col("value"), 20).alias("u")).collect()]
+    want = [int(r.u) for r in spark.createDataFrame([(v,) for v in values.tolist()], "value double").select(fx.Fixed().units(F.col("value"), 20).alias("u")).collect()]
     assert [int(a) * 2**32 + int(b) for a, b in zip(upper, lower, strict=True)] == want
 
 
@@ -270,12 +273,13 @@ def test_code_map_and_parent_together(spark, tmp_path, edges):  # noqa: F811
     spark.createDataFrame(rings, so.RINGS).write.parquet(str(tmp_path / "rings"))
     grid_cells(spark).write.parquet(str(tmp_path / "cells"))
     (tmp_path / "meta.json").write_text(json.dumps({"dataset_name": "m", "crs": "EPSG:4326", "width": W, "height": H, "nodata": -9999.0, "bounds": {"left": -180.0, "bottom": 75.0 - H, "right": -180.0 + W, "top": 75.0}, "resolution": {"x": 1.0, "y": 1.0}}, indent=1))
-    (tmp_path / "truth.csv").write_text("code,total\nold1,202\nold2,210\n3,1\nzz,5\n")
+    (tmp_path / "truth.csv").write_text("code,total\nold1,202\nold2,210\n3,1\nzz,5\n2,n/a\n")
     product = va.Product(str(tmp_path / "meta.json"), str(tmp_path / "cells"))
     codes = spark.createDataFrame([("old1", "1"), ("old2", "2")], "code string, corrected string")
     bounds = va.Boundaries({1: str(tmp_path / "rings")})
-    got = va.run_consistency(spark, product, bounds, str(tmp_path / "truth.csv"), {"zone_id": "code", "truth": "total"}, "province", str(tmp_path / "report"), "p", codes)
+    got = va.run_consistency(spark, product, bounds, str(tmp_path / "truth.csv"), {"zone_id": "code", "truth": "total"}, "province", str(tmp_path / "report"), "p", codes, faults=True)
     report = {r.measure: r.value for r in got.collect()}
+    assert report.pop("unreadable_amounts") == 1.0
     assert (report["n"], report["bias"], report["zones_without_truth"], report["truth_without_zone"]) == (2.0, 0.0, 0.0, 1.0)
     with pytest.raises(ValueError):
         bounds.for_task(spark, "country")
@@ -284,6 +288,21 @@ def test_code_map_and_parent_together(spark, tmp_path, edges):  # noqa: F811
     assert tr.correct_codes(spark.createDataFrame([("t", "old1", 1.0)], "task string, zone_id string, truth double"), codes).first().zone_id == "1"
 
 
+def test_reports_from_cells_by_row(spark, tmp_path, edges, monkeypatch):  # noqa: F811
+    laid = zn.write_cells_by_row(grid_cells(spark, MIXED), "cells_for_report", str(tmp_path / "laid"), 3)
+    want = sorted(map(str, va.zone_totals(grid_cells(spark, MIXED), edges, W, H, "t", -9999.0).select("zone_id", "cells", "valid", "min", "max").collect()))
+    monkeypatch.setattr(zn, "SMALL_SPANS", 1)
+    found = va.zone_totals(zn.RowCells(laid), edges, W, H, "t", -9999.0).select("zone_id", "cells", "valid", "min", "max")
+    assert sorted(map(str, found.collect())) == want
+    spark.sql("DROP TABLE cells_for_report")
+
+
+def test_malformed_metadata_and_amounts(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"dataset_name": "x", "width": "wide"}')
+    with pytest.raises(ValueError, match="malformed"):
+        gr.grid_of_product(so.read_product_metadata(spark, str(tmp_path / "bad.json")))
+
+
 def test_empty_and_missing(spark, edges):  # noqa: F811
     none = grid_cells(spark).limit(0)
     spans = zn.row_spans(edges, W, H)
