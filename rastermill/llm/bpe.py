@@ -191,7 +191,7 @@ def encode_documents(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """Ids of every text, and their decoding, as one narrow pass without a shuffle.
 
     Null and empty texts have no tokens; the digests are then those of zero bytes. One row comes out for each row in,
-    repeated rows included; columns other than id and text are not read. With `with_ids` the ids follow as `token_ids`;
+    repeated rows included, and none of an empty table; columns other than id and text are not read. With `with_ids` the ids follow as `token_ids`;
     with `with_offsets`, too, the code points that each token touches, as `token_starts` and `token_ends`, the end behind
     the last one.
     """

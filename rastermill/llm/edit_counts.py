@@ -228,7 +228,7 @@ def edit_trees(stored: DataFrame, edits: Column, vocabulary: str | None = None,
     all edits), n_tokens and, with `texts`, the edited text and its tree, which can be stored and edited again.
 
     `edits` is an array of structs (start, length, text) in code points, applied in turn, each to the text as it then
-    is; null edits, and parts beyond the text, do nothing. Rows come out as they come in, in one narrow pass; only
+    is; null edits, and parts beyond the text, do nothing. Rows come out as they come in, none of an empty table, in one narrow pass; only
     touched regions are encoded.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)

@@ -387,8 +387,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A class is what similarity of 0.8 or more connects, whole chains included. Texts with the same words are similar,
     so all texts without words, null ones too, are one class; a text of fewer than five words is a single window.
-    `kept` marks the row that stands for its class; of fully repeated rows all are marked. Columns other than doc_id
-    and text are not read.
+    `kept` marks the row that stands for its class; of fully repeated rows all are marked. An empty table gives none.
+    Columns other than doc_id and text are not read.
     """
     out, _ = _classes(docs)
     return out.select("doc_id", "class_id", "class_size", "kept")

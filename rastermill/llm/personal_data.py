@@ -270,7 +270,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     Counts and digest are of base spans; `spans` has added ones, too, which never overlap a base span of their kind, and
     `n_found` counts both. Null text counts as empty, and an empty text has no spans. Time grows with a text's length.
-    Columns other than doc_id and text are not read, whatever their names.
+    An empty table gives none. Columns other than doc_id and text are not read, whatever their names.
     """
     kind = dict(docs.dtypes)["doc_id"]
 

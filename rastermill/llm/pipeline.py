@@ -16,27 +16,29 @@ from . import bpe, common, mixing, near_dedup, quality, secrets
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and the line field, which is fitted on these documents' labels."""
+    """Documents that pass the rules and the line field, which is fitted on these documents' labels. Null and empty texts go;
+    repeated rows stay or go together.
+    """
     return quality.keep_good(docs, quality.train(docs, common.read(spark, sf_dir, "labels")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class; of repeated rows one, and of texts without words one."""
     return near_dedup.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark."""
+    """All documents, with secrets replaced by a mark; null texts stay null."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, which may be never; those without words as their hash says."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every row; null and empty texts have none."""
     return bpe.encode_documents(docs, with_ids=True)
 
 

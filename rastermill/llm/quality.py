@@ -232,7 +232,7 @@ def score_quality(docs: DataFrame, field: Field) -> DataFrame:
     """Statistics and verdict of every whole text, one row for each row in, in one narrow pass.
 
     Null text has no words and, like every text of fewer than 50 words, fails. Repeated rows are judged alike; columns
-    other than doc_id and text are not read.
+    other than doc_id and text are not read. An empty table gives none.
     """
     kind = dict(docs.dtypes)["doc_id"]
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
