@@ -173,40 +173,6 @@ def test_repeated_words_weigh():
     assert near_dedup.similarity(a, b) < 0.55 and near_dedup.similarity(a, a) == 1
 
 
-def made_of_passages(rng, n, of=40, each=26):
-    """Texts that are made of common passages, in one order, and none alike."""
-    parts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(30)) for _ in range(of)]
-    return [" ".join(parts[k] for k in sorted(rng.sample(range(of), each))) for _ in range(n)]
-
-
-def test_texts_of_common_passages_meet_few_bags(spark, monkeypatch):
-    met, plain = [], near_dedup._overlaps
-
-    def counting(pairs):
-        met.append(pairs.count())
-        return plain(pairs)
-
-    monkeypatch.setattr(near_dedup, "_overlaps", counting)
-    texts = made_of_passages(random.Random(21), 240)
-    texts += [t.rsplit(" ", 3)[0] for t in texts[:5]]  # near copies, which must be found among all these
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
-    assert sum(met) <= 0.05 * len(texts) * (len(texts) - 1) / 2  # about half of all pairs share a band
-
-
-def test_sketches_agree_where_texts_do():
-    rng = np.random.default_rng(2)
-    few = 0
-    for i in range(400):
-        keys = rng.integers(0, 2**63, 220).astype(np.uint64)
-        n = 200
-        a, b = keys[: n + 10], keys[10:] if i % 2 else np.concatenate([keys[:180], rng.integers(0, 2**63, 15).astype(np.uint64)])
-        one, two = (np.frombuffer(near_dedup.sketch(near_dedup.signature(x, np.ones(len(x), np.int64))), np.uint16) for x in (a, b))
-        both = len(np.intersect1d(a, b))
-        few += both / (len(a) + len(b) - both) >= 0.8 and (one == two).sum() < near_dedup.AGREE
-    assert few == 0
-
-
 def test_dedup_of_odd_rows(odd):
     got = [tuple(r) for r in near_dedup.near_duplicates(odd).collect()]
     assert len(got) == len(ODD)
