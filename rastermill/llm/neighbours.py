@@ -27,7 +27,7 @@ from .common import read, settle
 SAMPLE = 20_000
 #: Cells: `PER_ROOT * sqrt(vectors)`, at least `LEAST`. Each query looks into as many as hold this share of the nearest
 #: rows of `TRIALS` sample rows within the sample, and at least so many.
-PER_ROOT, LEAST, FLAT, WANTED, TRIALS, PROBE_LEAST = 8, 8, 4096, 0.95, 200, 8
+PER_ROOT, LEAST, FLAT, WANTED, TRIALS, PROBE_LEAST = 8, 8, 4096, 0.97, 200, 8
 #: Centroids in a shelf, about.
 SHELF = 32
 #: Sub-vectors and codes each. Entries of a shelf reranked exactly for one query: at least so many, and this share of those
