@@ -773,6 +773,20 @@ def test_many_ask_with_one_vector(spark):
     assert len(got) == 300 * 20
 
 
+def test_recall_of_queries_unlike_the_rows(spark, monkeypatch):
+    """The index is fitted on few rows, and those that ask have directions of their own; many components in each code."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 800)
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(12, 160))[rng.integers(0, 12, 6000)] + 0.7 * rng.normal(size=(6000, 160))
+    x[::20] = rng.normal(size=(300, 160))
+    got = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas()
+    asked = np.arange(0, 6000, 20)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = {int(q): set(row) for q, row in zip(asked, np.argsort(-score, axis=1)[:, :20].tolist(), strict=True)}
+    assert sum(len(best[q] & set(g.vec_id)) for q, g in got.groupby("query_id")) >= 0.9 * 20 * len(asked) and len(got) == 20 * len(asked)
+
+
 def test_few_or_no_vectors(spark):
     kind = "vec_id long, embedding array<double>"
     assert neighbours.search(spark.createDataFrame([], kind)).count() == 0
