@@ -382,7 +382,7 @@ PROVINCES = f"{BY_REGION}, {REGION_TRUTH}, totals AS (SELECT 'region' AS task, z
 @query(f"{PROVINCES}, {RANKED}, {WIDE}, {LONG} SELECT task, 'zones' AS subject, measure, round(CAST(value AS DOUBLE), 4) AS value FROM long")
 def job_province_consistency(spark: SparkSession, d: str) -> DataFrame:
     own, path = product(spark, d, st.NODATA)
-    st.in_degrees(st.region_rings(spark, d)).write.parquet(f"{path}/regions")
+    st.in_degrees(st.region_rings(spark, d), st.yres(spark, d)).write.parquet(f"{path}/regions")
     st.region_truth(spark, d).select(F.col("zone_id").alias("code"), F.col("truth").alias("amount")).write.option("header", True).csv(f"{path}/truth")
     return _report(va.run_consistency(spark, own, f"{path}/regions", f"{path}/truth", {"zone_id": "code", "truth": "amount"}, "region", f"{path}/report", parent_id="2"))
 
@@ -393,8 +393,8 @@ MEASURED = "SELECT unnest(['n', 'bias', 'mae', 'rmse', 'relative_error', 'pearso
 @query(f"{BY_REGION}, t AS (SELECT parent_id, zone_id, sum(value) AS s, count(value) AS v, count(*) AS c FROM assigned GROUP BY parent_id, zone_id), whole AS (SELECT CAST(col // 30 AS VARCHAR) AS parent_id, sum(value) AS t FROM cells GROUP BY 1), two AS (SELECT sum(s) AS p, any_value(t) AS t FROM t JOIN whole USING (parent_id) GROUP BY parent_id) SELECT 'levels' AS task, 'countries' AS subject, measure, value FROM ({MEASURED}) UNION ALL SELECT 'levels', zone_id, unnest(['share', 'valid_share']), round(unnest([s / sum(s) OVER (PARTITION BY parent_id), v / c]), 4) FROM t")
 def job_across_levels(spark: SparkSession, d: str) -> DataFrame:
     own, path = product(spark, d, st.NODATA)
-    st.in_degrees(st.region_rings(spark, d)).write.parquet(f"{path}/regions")
-    st.in_degrees(st.country_rings(spark, d)).write.parquet(f"{path}/countries")
+    st.in_degrees(st.region_rings(spark, d), st.yres(spark, d)).write.parquet(f"{path}/regions")
+    st.in_degrees(st.country_rings(spark, d), st.yres(spark, d)).write.parquet(f"{path}/countries")
     return _report(va.run_across_levels(spark, own, f"{path}/regions", f"{path}/countries", f"{path}/report"))
 
 
@@ -404,7 +404,7 @@ COARSE = """coarse AS (SELECT "row" // 2 AS "row", col // 2 AS col, sum(value) A
 @query(f"{BY_REGION}, {COARSE}, two AS (SELECT p, t FROM (SELECT zone_id, sum(value) AS p FROM assigned GROUP BY zone_id) JOIN (SELECT zone_id, sum(value) AS t FROM hit GROUP BY zone_id) USING (zone_id)) SELECT 'grids' AS task, 'zones' AS subject, measure, value FROM ({MEASURED})")
 def job_across_grids(spark: SparkSession, d: str) -> DataFrame:
     own, path = product(spark, d, st.NODATA)
-    st.in_degrees(st.region_rings(spark, d)).write.parquet(f"{path}/regions")
+    st.in_degrees(st.region_rings(spark, d), st.yres(spark, d)).write.parquet(f"{path}/regions")
     return _report(va.run_across_grids(spark, own, f"{path}/regions", f"{path}/report"))
 
 
@@ -530,7 +530,7 @@ def r4_geojson_faults(spark: SparkSession, d: str) -> DataFrame:
 
 def region_features(spark: SparkSession, d: str, path: str) -> str:
     """The first-level regions as a GeoJSON file."""
-    return st.write_features(st.in_degrees(st.region_rings(spark, d)).select("zone_id", "parent_id", F.array("ring").alias("rings")), path)
+    return st.write_features(st.in_degrees(st.region_rings(spark, d), st.yres(spark, d)).select("zone_id", "parent_id", F.array("ring").alias("rings")), path)
 
 
 CORRECTED = f"{BY_REGION}, truth AS (SELECT 'region' AS task, CAST(c_nationkey AS VARCHAR) AS zone_id, sum(c_acctbal) AS truth FROM customer GROUP BY ALL), totals AS (SELECT 'region' AS task, zone_id, sum(value) AS prediction FROM assigned WHERE parent_id = '2' GROUP BY zone_id), pairs AS (SELECT task, zone_id, prediction, truth FROM totals FULL JOIN (SELECT * FROM truth WHERE zone_id IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 2) UNION ALL SELECT 'region', 'zz', 1.0) USING (task, zone_id))"
@@ -573,7 +573,7 @@ def job_zone_details(spark: SparkSession, d: str) -> DataFrame:
     _, path = product(spark, d, st.NODATA)
     raw_tiles(spark, d).frame.write.parquet(f"{path}/tiles")
     own = va.Product(f"{path}/meta", tiles=f"{path}/tiles", tile_w=64, tile_h=7)
-    st.in_degrees(shifted_rings(spark, d)).write.parquet(f"{path}/zones")
+    st.in_degrees(shifted_rings(spark, d), st.yres(spark, d)).write.parquet(f"{path}/zones")
     st.region_truth(spark, d).select(F.col("zone_id").alias("code"), F.col("truth").alias("amount")).write.option("header", True).csv(f"{path}/truth")
     bounds = va.Boundaries({1: f"{path}/zones"})
     return _report(va.run_consistency(spark, own, bounds, f"{path}/truth", {"zone_id": "code", "truth": "amount"}, "region", f"{path}/report", worst=3, faults=True))
@@ -583,7 +583,7 @@ def job_zone_details(spark: SparkSession, d: str) -> DataFrame:
 def job_across_grids_tiles(spark: SparkSession, d: str) -> DataFrame:
     _, path = product(spark, d, st.NODATA)
     raw_tiles(spark, d, 50, 10).frame.write.parquet(f"{path}/tiles")
-    st.in_degrees(st.region_rings(spark, d)).write.parquet(f"{path}/regions")
+    st.in_degrees(st.region_rings(spark, d), st.yres(spark, d)).write.parquet(f"{path}/regions")
     own = va.Product(f"{path}/meta", tiles=f"{path}/tiles", tile_w=50, tile_h=10)
     return _report(va.run_across_grids(spark, own, f"{path}/regions", f"{path}/report", k=7))
 

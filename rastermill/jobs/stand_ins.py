@@ -86,34 +86,42 @@ def product_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(meta.alias("m"))
 
 
-#: The stand-in's place on the globe: degrees of its left top corner, and of a cell.
+#: The stand-in's place on the globe: degrees of its left top corner, and of a cell, whose height is at most this.
 LEFT, TOP, XRES, YRES = -180.0, 75.0, 0.25, 0.125
 
 
+def yres(spark: SparkSession, sf_dir: str) -> float:
+    """Height of a cell in degrees, halved until the whole grid lies on the globe; halves keep coordinates exact."""
+    rows, size = height(spark, sf_dir), YRES
+    while TOP - rows * size < -90:
+        size /= 2
+    return size
+
+
 def own_metadata(spark: SparkSession, sf_dir: str, nodata: float | None) -> DataFrame:
     """The stand-in raster's own declaration in the form of a finished product's file: JSON over several lines, no-data
     a number, or "NaN" in quotes.
     """
-    top = table(spark, sf_dir, "orders").agg(F.expr(f"max(o_orderkey) div {WIDTH} + 1").alias("h"))
+    top, tall = table(spark, sf_dir, "orders").agg(F.expr(f"max(o_orderkey) div {WIDTH} + 1").alias("h")), yres(spark, sf_dir)
     no = F.lit("NaN") if nodata is None else F.lit(nodata)
     meta = F.struct(
         F.lit("stand-in").alias("dataset_name"), F.lit("1.0").alias("version"), F.lit("stand_in.tif").alias("primary_file"), F.lit("GTiff").alias("format"), F.lit("EPSG:4326").alias("crs"), F.lit(WIDTH).alias("width"), F.col("h").alias("height"), F.lit(1).alias("band_count"), F.lit("float32").alias("dtype"), no.alias("nodata"),
-        F.struct(F.lit(LEFT).alias("left"), (F.lit(TOP) - F.col("h") * YRES).alias("bottom"), F.lit(LEFT + WIDTH * XRES).alias("right"), F.lit(TOP).alias("top")).alias("bounds"), F.struct(F.lit(XRES).alias("x"), F.lit(YRES).alias("y")).alias("resolution"),
+        F.struct(F.lit(LEFT).alias("left"), (F.lit(TOP) - F.col("h") * tall).alias("bottom"), F.lit(LEFT + WIDTH * XRES).alias("right"), F.lit(TOP).alias("top")).alias("bounds"), F.struct(F.lit(XRES).alias("x"), F.lit(tall).alias("y")).alias("resolution"),
     )
     return top.select(F.to_json(meta, {"pretty": "true"}).alias("value"))
 
 
-def in_degrees(rings: DataFrame) -> DataFrame:
-    """Rings in half-cell units as a boundary file would have them."""
-    return rings.withColumn("ring", F.transform("ring", lambda p: F.struct((F.lit(LEFT) + p["x"] * (XRES / 2)).alias("x"), (F.lit(TOP) - p["y"] * (YRES / 2)).alias("y"))))
+def in_degrees(rings: DataFrame, tall: float) -> DataFrame:
+    """Rings in half-cell units as a boundary file would have them; `tall` is the height of a cell, `yres`."""
+    return rings.withColumn("ring", F.transform("ring", lambda p: F.struct((F.lit(LEFT) + p["x"] * (XRES / 2)).alias("x"), (F.lit(TOP) - p["y"] * (tall / 2)).alias("y"))))
 
 
 def second_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second product's declaration: the same bounds at half the resolution."""
-    top = table(spark, sf_dir, "orders").agg(F.expr(f"max(o_orderkey) div {WIDTH} + 1").alias("h"))
+    top, tall = table(spark, sf_dir, "orders").agg(F.expr(f"max(o_orderkey) div {WIDTH} + 1").alias("h")), yres(spark, sf_dir)
     meta = F.struct(
         F.lit("second").alias("dataset_name"), F.lit("EPSG:4326").alias("crs"), F.lit(WIDTH // 2).alias("width"), F.expr("h div 2").alias("height"), F.lit(1).alias("band_count"), F.lit("NaN").alias("nodata"),
-        F.struct(F.lit(LEFT).alias("left"), (F.lit(TOP) - F.col("h") * YRES).alias("bottom"), F.lit(LEFT + WIDTH * XRES).alias("right"), F.lit(TOP).alias("top")).alias("bounds"), F.struct(F.lit(2 * XRES).alias("x"), F.lit(2 * YRES).alias("y")).alias("resolution"),
+        F.struct(F.lit(LEFT).alias("left"), (F.lit(TOP) - F.col("h") * tall).alias("bottom"), F.lit(LEFT + WIDTH * XRES).alias("right"), F.lit(TOP).alias("top")).alias("bounds"), F.struct(F.lit(2 * XRES).alias("x"), F.lit(2 * tall).alias("y")).alias("resolution"),
     )
     return top.select(F.to_json(meta, {"pretty": "true"}).alias("value"))
 

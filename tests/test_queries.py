@@ -50,6 +50,21 @@ def test_levels_and_grids_add_up(spark, sf_dir):
         assert report[(whole, "bias")] == 0 and report[(whole, "pearson")] == 1
 
 
+def test_province_code_map_on_a_tall_grid(spark, sf_dir, tmp_path):
+    """1,400 rows of cells: at an eighth of a degree they would reach beyond the pole, and no zone would be read."""
+    base = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    tall = base.crossJoin(spark.range(140)).selectExpr("o_orderkey + id * 1500 AS o_orderkey", "o_orderstatus", "o_totalprice")
+    tall.write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    for name in ("customer", "nation", "region"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    df = raster.QUERIES["job_province_code_map"](spark, str(tmp_path))
+    result = con.execute(raster.ORACLE["job_province_code_map"])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in result.description], result.fetchall())
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
