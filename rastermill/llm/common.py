@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.shared import settle, shared_dir
+from ..sources.shared import settle, shared_dir, small_batches
 
 #: A word is a run of code points other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,19 +82,13 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-#: Bytes in one Arrow batch between Spark and a Python worker, at most; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
-
-
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512, after: Callable[[], None] | None = None) -> DataFrame:
     """`mapInArrow` over slices of at most `rows` rows, so that long texts do not pile up in a worker.
 
-    A session whose batches may be larger than `BATCH_BYTES` gets that limit. `after` is called when a partition ends;
+    A session whose batches may be larger than `small_batches` allows gets that limit. `after` is called when a partition ends;
     workers live on, so what they have freed is then given back to the system.
     """
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
-        spark.conf.set(key, BATCH_BYTES)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

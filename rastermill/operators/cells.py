@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.shared import few_tiles, small_batches
+
 
 def mask_nodata(cells: DataFrame, nodata: str | float | Column | None = None) -> DataFrame:
     """Null in place of the sentinel and of NaN, which sums and maxima would otherwise spread."""
@@ -132,7 +134,7 @@ def block_aggregate_tiles(tiles: DataFrame, tile_w: int, tile_h: int, k: int, no
         raise ValueError("k must divide both sides of a tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_tiles(batches, tile_h * tile_w):
             n, lists = batch.num_rows, batch.column("values")
             values = np.full((n, tile_h * tile_w), np.nan)
             if (some := np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))).size:
@@ -154,4 +156,5 @@ def block_aggregate_tiles(tiles: DataFrame, tile_w: int, tile_h: int, k: int, no
             flat = lambda a, t, mask=None: pa.array(a.ravel()[out], t, mask=None if mask is None else mask.ravel()[out])  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([flat(row, pa.int32()), flat(col, pa.int32()), flat(total, pa.float64(), valid == 0), flat(total / np.maximum(valid, 1), pa.float64(), valid == 0), flat(valid, pa.int64())], names=["row", "col", "value", "mean", "valid"])
 
+    small_batches(tiles.sparkSession)
     return tiles.select("tile_row", "tile_col", "values").mapInArrow(run, "row int, col int, value double, mean double, valid bigint")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import Fixed, joined
+from ..sources.shared import small_batches
 from .zones import SMALL_SPANS
 
 
@@ -145,6 +146,7 @@ def zonal_sums_of_tiles(tiles: Tiles, spans: DataFrame, nodata: float | None = N
                 columns = [*(pa.array(sums[c], pa.int64()) for c in names), *(pa.array(sums[c], pa.float64(), mask=none if c in ("min", "max") else None) for c in real)]
                 yield pa.RecordBatch.from_arrays([ids.dictionary.cast(pa.string()), *columns], names=["zone_id", *names, *real])
 
+    small_batches(tiles.frame.sparkSession)
     met = tiles.frame.select("tile_row", "tile_col", "values").join(F.broadcast(side) if few else side, ["tile_row", "tile_col"])
     parts = met.select("tile_row", "values", "spans").mapInArrow(run, ", ".join(["zone_id string", *(f"{c} bigint" for c in names), *(f"{c} double" for c in real)]))
     whole = lambda c: joined(F.sum(F.col(f"{c}_upper").cast("decimal(20,0)")).cast("decimal(20,0)"), F.sum(F.col(f"{c}_lower").cast("decimal(20,0)")).cast("decimal(20,0)")).alias(c)
@@ -184,6 +186,7 @@ def _blocks(tiles: Tiles, k: int, nodata: float | None, width: int | None, heigh
                 number = np.broadcast_to(rows[2][:, None], want.shape)[want], np.broadcast_to(cols[2], want.shape)[want]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in number), *(pa.array(x, pa.int64()) for x in sums)], names=["row", "col", "upper", "lower", "valid"])
 
+    small_batches(tiles.frame.sparkSession)
     return tiles.frame.select("tile_row", "tile_col", "values").mapInArrow(run, "row int, col int, upper bigint, lower bigint, valid bigint")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.grid import grid_of_product
 from ..operators.cells import mask_nodata
 from ..operators.zones import Extent, cells_within, tiles_within
+from .shared import few_tiles, small_batches
 
 _NUMBERS = lambda *names: T.StructType([T.StructField(n, T.DoubleType()) for n in names])
 #: `nodata` is text, since one product gives a number and another the string "NaN".
@@ -61,7 +62,7 @@ def tiles_to_cells(tiles: DataFrame, tile_w: int, tile_h: int, width: int | None
 
 def cells_to_tiles(cells: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     """The inverse: a tile is one row, its missing pixels null; of repeated cells the largest value stays (NaN above
-    all). A tile's size, and how often its cells repeat, bound each group.
+    all). A tile's size, and how often its cells repeat, bound each group. A worker holds one small batch of tiles.
     """
     at = (F.expr(f"row % {tile_h}") * tile_w + F.expr(f"col % {tile_w}")).cast("int")
     kind = cells.schema["value"].dataType.simpleString()
@@ -69,7 +70,7 @@ def cells_to_tiles(cells: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
     found = grouped.agg(F.collect_list(F.struct(at.alias("at"), F.col("value"))).alias("pixels"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_tiles(batches, tile_w * tile_h):
             pixels = batch.column("pixels")
             tile = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(pixels)))
             flat = pixels.flatten()
@@ -82,6 +83,7 @@ def cells_to_tiles(cells: DataFrame, tile_w: int, tile_h: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * tile_w * tile_h, pa.int32()), pa.array(full, value.type, mask=gone))
             yield pa.RecordBatch.from_arrays([batch.column("tile_row"), batch.column("tile_col"), lists], names=["tile_row", "tile_col", "values"])
 
+    small_batches(cells.sparkSession)
     return found.mapInArrow(run, f"tile_row int, tile_col int, values array<{kind}>")
 
 

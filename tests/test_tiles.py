@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,3 +313,23 @@ def test_empty_and_missing(spark, edges):  # noqa: F811
     words, seen = ce.examined(none, lambda df: df.checkpoint())
     assert seen["cells"] == 0 and ce.completeness(words, W, H).first().missing_cells == W * H
     assert zn.overlap_runs(spans.limit(0)).count() == 0 and zo.exact_zonal_stats(zn.assign_zones(none, zn.in_bins(spans))).count() == 0
+
+
+def test_workers_get_few_tiles_at_a_time(spark):
+    """Tiles of 32 kilobytes come to a worker by a few hundred, not by as many as a partition has."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        cells = spark.range(600).selectExpr("cast(id * 64 as int) AS row", "0 AS col", "cast(id AS double) AS value")
+        tiles = so.cells_to_tiles(cells, 64, 64).coalesce(1)
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+        got = [r.n for r in tiles.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 600 and max(got) <= 300
+        blocks = ce.block_aggregate_tiles(tiles, 64, 64, 32)
+        assert blocks.count() == 2400 and blocks.agg({"value": "sum"}).first()[0] == 600 * 599 / 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
