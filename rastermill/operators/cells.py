@@ -81,17 +81,25 @@ def duplicate_cells(cells: DataFrame, width: int, words: DataFrame | None = None
 
 
 def missing_cells(cells: DataFrame, width: int, height: int, words: DataFrame | None = None) -> DataFrame:
-    """Positions of the grid without a row, read off the complement of the bitmaps; cells are scanned once, and not at
-    all where `words`, their `grid_words`, are given.
+    """Positions of the grid without a row, read off the complement of bitmaps; cells are scanned once, and not at all
+    where `words`, their `grid_words`, are given. Otherwise bitmaps run on from one row to the next, so that a narrow grid
+    has no more of them than a wide one. The grid's own words, all empty, are added up with those of the cells.
     """
-    held = _on_grid(grid_words(cells) if words is None else words, width, height)
-    found = held.select("row", "word", F.col("full").bitwiseAND(F.bitwise_not("seen")).alias("gaps"))
-    # What each row has of its words; words that no row has are listed from the grid's own count.
-    per_row = -(-width // WORD)
-    grid = cells.sparkSession.range(height * per_row).select(F.expr(f"cast(id div {per_row} as int)").alias("row"), F.expr(f"cast(id % {per_row} as int)").alias("word"))
-    absent = _on_grid(grid.join(held.select("row", "word"), ["row", "word"], "left_anti").withColumn("seen", F.lit(0).cast("bigint")), width, height)
-    gaps = found.filter("gaps != 0").unionByName(absent.select("row", "word", F.col("full").alias("gaps")))
-    return gaps.select("row", F.explode(_columns_of(F.col("gaps"))).alias("k"), "word").select("row", (F.col("word") * WORD + F.col("k")).cast("int").alias("col"))
+    line, lines = (width * height, 1) if words is None else (width, height)
+    per_line = -(-line // WORD)
+    if words is None:
+        at = cells.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select((F.col("row").cast("bigint") * width + F.col("col")).alias("at"))
+        held = at.select(F.expr(f"at div {WORD}").alias("key"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % WORD).cast("int")).alias("seen"))
+    else:
+        held = words.filter(F.col("row").between(0, height - 1) & F.col("word").between(0, per_line - 1)).select((F.col("row").cast("bigint") * per_line + F.col("word")).alias("key"), "seen")
+    grid = cells.sparkSession.range(lines * per_line).select(F.col("id").alias("key"), F.lit(0).cast("bigint").alias("seen"))
+    whole = held.unionByName(grid).groupBy("key").agg(F.bit_or("seen").alias("seen"))
+    # The last word of a line may end before its last bit.
+    left = F.lit(line) - F.col("key") % per_line * WORD
+    full = F.when(left >= WORD, F.lit(-1).cast("bigint")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(left, F.lit(WORD - 1)).cast("int")) - 1)
+    gaps = whole.select("key", full.bitwiseAND(F.bitwise_not("seen")).alias("gaps")).filter("gaps != 0").select("key", F.explode(_columns_of(F.col("gaps"))).alias("k"))
+    place = gaps.select((F.expr(f"key div {per_line}") * line + F.col("key") % per_line * WORD + F.col("k")).alias("at"))
+    return place.select(F.expr(f"cast(at div {width} as int)").alias("row"), (F.col("at") % width).cast("int").alias("col"))
 
 
 MEASURES = ("cells", "valid", "min", "max", "sum", "min_row", "max_row", "min_col", "max_col")

@@ -333,3 +333,12 @@ def test_workers_get_few_tiles_at_a_time(spark):
         assert blocks.count() == 2400 and blocks.agg({"value": "sum"}).first()[0] == 600 * 599 / 2
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_missing_cells_of_narrow_grids_need_few_words(spark):
+    """Bitmaps run on from row to row: 64,000 rows of seven columns are 7,000 words, not one a row."""
+    cells = spark.range(64_000).selectExpr("cast(id as int) AS row", "cast(id % 7 as int) AS col")
+    gone = ce.missing_cells(cells, 7, 64_000)
+    assert gone.count() == 6 * 64_000 and gone.filter("col = row % 7").count() == 0 and gone.distinct().count() == 6 * 64_000
+    assert ce.missing_cells(cells, 7, 63_999).count() == 6 * 63_999 and ce.missing_cells(cells, 0, 5).count() == ce.missing_cells(cells, 7, 0).count() == 0
+    assert "Range (0, 7000," in gone._jdf.queryExecution().optimizedPlan().toString()
